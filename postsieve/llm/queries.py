@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dupes
+from . import dupes, nearup
 
 
 def tweets_and_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,9 +26,23 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return dupes.group_sizes(p2_found(spark, sf))
 
 
+def posts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "combined").select(F.col("row_id").alias("id"), "text")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nearup.near_pairs(posts(spark, sf), dupes.copy_key)
+
+
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return nearup.near_classes(posts(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_classes": p3_classes,
 }
 
 # ---- SQL ------------------------------------------------------------------
