@@ -60,9 +60,9 @@ def digest(s: Column) -> Column:
     return F.sha2(s, 256)
 
 
-def copy_key(text: Column) -> Column:
-    """One key per group of copies, for operators that only need the key (null for null and blank texts)."""
-    return F.when(~blank(text), digest(F.coalesce(field_form(text), stripped(text))))
+def canonical(text: Column) -> Column:
+    """What copies have in common (null for null and blank texts)."""
+    return F.when(~blank(text), F.coalesce(field_form(text), stripped(text)))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dupes, nearup
+from . import dupes, encode, nearup, quality
 
 
 def tweets_and_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,18 +31,35 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return nearup.near_pairs(posts(spark, sf), dupes.copy_key)
+    return nearup.near_pairs(posts(spark, sf), dupes.canonical)
 
 
 def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
     return nearup.near_classes(posts(spark, sf))
 
 
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.encode_column(table(spark, sf, "documents"), "doc_id")
+
+
+def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """All statistics, and the reasons of the rules that fail."""
+    v = quality.verdicts(quality.statistics(table(spark, sf, "documents")))
+    return v.withColumn("reasons", F.array_join("reasons", ","))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.verdicts(quality.statistics(table(spark, sf, "documents"))).where("rejected").select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_stats": p10_stats,
 }
 
 # ---- SQL ------------------------------------------------------------------
