@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dupes, encode, nearup, quality
+from . import dupes, encode, lookalike, nearup, quality
 
 
 def tweets_and_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +38,25 @@ def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
     return nearup.near_classes(posts(spark, sf))
 
 
+def _two_post_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf, "labeled_posts").select("post_id", "text"), table(spark, sf, "llm_labeled_posts").select("record_id", "text")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _two_post_tables(spark, sf)
+    return lookalike.same_look(a, "post_id", b, "record_id").distinct()
+
+
+def p7_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical text of every row of both tables."""
+    a, b = _two_post_tables(spark, sf)
+    rows = a.select(F.lit("labeled_posts").alias("tab"), F.col("post_id").alias("id"), "text").unionByName(
+        b.select(F.lit("llm_labeled_posts").alias("tab"), F.col("record_id").alias("id"), "text")
+    )
+    keyed = rows.select(F.struct("tab", "id").alias("at"), "text")
+    return lookalike.normalise(keyed, "at", lookalike.vocabulary(rows.select("text"))).select("at.tab", "at.id", "text")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_column(table(spark, sf, "documents"), "doc_id")
 
@@ -57,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p7_found": p7_found,
+    "p7_texts": p7_texts,
     "p8_ids": p8_ids,
     "p10_found": p10_found,
     "p10_stats": p10_stats,
