@@ -13,11 +13,11 @@ and expanded to rows only at the end (``near_pairs``) or kept as class links
 (``near_classes``).
 
 Recall: with BANDS bands of ROWS coordinates a pair of similarity s is missed
-with probability (1 - s**ROWS)**BANDS, that is 0.3 % at s = 0.6 and 0.0002 % at 0.75.
+with probability (1 - s**ROWS)**BANDS, that is 1.2 % at s = 0.6, 0.2 % at 0.65 and 0.02 % at 0.7.
 
-Scale: what is shuffled per band is a class's 64-bit key, 64-bit id and set size;
-pairs whose set sizes cannot reach the threshold are never emitted, and a band
-value shared by very many classes is split by AQE's skew join.
+Scale: what is shuffled per band is a 48-bit key and a 64-bit class, once per
+class and task. Candidates are cut by a 128-bit sketch of the signature before
+any text is moved, so texts travel only for pairs that are likely near.
 
 Defined cases: null texts and texts of fewer than MIN_WORDS words take no part;
 extra columns are ignored; repeated ids count once; an empty input gives an
@@ -26,15 +26,17 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 32, 4
+KEY_BITS = 48  # of a band key; a chance collision costs one verification
+SKETCH, SIGMAS = 128, 3.5  # bits of a sketch, tolerance of its filter
 MIN_WORDS = 20
 SHINGLE = 3
 THRESHOLD = 0.6
@@ -141,98 +143,150 @@ def fold(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(mix64(values + pos * np.uint64(0x9E3779B97F4A7C15)), starts)
 
 
-def shingle_sets(rows: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, cls, shingles array<bigint>) of the texts long enough; ``cls`` is a 64-bit hash of the set."""
+def _groups(starts: np.ndarray, total: int) -> Iterator[tuple[int, int, int, int]]:
+    """Cuts runs into groups (lo, hi, first value, end) of about MAX_BATCH_CELLS values."""
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + MAX_BATCH_CELLS)))
+        yield lo, hi, int(starts[lo]), int(starts[hi]) if hi < len(starts) else total
+        lo = hi
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(records, bands) keys of KEY_BITS bits; the number of the band is part of the key."""
+    sig = sig.astype(np.uint64)
+    keys = np.empty((len(sig), bands), dtype=np.uint64)
+    for j in range(bands):
+        k = np.full(len(sig), j + 1, dtype=np.uint64)
+        for r in range(rows):
+            k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + sig[:, j * rows + r])
+        keys[:, j] = k >> np.uint64(64 - KEY_BITS)
+    return keys
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(records, SKETCH / 64) words that hold the lowest bit of each of the first SKETCH coordinates."""
+    bits = (sig[:, :SKETCH] & np.uint32(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def class_rows(rows: DataFrame, extra: list[str], bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+    """(id, cls, s1, s2, extra...) of each text long enough: its class, a hash of its shingle set, and its sketch."""
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Shingler(size, min_words)
+        s = Shingler()
         for b in batches:
             kept, sh, starts = s.runs(b.column(1).to_pylist())
             if not kept:
                 continue
             cls = fold(sh, starts)
-            offsets = pa.array(np.r_[starts, len(sh)].astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(sh.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.array(cls.view(np.int64)), lists], ["id", "cls", "shingles"])
+            parts = [sketches(signatures(sh[f:e], starts[lo:hi] - f, SKETCH)) for lo, hi, f, e in _groups(starts, len(sh))]
+            sk, at = np.concatenate(parts).view(np.int64), pa.array(kept)
+            cols = [b.column(0).take(at), pa.array(cls.view(np.int64)), pa.array(np.ascontiguousarray(sk[:, 0])), pa.array(np.ascontiguousarray(sk[:, 1]))]
+            yield pa.RecordBatch.from_arrays([*cols, *(b.column(2 + i).take(at) for i in range(len(extra)))], ["id", "cls", "s1", "s2", *extra])
 
-    return rows.select("id", "text").mapInArrow(op, "id bigint, cls bigint, shingles array<bigint>")
+    kinds = dict(rows.dtypes)
+    more = "".join(f", {c} {kinds[c]}" for c in extra)
+    return rows.select("id", "text", *extra).mapInArrow(op, f"id {kinds['id']}, cls bigint, s1 bigint, s2 bigint{more}")
 
 
-def band_rows(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(band_key, cls, n): one row per class and band, n the size of the set."""
+def band_rows(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+    """(band_key, cls): one row per text and band."""
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler()
         for b in batches:
-            if not b.num_rows:
+            kept, sh, starts = s.runs(b.column(0).to_pylist())
+            if not kept:
                 continue
-            cls = b.column(0).to_numpy(zero_copy_only=False)
-            lists = b.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            sizes = np.diff(lists.offsets.to_numpy())
+            # texts of one class in a batch have the same bands: they are emitted once
+            cls, first = np.unique(fold(sh, starts), return_index=True)
+            ends = np.r_[starts, len(sh)]
+            sh = np.concatenate([sh[ends[i] : ends[i + 1]] for i in first])
+            sizes = np.array([ends[i + 1] - ends[i] for i in first])
             starts = np.cumsum(sizes) - sizes
-            # runs are cut into groups of records so that a group stays within MAX_BATCH_CELLS shingles
-            lo = 0
-            while lo < len(starts):
-                hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + MAX_BATCH_CELLS)))
-                end = starts[hi] if hi < len(starts) else len(flat)
-                sig = signatures(flat[starts[lo] : end], starts[lo:hi] - starts[lo], bands * rows).astype(np.uint64)
-                keys = np.empty((hi - lo, bands), dtype=np.uint64)
-                for j in range(bands):
-                    k = np.full(hi - lo, j + 1, dtype=np.uint64)
-                    for r in range(rows):
-                        k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + sig[:, j * rows + r])
-                    keys[:, j] = k
+            for lo, hi, f, e in _groups(starts, len(sh)):
+                keys = band_keys(signatures(sh[f:e], starts[lo:hi] - f, bands * per_band), bands, per_band)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(cls[lo:hi], bands)), pa.array(np.repeat(sizes[lo:hi], bands).astype(np.int32))],
-                    ["band_key", "cls", "n"],
+                    [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(cls[lo:hi], bands).view(np.int64))], ["band_key", "cls"]
                 )
-                lo = hi
 
-    return sets.select("cls", "shingles").mapInArrow(op, "band_key bigint, cls bigint, n int")
+    return rows.select("text").mapInArrow(op, "band_key bigint, cls bigint")
 
 
-def near_candidates(bands: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct (a, b) classes, a < b, that share a band and whose set sizes allow the threshold."""
-    l, r = bands.alias("l"), bands.alias("r")
-    fits = (F.col("l.n") >= F.col("r.n") * threshold) & (F.col("r.n") >= F.col("l.n") * threshold)
-    pairs = l.join(r, (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.cls") < F.col("r.cls")) & fits)
+def near_candidates(bands: DataFrame) -> DataFrame:
+    """Distinct (a, b) classes, a < b, that share a band."""
+    once = bands.repartition("band_key").distinct()  # one shuffle: the distinct and the join keep its partitioning
+    l, r = once.alias("l"), once.alias("r")
+    pairs = l.join(r, (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.cls") < F.col("r.cls")))
     return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
 
 
-def class_links(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(a, b, similarity) of every pair of distinct classes at or above the threshold, verified exactly."""
-    reps = sets.groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    cand = near_candidates(band_rows(reps, bands, rows), threshold)
-    j = cand.join(reps.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(reps.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    j = j.select("a", "b", inter.alias("i"), (F.size("x") + F.size("y") - inter).alias("u"))
-    # i / u >= threshold, in integers: the threshold has at most four decimals
-    return j.where(F.col("i") * 10_000 >= F.col("u") * round(threshold * 10_000)).select("a", "b", (F.col("i") / F.col("u")).alias("similarity"))
+def likely(cand: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Candidates whose sketches do not differ more than similarity ``threshold`` allows.
+
+    Each of the SKETCH bits differs with probability (1 - s) / 2; a pair at the
+    threshold is dropped only beyond SIGMAS standard deviations.
+    """
+    p = (1 - threshold) / 2
+    most = SKETCH * p + SIGMAS * (SKETCH * p * (1 - p)) ** 0.5
+    c = classes.groupBy("cls").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"))
+    j = cand.join(c.select(F.col("cls").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2")), "a")
+    j = j.join(c.select(F.col("cls").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2")), "b")
+    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    return j.where(differ <= int(most)).select("a", "b")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs of classes at or above the threshold, by the exact sets of their texts."""
+    used = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    rep = classes.join(used, "cls").groupBy("cls").agg(F.min("id").alias("id"))
+    texts = rows.select("id", "text").join(rep, "id").select("cls", "text").dropDuplicates(["cls"])
+    j = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def grams(t: str) -> set[tuple[str, ...]]:
+            w = words_of(t)
+            return set(zip(*(w[i:] for i in range(SHINGLE))))
+
+        for b in batches:
+            out = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                p, q = grams(x), grams(y)
+                i = len(p & q)
+                u = len(p) + len(q) - i
+                out.append(i / u if i * 10_000 >= u * round(threshold * 10_000) else None)
+            sim = pa.array(out, pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sim], ["a", "b", "similarity"]).filter(sim.is_valid())
+
+    return j.select("a", "b", "x", "y").mapInArrow(op, "a bigint, b bigint, similarity double")
+
+
+def class_links(rows: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+    """(a, b, similarity) of every pair of distinct classes at or above the threshold."""
+    return verify(likely(near_candidates(band_rows(rows, bands, per_band)), classes, threshold), classes, rows, threshold)
+
 
+def near_pairs(rows: DataFrame, copy_of: Callable[[Column], Column], threshold: float = THRESHOLD) -> DataFrame:
+    """(row_id_a, row_id_b), a < b: all pairs of rows (id, text) at or above the threshold that are no copies.
 
-def near_pairs(rows: DataFrame, copy_key, threshold: float = THRESHOLD) -> DataFrame:
-    """(row_id_a, row_id_b), a < b: all pairs of rows (id, text) at or above the threshold that are no copies by ``copy_key``."""
-    sets = shingle_sets(rows)
-    links = class_links(sets, threshold)
-    keyed = rows.select("id", copy_key(F.col("text")).alias("copy"))
-    members = sets.select("id", "cls").join(keyed, "id")
+    ``copy_of`` gives the canonical text two copies have in common.
+    """
+    keyed = rows.select("id", "text", F.xxhash64(copy_of(F.col("text"))).alias("copy"))
+    classes = class_rows(keyed, ["copy"])
+    links = class_links(rows, classes, threshold)
     # rows of one class whose texts are no copies (other emoji, say) are pairs of similarity 1
-    several = members.groupBy("cls").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo <> hi").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    m1 = members.select(F.col("cls").alias("a"), F.col("id").alias("i"), F.col("copy").alias("ci"))
-    m2 = members.select(F.col("cls").alias("b"), F.col("id").alias("j"), F.col("copy").alias("cj"))
-    both = links.select("a", "b").join(m1, "a").join(m2, "b")
-    same = several.join(m1, "a").join(m2, "b").where("i < j")
-    return (
-        both.unionByName(same)
-        .where("ci <> cj")
-        .select(F.least("i", "j").alias("row_id_a"), F.greatest("i", "j").alias("row_id_b"))
-    )
+    several = classes.groupBy("cls").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo <> hi").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    pairs = links.select("a", "b").unionByName(several)
+    m = pairs.join(classes.select(F.col("cls").alias("a"), F.col("id").alias("i"), F.col("copy").alias("ci")), "a")
+    m = m.join(classes.select(F.col("cls").alias("b"), F.col("id").alias("j"), F.col("copy").alias("cj")), "b")
+    return m.where("ci <> cj AND (a <> b OR i < j)").select(F.least("i", "j").alias("row_id_a"), F.greatest("i", "j").alias("row_id_b"))
 
 
 def near_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, cls, n_links): one row per text long enough, its class and the number of other classes linked to it."""
-    sets = shingle_sets(rows)
-    links = class_links(sets, threshold)
+    classes = class_rows(rows.select("id", "text"), [])
+    links = class_links(rows, classes, threshold)
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
     n = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
-    return sets.select("id", "cls").join(n, "cls", "left").select("id", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return classes.select("id", "cls").join(n, "cls", "left").select("id", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
