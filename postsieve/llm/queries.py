@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dupes, encode, lookalike, nearup, quality
+from . import dupes, encode, language, lookalike, nearup, quality
 
 
 def tweets_and_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +38,20 @@ def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
     return nearup.near_classes(posts(spark, sf))
 
 
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "combined").select(F.col("row_id").alias("id"), "text", "lang")
+    return language.segments(rows, language.train(language.training_sample(rows)))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.mislabelled(_segments(spark, sf)).select(F.col("id").alias("row_id"), "seg_no", F.col("language").alias("lang")).distinct()
+
+
+def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every segment of every post, with its confidence."""
+    return _segments(spark, sf).withColumnsRenamed({"id": "row_id", "lang": "declared"})
+
+
 def _two_post_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf, "labeled_posts").select("post_id", "text"), table(spark, sf, "llm_labeled_posts").select("record_id", "text")
 
@@ -76,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p4_found": p4_found,
+    "p4_segments": p4_segments,
     "p7_found": p7_found,
     "p7_texts": p7_texts,
     "p8_ids": p8_ids,
