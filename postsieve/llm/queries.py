@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dupes, encode, language, lookalike, nearup, quality
+from . import dupes, encode, language, lookalike, nearup, pii, quality
 
 
 def tweets_and_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,6 +52,15 @@ def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _segments(spark, sf).withColumnsRenamed({"id": "row_id", "lang": "declared"})
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(posts(spark, sf), pii.Model()).withColumnRenamed("id", "row_id")
+
+
+def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every post with its personal data replaced."""
+    return pii.redacted(posts(spark, sf), pii.Model()).withColumnRenamed("id", "row_id")
+
+
 def _two_post_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf, "labeled_posts").select("post_id", "text"), table(spark, sf, "llm_labeled_posts").select("record_id", "text")
 
@@ -92,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p7_texts": p7_texts,
     "p8_ids": p8_ids,
