@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dupes, encode, language, lookalike, nearup, pii, quality
+from . import dupes, encode, language, lookalike, nearup, pii, quality, toxic
 
 
 def tweets_and_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,6 +52,32 @@ def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _segments(spark, sf).withColumnsRenamed({"id": "row_id", "lang": "declared"})
 
 
+def _toxicity(spark: SparkSession, sf: str) -> tuple[toxic.Model, DataFrame]:
+    h = table(spark, sf, "hatebase_cleaned").select(F.lit("hatebase_cleaned").alias("tab"), F.col("tweet_id").alias("row_id"), F.col("tweet").alias("text"), "class", "data")
+    c = table(spark, sf, "combined").select(F.lit("combined").alias("tab"), "row_id", "text", F.lit(None).cast("string").alias("class"), "data")
+    return toxic.Model(h.select("text", "class"), table(spark, sf, "lexicon")), c.unionByName(h)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    model, rows = _toxicity(spark, sf)
+    return toxic.score(rows, model, ["tab", "row_id"]).where(F.col("p_value") <= toxic.ALPHA).select("tab", "row_id")
+
+
+def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Score, probability and significant passages of every text."""
+    model, rows = _toxicity(spark, sf)
+    return toxic.score(rows, model, ["tab", "row_id"], passages=True)
+
+
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and share of toxic texts per table and source."""
+    model, rows = _toxicity(spark, sf)
+    rows = rows.withColumn("source", F.lower(F.trim("data"))).where("text IS NOT NULL")
+    s = toxic.score(rows, model, ["tab", "source"])
+    n = s.groupBy("tab", "source").agg(F.count("*").alias("n_texts"), F.count_if(F.col("p_value") <= toxic.ALPHA).alias("n_toxic"))
+    return n.withColumn("toxic_share", F.round(F.col("n_toxic") / F.col("n_texts"), 6))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(posts(spark, sf), pii.Model()).withColumnRenamed("id", "row_id")
 
@@ -101,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_segments": p4_segments,
+    "p5_found": p5_found,
+    "p5_scores": p5_scores,
+    "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
