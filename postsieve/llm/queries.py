@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dupes, encode, language, lookalike, nearup, pii, quality, toxic
+from . import dupes, encode, language, lookalike, mixture, nearup, pii, quality, toxic
 
 
 def tweets_and_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,6 +110,17 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_column(table(spark, sf, "documents"), "doc_id")
 
 
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    docs = mixture.sized_documents(table(spark, sf, "documents"))
+    return mixture.mix(docs, table(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of every target source."""
+    docs = mixture.sized_documents(table(spark, sf, "documents"))
+    return mixture.shares(*mixture.mix(docs, table(spark, sf, "mix_targets")))
+
+
 def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
     """All statistics, and the reasons of the rules that fail."""
     v = quality.verdicts(quality.statistics(table(spark, sf, "documents")))
@@ -135,6 +146,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_texts": p7_texts,
     "p8_ids": p8_ids,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_stats": p10_stats,
 }
