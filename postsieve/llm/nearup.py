@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -273,7 +274,8 @@ def near_pairs(rows: DataFrame, copy_of: Callable[[Column], Column], threshold:
     ``copy_of`` gives the canonical text two copies have in common.
     """
     keyed = rows.select("id", "text", F.xxhash64(copy_of(F.col("text"))).alias("copy"))
-    classes = class_rows(keyed, ["copy"])
+    # read by four joins: kept (40 bytes a row), recomputed where an executor is lost
+    classes = class_rows(keyed, ["copy"]).persist(StorageLevel.MEMORY_AND_DISK)
     links = class_links(rows, classes, threshold)
     # rows of one class whose texts are no copies (other emoji, say) are pairs of similarity 1
     several = classes.groupBy("cls").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo <> hi").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
@@ -285,7 +287,7 @@ def near_pairs(rows: DataFrame, copy_of: Callable[[Column], Column], threshold:
 
 def near_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, cls, n_links): one row per text long enough, its class and the number of other classes linked to it."""
-    classes = class_rows(rows.select("id", "text"), [])
+    classes = class_rows(rows.select("id", "text"), []).persist(StorageLevel.MEMORY_AND_DISK)
     links = class_links(rows, classes, threshold)
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
     n = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
