@@ -30,9 +30,8 @@ COMMON_WORDS = {
     "pt": "o a os as e é um uma de do da que em no na não por para com se ao mais já está foi minha meu nós você mas ou como ainda muito sem eu ele ela isso à às nos das dos",
     "nl": "de het een en is niet van in op te dat die voor met zijn er aan ik je hij ze wij wie om bij ook maar nog al na heeft haar naar waarom mijn mij wil kan graag iemand niemand hebben of deze dit nu wat er",
 }
-WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_'’\-]*"
 _ALL = sorted({w for ws in COMMON_WORDS.values() for w in ws.split()})
-COMMON = r"(?iU)(?<![\p{L}\p{N}_'’\-])(?:" + "|".join(_ALL) + r")(?![\p{L}\p{N}_\-])"
+NO_WORD = r"[^\p{L}\p{N}_'’\-]+"
 BULLET = r"^\s*(?:[-–•*·‣◦+]|\d{1,3}[.)])\s+"
 #: Marks in front of quoted or chat lines; they do not make a list.
 QUOTING = r"^\s*(?:>+\s*|@[\p{L}\p{N}_]+:\s*|note \d+:\s*)+"
@@ -49,71 +48,79 @@ MIN_LETTER_WORDS = 0.8
 MAX_REPEATED = 0.3  # characters in repeated lines
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
-
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, r"\r\n|\n|\r"), lambda l: l.rlike(r"(?U)\S"))
 
 
-def _line_stats(line: Column) -> Column:
+def _total(array: Column | str, of) -> Column:
+    return F.aggregate(array, F.lit(0), lambda a, x: a + of(x).cast("int"))
+
+
+def _line(line: Column) -> Column:
+    """What the statistics need of a line: its parts are split once, later steps only count them."""
     body = F.regexp_replace(line, QUOTING, "")
-    words = _count(body, WORD)
-    letters = F.char_length(F.regexp_replace(body, r"[^\p{L}\p{M}]+", ""))
-    size, own = F.char_length(line), F.char_length(body)
-    parts = _count(body, SEPARATOR)
-    ends = body.rlike(r"[.!?…。！？][\s\p{Pe}\p{Pf}\"'*]*(?:[\p{So}\p{Cf}\p{Mn}\s]*)$")
-    by_words = (words >= 2) & (parts * 3 < words) & (letters <= words * 12) & (_count(body, COMMON) >= F.greatest(words * MIN_COMMON, F.lit(1)))
+    words = F.filter(F.split(F.lower(body), NO_WORD), lambda w: w.rlike(r"^['’\-]*[\p{L}\p{N}_]"))
+    bare = F.regexp_replace(body, r"[^\p{L}\p{M}]+", "")
+    return F.struct(
+        line.alias("line"),
+        F.char_length(line).alias("size"),
+        F.char_length(body).alias("own"),
+        F.char_length(bare).alias("letters"),
+        words.alias("words"),
+        (F.char_length(body) - F.char_length(F.regexp_replace(body, SEPARATOR, "##"))).alias("parts"),
+        # the last characters decide how a line ends
+        F.right(body, F.lit(24)).rlike(r"[.!?…。！？][\s\p{Pe}\p{Pf}\"'*]*[\p{So}\p{Cf}\p{Mn}\s]*$").alias("ends"),
+        body.rlike(r"^\s*[{\[|]").alias("opens"),
+        line.rlike(BULLET).alias("bullet"),
+    )
+
+
+def _line_stats(x: Column) -> Column:
+    n = F.size(x["words"])
+    common = F.size(F.filter(x["words"], lambda w: w.isin(*_ALL)))
+    numeric = F.size(F.filter(x["words"], lambda w: ~w.rlike(r"\p{L}")))
+    by_words = (n >= 2) & (x["parts"] * 3 < n) & (x["letters"] <= n * 12) & (common >= F.greatest(n * MIN_COMMON, F.lit(1)))
     # sentences of a language without a list of common words: ended, long enough, made of letters
-    by_shape = ends & (words >= 5) & (letters >= own * 0.7) & (letters <= words * 10) & ~body.rlike(r"[|;{}\[\]=]")
+    by_shape = x["ends"] & (n >= 5) & (x["letters"] >= x["own"] * 0.7) & (x["letters"] <= n * 10) & ~x["line"].rlike(r"[|;{}\[\]=]")
     return F.struct(
-        size.alias("size"), ((by_words | by_shape) & ~body.rlike(r"^\s*[{\[|]")).alias("prose"), ends.alias("ends"), line.rlike(BULLET).alias("bullet"), F.char_length(F.regexp_replace(line, LINK, "")).alias("unlinked")
+        x["size"].alias("size"), n.alias("n"), common.alias("common"), numeric.alias("numeric"), x["letters"].alias("letters"), _total(x["words"], F.char_length).alias("word_chars"),
+        ((by_words | by_shape) & ~x["opens"]).alias("prose"), x["ends"].alias("ends"), x["bullet"].alias("bullet"),
+        F.when(x["line"].contains("://") | x["line"].contains("www."), F.char_length(F.regexp_replace(x["line"], LINK, ""))).otherwise(x["size"]).alias("unlinked"),
     )
 
 
 def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: counts and ratios (null where a ratio has no denominator)."""
+    # a null text gives null lines; each step is a column of its own, so that it is computed once
     d = docs.select(key, F.when(F.col("text").rlike(r"(?U)\S"), F.col("text")).alias("text"))
-    t = F.col("text")
-    d = d.withColumns({"lines": F.transform(_lines(t), _line_stats), "raw_lines": F.transform(_lines(t), F.trim)})
-    total = lambda f: F.aggregate("lines", F.lit(0), lambda a, x: a + f(x).cast("int"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    chars_in = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.char_length(x))
-    d = d.withColumns(
-        {
-            "n_chars": zero(F.char_length("text")),
-            "n_words": zero(_count(t, WORD)),
-            "n_letters": zero(F.char_length(F.regexp_replace(t, r"[^\p{L}]+", ""))),
-            "n_lines": zero(F.size("lines")),
-            "word_chars": F.char_length(F.regexp_replace(t, r"[^\p{L}\p{N}_]+", "")),
-            "n_symbols": _count(t, r"#|\.\.\.|…|[|{}<>=\\~^_@\[\]]|\x{FFFD}|Ã.|Â|â€"),
-            "n_common": _count(t, COMMON),
-            "n_letter_words": _count(t, r"[\p{N}_'’\-]*\p{L}[\p{L}\p{N}_'’\-]*"),
-            "in_lines": total(lambda x: x["size"]),
-            "in_prose": total(lambda x: F.when(x["prose"], x["size"]).otherwise(0)),
-            "n_ended": total(lambda x: x["ends"]),
-            "n_bullets": total(lambda x: x["bullet"]),
-            "unlinked": total(lambda x: x["unlinked"]),
-            "line_chars": chars_in("raw_lines"),
-            "distinct_chars": chars_in(F.array_distinct("raw_lines")),
-        }
+    d = d.withColumn("raw", _lines(F.col("text")))
+    d = d.withColumns({"lines": F.transform(F.transform("raw", _line), _line_stats), "trimmed": F.transform("raw", F.trim)})
+    total = lambda name: F.coalesce(_total("lines", lambda x: x[name]), F.lit(0))
+    d = d.select(
+        key,
+        F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"),
+        F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
+        (F.char_length("text") - F.char_length(F.regexp_replace("text", r"[#|{}<>=\\~^_@\[\]\x{FFFD}]|\.\.\.|…|Ã.|â€", ""))).alias("n_symbols"),
+        *(total(c).alias(f"n_{c}") for c in ("n", "common", "numeric", "letters", "word_chars", "size", "ends", "bullet", "unlinked")),
+        F.coalesce(_total("lines", lambda x: F.when(x["prose"], x["size"]).otherwise(0)), F.lit(0)).alias("n_prose"),
+        _total("trimmed", F.char_length).alias("line_chars"),
+        _total(F.array_distinct("trimmed"), F.char_length).alias("distinct_chars"),
     )
     ratio = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 4)
     return d.select(
         key,
         "n_chars",
-        "n_words",
+        F.col("n_n").alias("n_words"),
         "n_lines",
-        ratio("word_chars", "n_words").alias("mean_word_length"),
-        ratio("n_symbols", "n_words").alias("symbol_ratio"),
+        ratio("n_word_chars", "n_n").alias("mean_word_length"),
+        ratio("n_symbols", "n_n").alias("symbol_ratio"),
         ratio("n_letters", "n_chars").alias("letter_share"),
-        ratio("n_letter_words", "n_words").alias("letter_word_share"),
-        ratio("n_ended", "n_lines").alias("ended_line_share"),
-        ratio("n_bullets", "n_lines").alias("bullet_share"),
-        ratio("n_common", "n_words").alias("common_share"),
-        ratio("in_prose", "in_lines").alias("prose_share"),
-        (1 - ratio("unlinked", "in_lines")).alias("link_share"),
+        (1 - ratio("n_numeric", "n_n")).alias("letter_word_share"),
+        ratio("n_ends", "n_lines").alias("ended_line_share"),
+        ratio("n_bullet", "n_lines").alias("bullet_share"),
+        ratio("n_common", "n_n").alias("common_share"),
+        ratio("n_prose", "n_size").alias("prose_share"),
+        (1 - ratio("n_unlinked", "n_size")).alias("link_share"),
         (1 - ratio("distinct_chars", "line_chars")).alias("repeated_share"),
     )
 
