@@ -31,10 +31,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BANDS, ROWS = 32, 4
 KEY_BITS = 48  # of a band key; a chance collision costs one verification
 SKETCH, SIGMAS = 128, 3.5  # bits of a sketch, tolerance of its filter
@@ -216,9 +217,15 @@ def band_rows(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> Data
 
 
 def near_candidates(bands: DataFrame) -> DataFrame:
-    """Distinct (a, b) classes, a < b, that share a band."""
-    once = bands.repartition("band_key").distinct()  # one shuffle: the distinct and the join keep its partitioning
-    l, r = once.alias("l"), once.alias("r")
+    """Distinct (a, b) classes, a < b, that share a band.
+
+    Most band keys belong to one class. An aggregation finds the others; only
+    their rows are kept, written once, and joined with each other.
+    """
+    by_key = bands.repartition("band_key")  # one shuffle for the aggregation and the join
+    several = by_key.groupBy("band_key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("band_key")
+    shared = cut_lineage(by_key.join(several.hint("shuffle_hash"), "band_key", "left_semi").distinct())
+    l, r = shared.alias("l"), shared.alias("r")
     pairs = l.join(r, (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.cls") < F.col("r.cls")))
     return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
 
@@ -274,8 +281,7 @@ def near_pairs(rows: DataFrame, copy_of: Callable[[Column], Column], threshold:
     ``copy_of`` gives the canonical text two copies have in common.
     """
     keyed = rows.select("id", "text", F.xxhash64(copy_of(F.col("text"))).alias("copy"))
-    # read by four joins: kept (40 bytes a row), recomputed where an executor is lost
-    classes = class_rows(keyed, ["copy"]).persist(StorageLevel.MEMORY_AND_DISK)
+    classes = cut_lineage(class_rows(keyed, ["copy"]).repartition("cls"))  # read by six joins, 40 bytes a row
     links = class_links(rows, classes, threshold)
     # rows of one class whose texts are no copies (other emoji, say) are pairs of similarity 1
     several = classes.groupBy("cls").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo <> hi").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
@@ -287,7 +293,7 @@ def near_pairs(rows: DataFrame, copy_of: Callable[[Column], Column], threshold:
 
 def near_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, cls, n_links): one row per text long enough, its class and the number of other classes linked to it."""
-    classes = class_rows(rows.select("id", "text"), []).persist(StorageLevel.MEMORY_AND_DISK)
+    classes = cut_lineage(class_rows(rows.select("id", "text"), []).repartition("cls"))
     links = class_links(rows, classes, threshold)
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
     n = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
