@@ -26,11 +26,11 @@ empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,7 @@ from ..session import cut_lineage
 
 BANDS, ROWS = 32, 4
 KEY_BITS = 48  # of a band key; a chance collision costs one verification
+SHINGLE_BITS = 44  # of a shingle; a batch may hold 2**20 records
 SKETCH, SIGMAS = 128, 3.5  # bits of a sketch, tolerance of its filter
 MIN_WORDS = 20
 SHINGLE = 3
@@ -49,7 +50,7 @@ _M32 = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 _M64 = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SCRAMBLE = np.uint32(0x9E3779B9)
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -84,36 +85,38 @@ def signatures(shingles: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-class Shingler:
-    """Turns texts into runs of distinct 64-bit shingles; words are hashed once per worker."""
-
-    def __init__(self, size: int = SHINGLE, min_words: int = MIN_WORDS, memo: int = 500_000):
-        self.size, self.min_words, self.memo = size, min_words, memo
-        self.known: dict[str, int] = {}
+class _Hashes(dict):
+    """64-bit hashes of words, each computed once."""
 
-    def _hash(self, word: str) -> int:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self.known) >= self.memo:
-            self.known.clear()
-        self.known[word] = h
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 
+
+class Shingler:
+    """Turns texts into runs of distinct shingles of SHINGLE_BITS bits; words are hashed once per worker."""
+
+    def __init__(self, size: int = SHINGLE, min_words: int = MIN_WORDS, memo: int = 500_000):
+        self.size, self.min_words, self.memo = size, min_words, memo
+        self.known = _Hashes()
+
     def runs(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """(positions that take part, shingles of all of them, start of each run)."""
-        kept, flat, counts, known = [], [], [], self.known
+        if len(self.known) > self.memo:
+            self.known.clear()
+        kept, flat, counts, hash_of = [], [], [], self.known.__getitem__
+        least = max(self.min_words, self.size)
         for i, t in enumerate(texts):
             if not t:
                 continue
             w = words_of(t)
-            if len(w) < max(self.min_words, self.size):
+            if len(w) < least:
                 continue
             kept.append(i)
             counts.append(len(w))
-            for x in w:
-                h = known.get(x)
-                flat.append(self._hash(x) if h is None else h)
+            flat.extend(map(hash_of, w))
         if not kept:
             return [], np.empty(0, np.uint64), np.empty(0, np.int64)
         h = np.array(flat, dtype=np.uint64)
@@ -129,18 +132,17 @@ class Shingler:
         valid = np.ones(len(h), dtype=bool)
         for j in range(1, self.size):
             valid[ends - j] = False
-        owner = np.repeat(np.arange(len(kept)), counts)[valid]
-        mixed = mixed[valid]
-        order = np.lexsort((mixed, owner))
-        owner, mixed = owner[order], mixed[order]
-        new = np.ones(len(mixed), dtype=bool)
-        new[1:] = (mixed[1:] != mixed[:-1]) | (owner[1:] != owner[:-1])
-        owner, mixed = owner[new], mixed[new]
-        return kept, mixed, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        owner = np.repeat(np.arange(len(kept), dtype=np.uint64), counts)[valid]
+        # one sort by record and shingle: the record fills the bits above SHINGLE_BITS
+        low = np.uint64(SHINGLE_BITS)
+        keyed = np.sort(owner << low | mixed[valid] >> np.uint64(64 - SHINGLE_BITS))
+        keyed = keyed[np.r_[True, keyed[1:] != keyed[:-1]]]
+        owner = keyed >> low
+        return kept, mix64(keyed & np.uint64((1 << SHINGLE_BITS) - 1)), np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
 
 
 def fold(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of each run of sorted values."""
+    """One 64-bit hash of each run of distinct values in a fixed order."""
     pos = np.arange(len(values), dtype=np.uint64) - np.repeat(starts, np.diff(np.r_[starts, len(values)])).astype(np.uint64)
     return np.bitwise_xor.reduceat(mix64(values + pos * np.uint64(0x9E3779B97F4A7C15)), starts)
 
