@@ -52,7 +52,7 @@ def tagged_lines(lines: DataFrame) -> DataFrame:
     parsed = (
         lines.select("run_id", "file_seq", "line_no", "record_id", v.alias("v"))
         .where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
-        .withColumn("m", F.col("v").cast("map<string,variant>"))
+        .withColumn("m", F.try_variant_get(F.col("v"), "$", "map<string,variant>"))
     )
 
     def tagged(_: Column, x: Column) -> Column:
