@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -221,12 +221,12 @@ def band_rows(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> Data
 def near_candidates(bands: DataFrame) -> DataFrame:
     """Distinct (a, b) classes, a < b, that share a band.
 
-    Most band keys belong to one class. An aggregation finds the others; only
-    their rows are kept, written once, and joined with each other.
+    Most band keys belong to one class. A window over the one shuffle leaves only
+    the others, which are written once and joined with each other.
     """
-    by_key = bands.repartition("band_key")  # one shuffle for the aggregation and the join
-    several = by_key.groupBy("band_key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("band_key")
-    shared = cut_lineage(by_key.join(several.hint("shuffle_hash"), "band_key", "left_semi").distinct())
+    w = Window.partitionBy("band_key")
+    several = bands.withColumns({"lo": F.min("cls").over(w), "hi": F.max("cls").over(w)}).where("lo < hi")
+    shared = cut_lineage(several.select("band_key", "cls").distinct())
     l, r = shared.alias("l"), shared.alias("r")
     pairs = l.join(r, (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.cls") < F.col("r.cls")))
     return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
