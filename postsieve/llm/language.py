@@ -36,6 +36,7 @@ from .quality import COMMON_WORDS
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 TRAIN_PER_LABEL = 400
+LIST_SEQUENCES = 120  # per language, composed of its function words
 MIN_SEGMENT = 3
 DIMS = 1 << 16
 EPOCHS, RATE, DECAY = 8, 0.12, 1e-5
@@ -133,6 +134,9 @@ def training_sequences(sample: list[tuple[str, str]], seed: int = 7) -> list[tup
         if votes == {y}:
             pure.setdefault(y, []).append(words_of(text)[:200])
     rng = random.Random(seed)
+    for y in pure:  # function words alone, so that their lists weigh beyond the words of the sample
+        common = COMMON_WORDS[LANGUAGES[y]].split()
+        pure[y] += [rng.choices(common, k=rng.randrange(4, 12)) for _ in range(LIST_SEQUENCES)]
     own: dict[int, list[str]] = {y: [w for ws in seqs for w in ws] for y, seqs in pure.items()}
     out = []
     for y, seqs in pure.items():

@@ -39,7 +39,7 @@ QUOTING = r"^\s*(?:>+\s*|@[\p{L}\p{N}_]+:\s*|note \d+:\s*)+"
 SEPARATOR = r"\s[·|>»/•→]\s|\t"
 LINK = r"(?i)\b(?:https?://|www\.)\S+"
 
-MIN_COMMON = 0.1  # share of common words of a line of sentences
+MIN_COMMON = 0.15  # share of common words of a line of sentences
 MIN_PROSE = 0.5  # share of a text's characters in lines of sentences
 WORD_LENGTH = (3.0, 10.0)
 MAX_SYMBOLS = 0.1
@@ -71,6 +71,8 @@ def _line(line: Column) -> Column:
         # the last characters decide how a line ends
         F.right(body, F.lit(24)).rlike(r"[.!?…。！？][\s\p{Pe}\p{Pf}\"'*]*[\p{So}\p{Cf}\p{Mn}\s]*$").alias("ends"),
         body.rlike(r"^\s*[{\[|]").alias("opens"),
+        # signs inside words, as broken or encoded text has them
+        F.regexp_count(body, F.lit(r"[\p{L}\p{N}][;+/=]+(?=[\p{L}\p{N}])")).alias("broken"),
         line.rlike(BULLET).alias("bullet"),
     )
 
@@ -79,11 +81,13 @@ def _line_stats(x: Column) -> Column:
     n = F.size(x["words"])
     common = F.size(F.filter(x["words"], lambda w: w.isin(*_ALL)))
     numeric = F.size(F.filter(x["words"], lambda w: ~w.rlike(r"\p{L}")))
-    by_words = (n >= 2) & (x["parts"] * 3 < n) & (x["letters"] <= n * 12) & (common >= F.greatest(n * MIN_COMMON, F.lit(1)))
+    by_words = (n >= 2) & (x["parts"] * 3 < n) & (x["broken"] * 8 < n) & (x["letters"] <= n * 12) & (common >= F.greatest(n * MIN_COMMON, F.lit(1)))
     # sentences of a language without a list of common words: ended, long enough, made of letters
     by_shape = x["ends"] & (n >= 5) & (x["letters"] >= x["own"] * 0.7) & (x["letters"] <= n * 10) & ~x["line"].rlike(r"[|;{}\[\]=]")
+    # a few plain words, for texts of a single line
+    brief = (n >= 1) & (n < 5) & (x["parts"] == 0) & ~x["bullet"] & (x["letters"] >= x["own"] * 0.5) & (x["letters"] <= n * 12) & ~x["line"].rlike(r"[#|;{}\[\]=<>_]|://") & ((n == 1) | (F.size(F.array_distinct(x["words"])) > 1))
     return F.struct(
-        x["size"].alias("size"), n.alias("n"), common.alias("common"), numeric.alias("numeric"), x["letters"].alias("letters"), _total(x["words"], F.char_length).alias("word_chars"),
+        x["size"].alias("size"), n.alias("n"), brief.alias("brief"), common.alias("common"), numeric.alias("numeric"), x["letters"].alias("letters"), _total(x["words"], F.char_length).alias("word_chars"),
         ((by_words | by_shape) & ~x["opens"]).alias("prose"), x["ends"].alias("ends"), x["bullet"].alias("bullet"),
         F.when(x["line"].contains("://") | x["line"].contains("www."), F.char_length(F.regexp_replace(x["line"], LINK, ""))).otherwise(x["size"]).alias("unlinked"),
     )
@@ -102,7 +106,7 @@ def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
         (F.char_length("text") - F.char_length(F.regexp_replace("text", r"[#|{}<>=\\~^_@\[\]\x{FFFD}]|\.\.\.|…|Ã.|â€", ""))).alias("n_symbols"),
         *(total(c).alias(f"n_{c}") for c in ("n", "common", "numeric", "letters", "word_chars", "size", "ends", "bullet", "unlinked")),
-        F.coalesce(_total("lines", lambda x: F.when(x["prose"], x["size"]).otherwise(0)), F.lit(0)).alias("n_prose"),
+        F.coalesce(_total("lines", lambda x: F.when(x["prose"] | (x["brief"] & (F.size("lines") == 1)), x["size"]).otherwise(0)), F.lit(0)).alias("n_prose"),
         _total("trimmed", F.char_length).alias("line_chars"),
         _total(F.array_distinct("trimmed"), F.char_length).alias("distinct_chars"),
     )
