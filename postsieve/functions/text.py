@@ -77,3 +77,53 @@ def content_hash(text: Column) -> Column:
 
 def has_symbol(text: Column) -> Column:
     return text.rlike(r"\p{So}")
+
+
+def _split(pattern: str) -> list[str]:
+    """Alternatives at the top level of a pattern."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(pattern):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and depth == 0:
+            out.append(pattern[at:i])
+            at = i + 1
+    return [*out, pattern[at:]]
+
+
+_PIECE = re.compile(r"(?P<group>\((?P<inner>[^()]*)\))|(?P<other>\[[^\]]*\]|\\.)|(?P<word>[a-z]+)|.")
+
+
+def _probe_set(alternative: str) -> list[str] | None:
+    """Literals of which every match of the alternative holds at least one."""
+    best: list[str] | None = None
+    for m in _PIECE.finditer(alternative):
+        optional = alternative[m.end() : m.end() + 1] in ("?", "*")
+        found = None
+        if m["word"]:
+            found = [m["word"][:-1] if optional else m["word"]]
+        elif m["group"] and not optional:
+            found = probes(m["inner"])
+        if found and min(map(len, found)) > 1 and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+    return best
+
+
+def probes(pattern: str) -> list[str] | None:
+    """Lower-case literals of which every match of a rule holds at least one; None if there are none.
+
+    They are sought in the case-folded text first, as most texts hold no one of them.
+    """
+    inner = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    while inner.startswith("(") and _closes_at(inner) == len(inner) - 1:
+        inner = inner[1:-1]
+    sets = [_probe_set(a) for a in _split(inner)]
+    return None if any(s is None for s in sets) else [x for s in sets for x in s]
+
+
+def _closes_at(pattern: str) -> int:
+    depth = 0
+    for i, c in enumerate(pattern):
+        depth += (c == "(") - (c == ")")
+        if depth == 0:
+            return i
+    return -1

@@ -9,12 +9,13 @@ matched by a nested-loop join on a substring probe before the pattern.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import bounded, has_word_char, longest_piece, normalise_fold, normalised, term_pattern
+from ..functions.text import bounded, has_word_char, longest_piece, normalise_fold, normalised, probes, term_pattern
 
 INLINE_TERMS = 256
 MAX_TERMS = 50_000
@@ -26,10 +27,18 @@ def _hit(kind: str, category: str | Column, token: str | Column, meaning: str |
     return F.struct(F.lit(kind).alias("kind"), c(category).alias("category"), c(token).alias("token"), c(meaning).alias("meaning"))
 
 
-def moderation_hits(text: Column) -> Column:
-    """Array of hits of a normalised text, one per pattern that occurs, in rule order."""
-    found = [F.when(text.rlike(bounded(p)), _hit("moderation", c, p, None)) for c, ps in rules.MODERATION.items() for p in ps]
-    return F.array_compact(F.array(*found))
+def moderation_hits(norm: Column, folded: Column) -> Column:
+    """Array of hits of a normalised text, one per pattern that occurs, in rule order.
+
+    Literal probes in the folded text come before each pattern: a match folds to a text that holds one.
+    """
+    plain = F.replace(folded, F.lit("ı"), F.lit("i"))
+
+    def occurs(pattern: str) -> Column:
+        hit, words = norm.rlike(bounded(pattern)), probes(pattern)
+        return hit if words is None else reduce(Column.__or__, [plain.contains(w) for w in words]) & hit
+
+    return F.array_compact(F.array(*[F.when(occurs(p), _hit("moderation", c, p, None)) for c, ps in rules.MODERATION.items() for p in ps]))
 
 
 def meaning_category(meaning: Column) -> Column:
@@ -107,7 +116,7 @@ def match_posts(posts: DataFrame, key: str, lexicon: DataFrame, inline: int = IN
     """Adds moderation_hits and coded_hits to posts (key, text, ...); a null text has no hits."""
     terms = load_lexicon(lexicon)
     n = posts.withColumn("_t", normalise_fold(F.coalesce("text", F.lit("")))).withColumns({"norm": F.col("_t.norm"), "folded": F.col("_t.folded")}).drop("_t")
-    n = n.withColumn("moderation_hits", moderation_hits(F.col("norm")))
+    n = n.withColumn("moderation_hits", moderation_hits(F.col("norm"), F.col("folded")))
     if len(terms) <= inline:
         return n.withColumn("coded_hits", coded_hits_inline(terms, F.col("norm"), F.col("folded"))).drop("norm", "folded")
     hits = coded_hits_joined(n.select(key, "norm", "folded"), key, terms)

@@ -9,11 +9,12 @@ from ..functions import rules
 from ..functions.text import WORD, digits_only, has_symbol, share_of, strip
 
 
-def garbage_rule(text: Column) -> Column:
-    """Name of the rule that drops a text, null if it stays; the first rule that applies decides. A null text counts as empty."""
-    t = strip(F.coalesce(text, F.lit("")))
+def _rule(t: Column) -> Column:
+    """Name of the rule that drops a stripped text, null if it stays; the first rule that applies decides."""
     address = t.rlike(rules.DOMAIN_ENDINGS) & ~t.contains("http://") & ~t.contains("https://")
-    symbolic = (F.char_length(t) > 2) & (share_of(t, r"(?U)[^\p{L}\p{N}\s\x1c-\x1f]") > rules.MAX_SYMBOLS)
+    # letters and digits of any script, counted as ASCII first: only texts poor in those need the exact share
+    poor = F.char_length(F.regexp_replace(t, r"[^A-Za-z0-9 ]+", "")) <= F.char_length(t) * (1 - rules.MAX_SYMBOLS)
+    symbolic = (F.char_length(t) > 2) & poor & (share_of(t, r"(?U)[^\p{L}\p{N}\s\x1c-\x1f]") > rules.MAX_SYMBOLS)
     keep = F.lit(None).cast("string")
     return (
         F.when(t == "", "empty")
@@ -29,6 +30,14 @@ def garbage_rule(text: Column) -> Column:
     )
 
 
+def with_garbage_rule(posts: DataFrame, text: str = "text", name: str = "rule") -> DataFrame:
+    """Adds the name of the rule that drops each post, null if it stays. A null text counts as empty.
+
+    The stripped text is a column of its own, else every branch would strip again.
+    """
+    return posts.withColumn("_t", strip(F.coalesce(F.col(text), F.lit("")))).withColumn(name, _rule(F.col("_t"))).drop("_t")
+
+
 def screen(posts: DataFrame, text: str = "text") -> DataFrame:
     """Posts that stay."""
-    return posts.where(garbage_rule(F.col(text)).isNull())
+    return with_garbage_rule(posts, text, "_rule").where("_rule IS NULL").drop("_rule")

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift
-from ..session import table
+from ..session import spread, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.drift_changes(table(spark, sf, "label_lines")).distinct()
+    return drift.drift_changes(spread(table(spark, sf, "label_lines").select("run_id", "file_seq", "line_no", "record_id", "raw"))).distinct()
 
 
 def p1_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Every label line in one table with the same columns."""
-    u = drift.unify(table(spark, sf, "label_lines"))
+    u = drift.unify(spread(table(spark, sf, "label_lines").select("run_id", "file_seq", "line_no", "record_id", "raw")))
     flat = lambda m: F.to_json(F.array_sort(F.map_entries(m)))
     return u.withColumns({"branches": flat("branches"), "rest": flat("rest")})
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, normalise_fold
 from ..operators import dedupe, export, inference, labels, matching, profile, screening
-from ..session import table
+from ..session import spread, table
 
 
 def _posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,7 +25,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.label_posts(_posts(spark, sf), "row_id", table(spark, sf, "lexicon"))
+    return labels.label_posts(spread(_posts(spark, sf)), "row_id", table(spark, sf, "lexicon"))
 
 
 def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,18 +41,19 @@ def rule_label_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def moderation_hits_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    h = _posts(spark, sf).select(F.explode(matching.moderation_hits(normalise_fold(F.coalesce("text", F.lit("")))["norm"])).alias("h"))
+    n = spread(_posts(spark, sf)).select(normalise_fold(F.coalesce("text", F.lit(""))).alias("n")).select("n.norm", "n.folded")
+    h = n.select(F.explode(matching.moderation_hits(F.col("norm"), F.col("folded"))).alias("h"))
     return h.groupBy(F.col("h.category").alias("category"), F.col("h.token").alias("token")).agg(F.count("*").alias("n"))
 
 
 def lexicon_hits(spark: SparkSession, sf: str) -> DataFrame:
-    d = matching.match_posts(_posts(spark, sf), "row_id", table(spark, sf, "lexicon"))
+    d = matching.match_posts(spread(_posts(spark, sf)), "row_id", table(spark, sf, "lexicon"))
     return d.select("row_id", F.explode("coded_hits").alias("h")).select("row_id", "h.category", "h.token", "h.meaning")
 
 
 def lexicon_hits_joined(spark: SparkSession, sf: str) -> DataFrame:
     """The same by the join that larger lexicons take."""
-    d = matching.match_posts(_posts(spark, sf), "row_id", table(spark, sf, "lexicon"), inline=0)
+    d = matching.match_posts(spread(_posts(spark, sf)), "row_id", table(spark, sf, "lexicon"), inline=0)
     return d.select("row_id", F.explode("coded_hits").alias("h")).select("row_id", "h.category", "h.token", "h.meaning")
 
 
@@ -67,12 +68,11 @@ def meaning_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def garbage_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return _posts(spark, sf).select("row_id", screening.garbage_rule(F.col("text")).alias("rule")).where("rule IS NOT NULL")
+    return screening.with_garbage_rule(spread(_posts(spark, sf))).select("row_id", "rule").where("rule IS NOT NULL")
 
 
 def garbage_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rule = screening.garbage_rule(F.col("text"))
-    return _posts(spark, sf).agg(F.count("*").alias("n_input"), F.count_if(rule.isNull()).alias("n_kept"))
+    return screening.with_garbage_rule(spread(_posts(spark, sf))).agg(F.count("*").alias("n_input"), F.count_if(F.col("rule").isNull()).alias("n_kept"))
 
 
 def _loose() -> object:

@@ -76,9 +76,9 @@ GARBAGE = {
 
 
 def test_screening(spark):
-    d = spark.createDataFrame([(k, v) for k, v in GARBAGE.items()], "text string, want string").withColumn("got", screening.garbage_rule(F.col("text")))
+    d = screening.with_garbage_rule(spark.createDataFrame([(k, v) for k, v in GARBAGE.items()], "text string, want string"), name="got")
     assert [(r["text"], r["got"]) for r in d.collect()] == list(GARBAGE.items())
-    assert spark.createDataFrame([(None,)], "text string").select(screening.garbage_rule(F.col("text")).alias("r")).first()["r"] == "empty"
+    assert screening.with_garbage_rule(spark.createDataFrame([(None,)], "text string")).first()["rule"] == "empty"
 
 
 @settings(max_examples=15, deadline=None)
@@ -94,6 +94,13 @@ def test_text_functions_match_python(spark, texts):
     assert [x["n"]["folded"] for x in r] == [T.normalised(t).casefold() for t in texts]
 
 
+def test_probes_are_in_every_match():
+    assert T.probes(r"\b(kms|ctb)\b") == ["kms", "ctb"]
+    assert T.probes(r"\b(kill\s+myself|end\s+it\s+all|suicid(e|al)|doxx?)\b") == ["myself", "end", "suicid", "dox"]
+    assert T.probes(r"\b(i\s*(will|['’]?ll)\s*(kill|hurt))\b") == ["kill", "hurt"]
+    assert T.probes(r"\brip\s+your\b") == ["your"] and T.probes(r"\b[ab]\b") is None
+
+
 def test_dedupe(spark):
     d = spark.createDataFrame([(1, "A "), (2, "a"), (3, None), (4, "none"), (5, "b"), (6, None)], "id int, text string")
     key = dedupe.loose_key(F.col("text"))
