@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import where_computed
+
 PRESENCE_SHARE = 10  # a field belongs to a file if count * PRESENCE_SHARE >= lines
 RENAME_AGREE = (9, 10)  # equal values on at least 9 of 10 matched posts
 
@@ -48,23 +50,18 @@ def _text_of(value: Column, tag: Column) -> Column:
 
 def tagged_lines(lines: DataFrame) -> DataFrame:
     """(run_id, file_seq, line_no, record_id, text, fields map<string, struct<tag, val>>) of parsable lines."""
-    v = F.try_parse_json("raw")
-    parsed = (
-        lines.select("run_id", "file_seq", "line_no", "record_id", v.alias("v"))
-        .where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
-        .withColumn("m", F.try_variant_get(F.col("v"), "$", "map<string,variant>"))
-    )
-
     def tagged(_: Column, x: Column) -> Column:
         x = F.coalesce(x, F.parse_json(F.lit("null")))
         tag = _tag(x)
         return F.struct(tag.alias("tag"), _text_of(x, tag).alias("val"))
 
-    fields = F.transform_values("m", tagged)
+    # null for a line that is no JSON object
+    m = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
+    d = lines.select("run_id", "file_seq", "line_no", "record_id", m.alias("m"))
+    d = d.select("run_id", "file_seq", "line_no", "record_id", F.transform_values("m", tagged).alias("fields"))
     text = F.element_at(F.col("fields"), "text")
-    return parsed.select("run_id", "file_seq", "line_no", "record_id", fields.alias("fields")).withColumn(
-        "text", F.when(text["tag"] == "string", text["val"])
-    )
+    d = d.withColumn("text", F.when(text["tag"] == "string", text["val"]))
+    return where_computed(d, F.col("fields").isNotNull())
 
 
 def type_alternatives(tagged: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import WORD, digits_only, has_symbol, share_of, strip
+from ..session import where_computed
 
 
 def _rule(t: Column) -> Column:
@@ -40,4 +41,4 @@ def with_garbage_rule(posts: DataFrame, text: str = "text", name: str = "rule")
 
 def screen(posts: DataFrame, text: str = "text") -> DataFrame:
     """Posts that stay."""
-    return with_garbage_rule(posts, text, "_rule").where("_rule IS NULL").drop("_rule")
+    return where_computed(with_garbage_rule(posts, text, "_rule"), F.col("_rule").isNull()).drop("_rule")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, normalise_fold
 from ..operators import dedupe, export, inference, labels, matching, profile, screening
-from ..session import spread, table
+from ..session import spread, table, where_computed
 
 
 def _posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +60,7 @@ def lexicon_hits_joined(spark: SparkSession, sf: str) -> DataFrame:
 def lexicon_hits_capped(spark: SparkSession, sf: str) -> DataFrame:
     hits = matching.capped_hits(F.col("text"), table(spark, sf, "lexicon"), 2)
     d = _posts(spark, sf).select("row_id", F.array_join(F.transform(hits, lambda h: F.concat_ws("=", h["token"], h["meaning"])), ";").alias("hits"))
-    return d.where("hits <> ''")
+    return where_computed(d, F.col("hits") != "")
 
 
 def meaning_categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,7 +68,7 @@ def meaning_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def garbage_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return screening.with_garbage_rule(spread(_posts(spark, sf))).select("row_id", "rule").where("rule IS NOT NULL")
+    return where_computed(screening.with_garbage_rule(spread(_posts(spark, sf))).select("row_id", "rule"), F.col("rule").isNotNull())
 
 
 def garbage_counts(spark: SparkSession, sf: str) -> DataFrame:

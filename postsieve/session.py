@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
@@ -40,6 +41,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns that leaves their computation below it.
+
+    The optimizer would push the condition down with a copy of every expression
+    it refers to; a cheap column that is not deterministic stops that.
+    """
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder named by spark.checkpoint.dir.
 
