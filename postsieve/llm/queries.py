@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table, where_computed
 from . import dupes, encode, language, lookalike, mixture, nearup, pii, quality, toxic
 
 
@@ -27,7 +27,11 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "combined").select(F.col("row_id").alias("id"), "text")
+    return spread(table(spark, sf, "combined").select(F.col("row_id").alias("id"), "text"))
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +43,7 @@ def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "combined").select(F.col("row_id").alias("id"), "text", "lang")
+    rows = spread(table(spark, sf, "combined").select(F.col("row_id").alias("id"), "text", "lang"))
     return language.segments(rows, language.train(language.training_sample(rows)))
 
 
@@ -55,7 +59,7 @@ def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
 def _toxicity(spark: SparkSession, sf: str) -> tuple[toxic.Model, DataFrame]:
     h = table(spark, sf, "hatebase_cleaned").select(F.lit("hatebase_cleaned").alias("tab"), F.col("tweet_id").alias("row_id"), F.col("tweet").alias("text"), "class", "data")
     c = table(spark, sf, "combined").select(F.lit("combined").alias("tab"), "row_id", "text", F.lit(None).cast("string").alias("class"), "data")
-    return toxic.Model(h.select("text", "class"), table(spark, sf, "lexicon")), c.unionByName(h)
+    return toxic.Model(spread(h.select("text", "class")), table(spark, sf, "lexicon")), spread(c.unionByName(h))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +92,7 @@ def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _two_post_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf, "labeled_posts").select("post_id", "text"), table(spark, sf, "llm_labeled_posts").select("record_id", "text")
+    return spread(table(spark, sf, "labeled_posts").select("post_id", "text")), spread(table(spark, sf, "llm_labeled_posts").select("record_id", "text"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,28 +111,29 @@ def p7_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.encode_column(table(spark, sf, "documents"), "doc_id")
+    return encode.encode_column(documents(spark, sf), "doc_id")
 
 
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    docs = mixture.sized_documents(table(spark, sf, "documents"))
+    docs = mixture.sized_documents(documents(spark, sf))
     return mixture.mix(docs, table(spark, sf, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and actual share of every target source."""
-    docs = mixture.sized_documents(table(spark, sf, "documents"))
+    docs = mixture.sized_documents(documents(spark, sf))
     return mixture.shares(*mixture.mix(docs, table(spark, sf, "mix_targets")))
 
 
 def p10_stats(spark: SparkSession, sf: str) -> DataFrame:
     """All statistics, and the reasons of the rules that fail."""
-    v = quality.verdicts(quality.statistics(table(spark, sf, "documents")))
+    v = quality.verdicts(quality.statistics(documents(spark, sf)))
     return v.withColumn("reasons", F.array_join("reasons", ","))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.verdicts(quality.statistics(table(spark, sf, "documents"))).where("rejected").select("doc_id").distinct()
+    v = quality.verdicts(quality.statistics(documents(spark, sf)))
+    return where_computed(v.select("doc_id", "rejected"), F.col("rejected")).select("doc_id").distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
