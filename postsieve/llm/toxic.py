@@ -45,7 +45,7 @@ MIN_COUNT, MIN_Z = 4, 1.9
 DRIFT = 0.45  # taken from every token's log-odds: background segments lose
 UNKNOWN = -0.35  # score of a token without evidence
 CLIP = 4.0
-ALPHA = 1e-6
+ALPHA = 3e-5
 FLUSH = 300_000  # terms counted by a task before they are handed on
 
 #: Plain insults and sexual words (pseudo-counts), and letters written as digits or symbols.
