@@ -18,7 +18,7 @@ are ignored; an empty input gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import where_computed
@@ -66,13 +66,17 @@ def tagged_lines(lines: DataFrame) -> DataFrame:
 
 def type_alternatives(tagged: DataFrame) -> DataFrame:
     """Fused schema per file: (run_id, file_seq, field, tag, n, n_lines) with every alternative type."""
-    lines = tagged.groupBy("run_id", "file_seq").agg(F.count("*").alias("n_lines"))
+    # a pseudo-field that every line has counts the lines in the same pass
+    mark = F.struct(F.lit("line").alias("tag"), F.lit("").alias("val"))
+    entries = F.concat(F.map_entries("fields"), F.array(F.struct(F.lit(None).cast("string").alias("key"), mark.alias("value"))))
     seen = (
-        tagged.select("run_id", "file_seq", F.explode("fields").alias("field", "x"))
-        .groupBy("run_id", "file_seq", "field", F.col("x.tag").alias("tag"))
+        tagged.select("run_id", "file_seq", F.explode(entries).alias("e"))
+        .groupBy("run_id", "file_seq", F.col("e.key").alias("field"), F.col("e.value.tag").alias("tag"))
         .agg(F.count("*").alias("n"))
     )
-    return seen.join(lines, ["run_id", "file_seq"])
+    # over one row per file, field and type
+    n_lines = F.max(F.when(F.col("tag") == "line", F.col("n"))).over(Window.partitionBy("run_id", "file_seq"))
+    return seen.withColumn("n_lines", n_lines).where("field IS NOT NULL")
 
 
 def file_schemas(alternatives: DataFrame) -> DataFrame:
@@ -87,8 +91,6 @@ def file_schemas(alternatives: DataFrame) -> DataFrame:
     per_file = per_field.groupBy("run_id", "file_seq").agg(
         F.map_from_entries(F.collect_list(F.struct("field", F.coalesce("best.tag", F.lit("null"))))).alias("schema")
     )
-    from pyspark.sql import Window
-
     w = Window.partitionBy("run_id").orderBy("file_seq")
     return per_file.withColumns({"prev_seq": F.lag("file_seq").over(w), "prev": F.lag("schema").over(w)})
 
@@ -119,17 +121,14 @@ def rename_evidence(tagged: DataFrame, steps: DataFrame) -> DataFrame:
     """
     open_ = steps.where((F.size("gone") > 0) & (F.size("new") > 0))
 
-    def side(seq: str, field: str, n_old: Column, n_new: Column) -> DataFrame:
-        s = open_.select("run_id", F.col(seq).alias("at"), F.col("file_seq").alias("step"), "gone", F.col("new").alias("fresh"))
-        t = tagged.where(F.col("text").isNotNull()).select("run_id", F.col("file_seq").alias("at"), "text", "fields")
-        j = t.join(s, ["run_id", "at"])
-        j = j.select("run_id", "step", "text", "fields", "fresh", F.explode("gone").alias("old"))
-        j = j.select("run_id", "step", "text", "fields", "old", F.explode("fresh").alias("new"))
-        return j.where(F.map_contains_key("fields", F.col(field))).select(
-            "run_id", "step", "text", "old", "new", F.element_at(F.col("fields"), F.col(field)).alias("x"), n_old.alias("a"), n_new.alias("b")
-        )
-
-    both = side("prev_seq", "old", F.lit(1), F.lit(0)).unionByName(side("file_seq", "new", F.lit(0), F.lit(1)))
+    roles = F.explode(F.array(F.struct(F.col("prev_seq").alias("at"), F.lit(True).alias("before")), F.struct(F.col("file_seq").alias("at"), F.lit(False).alias("before"))))
+    s = open_.select("run_id", F.col("file_seq").alias("step"), "gone", F.col("new").alias("fresh"), roles.alias("r")).select("run_id", "step", "gone", "fresh", "r.at", "r.before")
+    t = tagged.where(F.col("text").isNotNull()).select("run_id", F.col("file_seq").alias("at"), "text", "fields")
+    j = t.join(s, ["run_id", "at"])
+    j = j.select("run_id", "step", "text", "fields", "before", "fresh", F.explode("gone").alias("old"))
+    j = j.select("run_id", "step", "text", "fields", "before", "old", F.explode("fresh").alias("new"))
+    both = j.withColumn("x", F.element_at("fields", F.when(F.col("before"), F.col("old")).otherwise(F.col("new"))))
+    both = both.where("x IS NOT NULL").withColumns({"a": F.when(F.col("before"), 1).otherwise(0), "b": F.when(F.col("before"), 0).otherwise(1)})
     by_value = both.groupBy("run_id", "step", "old", "new", "text", "x.tag", "x.val").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     by_text = by_value.groupBy("run_id", "step", "old", "new", "text").agg(
         F.sum(F.col("a") * F.col("b")).alias("agree"), (F.sum("a") * F.sum("b")).alias("both")
