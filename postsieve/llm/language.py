@@ -14,7 +14,9 @@ are strewn in so that a borrowed word does not switch.
 
 Defined cases: links, handles, tags, numbers and emoji are no words; a text
 without words (null, empty, blank, only emoji or links) has no segment; runs
-of fewer than MIN_SEGMENT words of two or more letters join their neighbour; a
+of fewer than MIN_SEGMENT words of two or more letters, or with a lower confidence
+than MIN_CONFIDENCE, join their neighbour; an attribution (via somebody) at an
+end of a text is no word; a
 text of only such runs is one segment of the language with the highest total;
 equal totals go to the first language of LANGUAGES; texts are read whole; extra
 columns are ignored; an empty table gives an empty result.
@@ -37,13 +39,13 @@ from .quality import COMMON_WORDS
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 TRAIN_PER_LABEL = 400
 LIST_SEQUENCES = 120  # per language, composed of its function words
-MIN_SEGMENT = 3
+MIN_SEGMENT, MIN_CONFIDENCE = 4, 0.6
 DIMS = 1 << 16
 EPOCHS, RATE, DECAY = 8, 0.12, 1e-5
 GROUP = 1024  # texts decoded together
 MEMO_WORDS = 300_000
 
-_SKIP_OR_WORD = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+\.[\w.-]+|[@#]\w+|([^\W\d_]+(?:['’][^\W\d_]+)*)", re.I)
+_SKIP_OR_WORD = re.compile(r"(?:https?://|www\.)\S+|^\s*via\s+\w+|\bvia\s+\w+\s*$|[\w.+-]+@[\w-]+\.[\w.-]+|[@#]\w+|([^\W\d_]+(?:['’][^\W\d_]+)*)", re.I)
 _LISTS = {w: [i for i, lang in enumerate(LANGUAGES) if w in COMMON_WORDS[lang].split()] for ws in COMMON_WORDS.values() for w in ws.split()}
 
 
@@ -265,7 +267,7 @@ class Decoder:
     def _segments(best: np.ndarray, m: np.ndarray, letters: np.ndarray) -> list[tuple[str, float, int]]:
         cuts = np.flatnonzero(np.diff(best)) + 1
         runs = [[int(best[a]), int(a), int(b), int(letters[a:b].sum())] for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(best)])]
-        kept = [r for r in runs if r[3] >= MIN_SEGMENT]
+        kept = [r for r in runs if r[3] >= MIN_SEGMENT and m[r[1] : r[2], r[0]].mean() >= MIN_CONFIDENCE]
         if not kept:
             y = int(m.sum(axis=0).argmax())
             return [(LANGUAGES[y], float(m[:, y].mean()), len(best))]
