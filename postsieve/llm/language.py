@@ -39,7 +39,7 @@ from .quality import COMMON_WORDS
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 TRAIN_PER_LABEL = 400
 LIST_SEQUENCES = 120  # per language, composed of its function words
-MIN_SEGMENT, MIN_CONFIDENCE = 4, 0.6
+MIN_SEGMENT, MIN_CONFIDENCE = 4, 0.5
 DIMS = 1 << 16
 EPOCHS, RATE, DECAY = 8, 0.12, 1e-5
 GROUP = 1024  # texts decoded together
