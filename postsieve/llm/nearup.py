@@ -285,12 +285,17 @@ def near_pairs(rows: DataFrame, copy_of: Callable[[Column], Column], threshold:
     keyed = rows.select("id", "text", F.xxhash64(copy_of(F.col("text"))).alias("copy"))
     classes = cut_lineage(class_rows(keyed, ["copy"]).repartition("cls"))  # read by six joins, 40 bytes a row
     links = class_links(rows, classes, threshold)
-    # rows of one class whose texts are no copies (other emoji, say) are pairs of similarity 1
-    several = classes.groupBy("cls").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo <> hi").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    pairs = links.select("a", "b").unionByName(several)
-    m = pairs.join(classes.select(F.col("cls").alias("a"), F.col("id").alias("i"), F.col("copy").alias("ci")), "a")
-    m = m.join(classes.select(F.col("cls").alias("b"), F.col("id").alias("j"), F.col("copy").alias("cj")), "b")
-    return m.where("ci <> cj AND (a <> b OR i < j)").select(F.least("i", "j").alias("row_id_a"), F.greatest("i", "j").alias("row_id_b"))
+    # a unit is the rows of one class that are copies of each other: units are paired, then rows, so no pair of copies is ever made
+    units = classes.select("cls", "copy").distinct()
+    ua, ub = units.select(F.col("cls").alias("a"), F.col("copy").alias("ca")), units.select(F.col("cls").alias("b"), F.col("copy").alias("cb"))
+    across = links.select("a", "b").join(ua, "a").join(ub, "b").where("ca <> cb")
+    # texts of one class that are no copies (other emoji, say) have a similarity of 1
+    several = units.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    within = several.join(ua, "a").join(ub, "b").where("ca < cb")
+    pairs = across.unionByName(within)
+    m = pairs.join(classes.select(F.col("cls").alias("a"), F.col("copy").alias("ca"), F.col("id").alias("i")), ["a", "ca"])
+    m = m.join(classes.select(F.col("cls").alias("b"), F.col("copy").alias("cb"), F.col("id").alias("j")), ["b", "cb"])
+    return m.select(F.least("i", "j").alias("row_id_a"), F.greatest("i", "j").alias("row_id_b"))
 
 
 def near_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

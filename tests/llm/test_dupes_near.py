@@ -94,6 +94,12 @@ def test_near_edges(spark):
     assert set(c) == {0, 1, 2, 3, 8, 9, 10} and c[0]["cls"] == c[2]["cls"] == c[3]["cls"] and c[8]["n_links"] == 0 and c[1]["n_links"] >= 1
 
 
+def test_a_hot_text_makes_no_pairs_of_copies(spark):
+    w = " ".join(f"w{i}" for i in range(25))
+    d = spark.range(3000).selectExpr("id", f"CASE WHEN id = 7 THEN '{w} 🌵' ELSE concat('{w}', repeat('!', int(id % 5))) END AS text")
+    assert nearup.near_pairs(d, dupes.canonical).count() == 2999
+
+
 def test_minhash_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
