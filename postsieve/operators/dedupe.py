@@ -27,9 +27,9 @@ def keep_first(rows: DataFrame, key: Column, ordinal: str) -> DataFrame:
 
 def repeated_rows(rows: DataFrame, key: Column) -> DataFrame:
     """All rows of groups with several members."""
-    keyed = rows.withColumn("_key", F.xxhash64(key)).withColumn("_text", key)
-    several = keyed.groupBy("_text").agg(F.count("*").alias("_n")).where("_n > 1").select("_text")
-    return keyed.join(several, "_text", "left_semi").drop("_key", "_text")
+    keyed = rows.withColumns({"_k1": F.xxhash64(key), "_k2": F.xxhash64(F.lit(1), key)})  # 128 bits stand for the key in the shuffle
+    several = keyed.groupBy("_k1", "_k2").agg(F.count("*").alias("_n")).where("_n > 1").select("_k1", "_k2")
+    return keyed.join(several, ["_k1", "_k2"], "left_semi").drop("_k1", "_k2")
 
 
 def excess_rows(rows: DataFrame, key: Column) -> DataFrame:
