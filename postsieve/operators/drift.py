@@ -9,7 +9,8 @@ when their values agree on the posts both files hold. ``unify`` follows the
 renames and reads all lines into one table: conflicting types are split into
 tagged branches, and the canonical column converts each branch.
 
-Defined cases: null, empty, cut off or non-object lines are unparsable and do
+Defined cases: lines without a run or file are one run or file of their own;
+null, empty, cut off or non-object lines are unparsable and do
 not count; a file without a parsable line is no file of the run; a field whose
 values are all null has no type and is never retyped; equal counts of two
 types are decided for the alphabetically first; extra columns of the input
