@@ -17,7 +17,8 @@ larger ones (their number is at most rows / HOT_ROWS, so their list may be
 broadcast) keep their texts where they are, are pre-aggregated to one row per
 key, and joined back under AQE's skew handling.
 
-Defined cases: null and blank texts are no cases; texts of punctuation only are
+Defined cases: null and blank texts are no cases; a row without an id is never
+reported; texts of punctuation only are
 copies of each other; ids are unique per table; repeated (tab, id) rows count
 once; extra columns are ignored; an empty table gives an empty result.
 """

@@ -299,7 +299,7 @@ def training_sample(rows: DataFrame, per_label: int = TRAIN_PER_LABEL) -> list[t
     picked = r.where(F.pmod(F.xxhash64("id"), F.lit(space)) < below[F.col("label")]).select("id", "text", "label")
     # the hash keeps about per_label rows of each label; the limit is a bound for hostile ids
     got = picked.limit(4 * per_label * len(LANGUAGES)).collect()
-    return [(x[1], x[2]) for x in sorted(got, key=lambda x: (x[2], x[0]))]
+    return [(x[1], x[2]) for x in sorted(got, key=lambda x: (x[2], x[1]))]
 
 
 def segments(rows: DataFrame, crf: Crf) -> DataFrame:

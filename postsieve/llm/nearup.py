@@ -19,7 +19,8 @@ Scale: what is shuffled per band is a 48-bit key and a 64-bit class, once per
 class and task. Candidates are cut by a 128-bit sketch of the signature before
 any text is moved, so texts travel only for pairs that are likely near.
 
-Defined cases: null texts and texts of fewer than MIN_WORDS words take no part;
+Defined cases: null texts and texts of fewer than MIN_WORDS words take no part,
+nor do rows without an id;
 extra columns are ignored; repeated ids count once; an empty input gives an
 empty result.
 """

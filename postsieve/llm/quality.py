@@ -45,6 +45,7 @@ WORD_LENGTH = (3.0, 10.0)
 MAX_SYMBOLS = 0.1
 MAX_BULLETS = 0.9
 MIN_LETTER_WORDS = 0.8
+MAX_SIGNS = 8  # of a text without words that is let stand
 MAX_REPEATED = 0.3  # characters in repeated lines
 
 
@@ -86,6 +87,7 @@ def _line_stats(x: Column) -> Column:
     by_shape = x["ends"] & (n >= 5) & (x["letters"] >= x["own"] * 0.7) & (x["letters"] <= n * 10) & ~x["line"].rlike(r"[|;{}\[\]=]")
     # a few plain words, for texts of a single line
     brief = (n >= 1) & (n < 5) & (x["parts"] == 0) & ~x["bullet"] & (x["letters"] >= x["own"] * 0.5) & (x["letters"] <= n * 12) & ~x["line"].rlike(r"[#|;{}\[\]=<>_]|://") & ((n == 1) | (F.size(F.array_distinct(x["words"])) > 1))
+    brief = brief | ((n == 0) & (x["own"] <= MAX_SIGNS))  # a mark or two
     return F.struct(
         x["size"].alias("size"), n.alias("n"), brief.alias("brief"), common.alias("common"), numeric.alias("numeric"), x["letters"].alias("letters"), _total(x["words"], F.char_length).alias("word_chars"),
         ((by_words | by_shape) & ~x["opens"]).alias("prose"), x["ends"].alias("ends"), x["bullet"].alias("bullet"),

@@ -75,7 +75,7 @@ def test_ids_column(spark):
 
 PROSE = [
     "The parcel that a friend sent last week is still at the station.", "> I think the lamp in the hall is broken.\n> We should ask him about it.", "@ana12: have you seen the key?\n@bob7: it is on the table.", "so we went to the market and then it began to rain and nobody had a coat",
-    "ich glaube, dass der Zug heute nicht mehr kommt.", "minha irmã gostaria de vender a bicicleta ontem à noite", "Ok.", "Thanks a lot!", "We bought three things for the house and they were all cheap.\nIt was a good day for us.\n- milk\n- bread",
+    "ich glaube, dass der Zug heute nicht mehr kommt.", "minha irmã gostaria de vender a bicicleta ontem à noite", "Ok.", "👍👍", "Thanks a lot!", "We bought three things for the house and they were all cheap.\nIt was a good day for us.\n- milk\n- bread",
 ]
 JUNK = [
     "- red lamp\n- old chair\n* new table\n- small box", "term,class,count\nlamp,safe,12\nchair,unsafe,3\nbox,safe,9", "| a | b |\n| --- | --- |\n| lamp | 3 |\n| box | 4 |", "Home · About · Login · Help · Terms · Home", "https://a.example/x1\nhttps://a.example/x2\nhttps://a.example/x3",
