@@ -9,7 +9,7 @@ when their values agree on the posts both files hold. ``unify`` follows the
 renames and reads all lines into one table: conflicting types are split into
 tagged branches, and the canonical column converts each branch.
 
-Defined cases: lines without a run or file are one run or file of their own;
+Defined cases: lines without a run or a file number take no part;
 null, empty, cut off or non-object lines are unparsable and do
 not count; a file without a parsable line is no file of the run; a field whose
 values are all null has no type and is never retyped; equal counts of two
@@ -62,7 +62,7 @@ def tagged_lines(lines: DataFrame) -> DataFrame:
     d = d.select("run_id", "file_seq", "line_no", "record_id", F.transform_values("m", tagged).alias("fields"))
     text = F.element_at(F.col("fields"), "text")
     d = d.withColumn("text", F.when(text["tag"] == "string", text["val"]))
-    return where_computed(d, F.col("fields").isNotNull())
+    return where_computed(d, F.col("fields").isNotNull() & F.col("run_id").isNotNull() & F.col("file_seq").isNotNull())
 
 
 def type_alternatives(tagged: DataFrame) -> DataFrame:

@@ -71,6 +71,12 @@ def test_repeated_texts_count_as_pairs(spark):
     assert changes(spark, {(1, 1): a, (1, 2): b}) == [(2, "renamed", "a", "b")]
 
 
+def test_lines_without_a_run_take_no_part(spark):
+    d = lines(spark, {(1, 1): posts(3, a=1), (1, 2): posts(3, a=1)})
+    lost = lines(spark, {(1, 1): posts(3, zz=1)}).selectExpr("record_id", "CAST(NULL AS bigint) AS run_id", "file_seq", "file_name", "line_no", "raw", "fields")
+    assert drift.drift_changes(d.unionByName(lost)).count() == 0
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert drift.drift_changes(none).count() == 0
