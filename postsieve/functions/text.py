@@ -32,11 +32,12 @@ def normalised(text: str) -> str:
     return VARIATION.sub("", unicodedata.normalize("NFKC", text))
 
 
-@F.pandas_udf(StructType([StructField("norm", StringType()), StructField("folded", StringType())]))
+@F.pandas_udf(StructType([StructField("norm", StringType()), StructField("folded", StringType()), StructField("probe", StringType())]))
 def normalise_fold(s: pd.Series) -> pd.DataFrame:
-    """Normalised text and its case-folded form, in one trip to Python."""
+    """Normalised text, its case-folded form, and that form with dotless i as i for substring probes, in one trip to Python."""
     norm = s.map(lambda t: t if t is None or t.isascii() else normalised(t), na_action="ignore")
-    return pd.DataFrame({"norm": norm, "folded": norm.map(str.casefold, na_action="ignore")})
+    folded = norm.map(str.casefold, na_action="ignore")
+    return pd.DataFrame({"norm": norm, "folded": folded, "probe": folded.map(lambda t: t.replace("ı", "i"), na_action="ignore")})
 
 
 def bounded(pattern: str) -> str:

@@ -18,10 +18,8 @@ def _worst(categories: Column, default: str) -> Column:
     return F.coalesce(F.get(known, F.lit(0)), F.lit(default))
 
 
-def decide(moderation: Column, coded: Column) -> Column:
-    """struct(label, confidence, reasons): the first rule that applies decides."""
-    m = _categories(moderation)
-    coded_categories = _categories(coded)
+def decide(m: Column, coded_categories: Column) -> Column:
+    """struct(label, confidence, reasons) of the categories of both kinds of hits: the first rule that applies decides."""
     a = F.array_remove(coded_categories, "benign")
     out = lambda label, confidence, reason: F.struct(F.lit(label).alias("label"), F.lit(confidence).alias("confidence"), F.array(reason).alias("reasons"))
     return (
@@ -36,7 +34,9 @@ def decide(moderation: Column, coded: Column) -> Column:
 
 def label_posts(posts: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     """(key, text, label, confidence, reasons, moderation_hits, coded_hits) of posts (key, text)."""
-    d = match_posts(posts.select(key, "text"), key, lexicon).withColumn("_d", decide(F.col("moderation_hits"), F.col("coded_hits")))
+    d = match_posts(posts.select(key, "text"), key, lexicon)
+    # categories are columns of their own, as the rules refer to them many times
+    d = d.withColumns({"_m": _categories(F.col("moderation_hits")), "_c": _categories(F.col("coded_hits"))}).withColumn("_d", decide(F.col("_m"), F.col("_c")))
     return d.select(key, "text", "_d.label", "_d.confidence", "_d.reasons", "moderation_hits", "coded_hits")
 
 

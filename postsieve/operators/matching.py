@@ -27,16 +27,14 @@ def _hit(kind: str, category: str | Column, token: str | Column, meaning: str |
     return F.struct(F.lit(kind).alias("kind"), c(category).alias("category"), c(token).alias("token"), c(meaning).alias("meaning"))
 
 
-def moderation_hits(norm: Column, folded: Column) -> Column:
+def moderation_hits(norm: Column, probe: Column) -> Column:
     """Array of hits of a normalised text, one per pattern that occurs, in rule order.
 
     Literal probes in the folded text come before each pattern: a match folds to a text that holds one.
     """
-    plain = F.replace(folded, F.lit("ı"), F.lit("i"))
-
     def occurs(pattern: str) -> Column:
         hit, words = norm.rlike(bounded(pattern)), probes(pattern)
-        return hit if words is None else reduce(Column.__or__, [plain.contains(w) for w in words]) & hit
+        return hit if words is None else reduce(Column.__or__, [probe.contains(w) for w in words]) & hit
 
     return F.array_compact(F.array(*[F.when(occurs(p), _hit("moderation", c, p, None)) for c, ps in rules.MODERATION.items() for p in ps]))
 
@@ -84,28 +82,23 @@ def load_lexicon(lexicon: DataFrame) -> list[Term]:
     return out + [Term(len(out) + i, t, longest_piece(t.casefold()), term_pattern(t.casefold()), meanings[t]) for i, t in enumerate(words)]
 
 
-def _occurs(term_probe: Column, term_pattern_: Column | str | None, norm: Column, folded: Column) -> Column:
-    if term_pattern_ is None:
-        return norm.contains(term_probe)
-    return F.replace(folded, F.lit("ı"), F.lit("i")).contains(term_probe) & F.rlike(folded, F.lit(term_pattern_) if isinstance(term_pattern_, str) else term_pattern_)
-
-
-def coded_hits_inline(terms: list[Term], norm: Column, folded: Column) -> Column:
+def coded_hits_inline(terms: list[Term], norm: Column, folded: Column, probe: Column) -> Column:
     if not terms:
         return F.array().cast(f"array<{HIT}>")
     parts = []
     for t in terms:
         hits = F.array(*[_hit("coded", c, t.token, m) for m, c in t.meanings])
-        parts.append(F.when(_occurs(F.lit(t.probe), t.pattern, norm, folded), hits).otherwise(F.array().cast(f"array<{HIT}>")))
-    return F.concat(*parts)
+        occurs = norm.contains(t.probe) if t.pattern is None else probe.contains(t.probe) & folded.rlike(t.pattern)
+        parts.append(F.when(occurs, hits))
+    return F.flatten(F.array_compact(F.array(*parts)))
 
 
 def coded_hits_joined(posts: DataFrame, key: str, terms: list[Term]) -> DataFrame:
-    """(key, coded_hits) of the posts (key, norm, folded) with at least one hit, by a broadcast nested-loop join."""
+    """(key, coded_hits) of the posts (key, norm, folded, probe) with at least one hit, by a broadcast nested-loop join."""
     rows = [(t.rank, k, t.token, t.probe, t.pattern, m, c) for t in terms for k, (m, c) in enumerate(t.meanings)]
     d = F.broadcast(posts.sparkSession.createDataFrame(rows, "rank int, k int, token string, probe string, pattern string, meaning string, category string"))
     occurs = F.when(d["pattern"].isNull(), posts["norm"].contains(d["probe"])).otherwise(
-        F.replace(posts["folded"], F.lit("ı"), F.lit("i")).contains(d["probe"]) & F.rlike(posts["folded"], d["pattern"])
+        posts["probe"].contains(d["probe"]) & F.rlike(posts["folded"], d["pattern"])
     )
     j = posts.join(d, occurs).select(key, F.struct("rank", "k", _hit("coded", F.col("category"), F.col("token"), F.col("meaning")).alias("hit")).alias("h"))
     # a post meets each term once, so its list is bounded by the lexicon
@@ -114,13 +107,13 @@ def coded_hits_joined(posts: DataFrame, key: str, terms: list[Term]) -> DataFram
 
 def match_posts(posts: DataFrame, key: str, lexicon: DataFrame, inline: int = INLINE_TERMS) -> DataFrame:
     """Adds moderation_hits and coded_hits to posts (key, text, ...); a null text has no hits."""
-    terms = load_lexicon(lexicon)
-    n = posts.withColumn("_t", normalise_fold(F.coalesce("text", F.lit("")))).withColumns({"norm": F.col("_t.norm"), "folded": F.col("_t.folded")}).drop("_t")
-    n = n.withColumn("moderation_hits", moderation_hits(F.col("norm"), F.col("folded")))
+    terms, made = load_lexicon(lexicon), ["norm", "folded", "probe"]
+    n = posts.withColumn("_t", normalise_fold(F.coalesce("text", F.lit("")))).withColumns({c: F.col(f"_t.{c}") for c in made}).drop("_t")
+    n = n.withColumn("moderation_hits", moderation_hits(F.col("norm"), F.col("probe")))
     if len(terms) <= inline:
-        return n.withColumn("coded_hits", coded_hits_inline(terms, F.col("norm"), F.col("folded"))).drop("norm", "folded")
-    hits = coded_hits_joined(n.select(key, "norm", "folded"), key, terms)
-    return n.drop("norm", "folded").join(hits, key, "left").withColumn("coded_hits", F.coalesce("coded_hits", F.array().cast(f"array<{HIT}>")))
+        return n.withColumn("coded_hits", coded_hits_inline(terms, F.col("norm"), F.col("folded"), F.col("probe"))).drop(*made)
+    hits = coded_hits_joined(n.select(key, *made), key, terms)
+    return n.drop(*made).join(hits, key, "left").withColumn("coded_hits", F.coalesce("coded_hits", F.array().cast(f"array<{HIT}>")))
 
 
 def capped_hits(text: Column, lexicon: DataFrame, max_hits: int = 8) -> Column:

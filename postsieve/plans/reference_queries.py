@@ -41,8 +41,8 @@ def rule_label_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def moderation_hits_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    n = spread(_posts(spark, sf)).select(normalise_fold(F.coalesce("text", F.lit(""))).alias("n")).select("n.norm", "n.folded")
-    h = n.select(F.explode(matching.moderation_hits(F.col("norm"), F.col("folded"))).alias("h"))
+    n = spread(_posts(spark, sf)).select(normalise_fold(F.coalesce("text", F.lit(""))).alias("n")).select("n.norm", "n.probe")
+    h = n.select(F.explode(matching.moderation_hits(F.col("norm"), F.col("probe"))).alias("h"))
     return h.groupBy(F.col("h.category").alias("category"), F.col("h.token").alias("token")).agg(F.count("*").alias("n"))
 
 
