@@ -32,7 +32,7 @@ HOT_ROWS = 50_000
 #: Dropped characters, the letters of the histogram, and the shape of a record of fields.
 DROPPED = r"[\p{P}\p{IsWhite_Space}\x1c-\x1f]+"
 LETTERS = "eaotinr"
-FIELDS = r"^\s*\p{L}+\s*:[^|;]*(?:[|;]\s*\p{L}+\s*:[^|;]*){2,}$"
+FIELD = r"^\s*\p{L}+\s*:"
 
 
 def blank(text: Column) -> Column:
@@ -51,10 +51,16 @@ def invariants(s: Column) -> Column:
     return F.xxhash64(n, *[n - F.char_length(F.replace(s, F.lit(c), F.lit(""))) for c in LETTERS])
 
 
+def is_record(text: Column) -> Column:
+    """Does the text consist only of three or more fields? Most texts are told by their first word."""
+    parts = F.split(text, r"[|;]")
+    return text.rlike(FIELD) & (F.size(parts) >= 3) & F.forall(parts, lambda p: p.rlike(FIELD))
+
+
 def field_form(text: Column) -> Column:
     """Canonical form of a record of fields, null for any other text."""
     parts = F.transform(F.split(text, r"[|;]"), stripped)
-    return F.when(text.rlike(FIELDS), F.array_join(F.array_sort(parts), "\u0001"))
+    return F.when(is_record(text), F.array_join(F.array_sort(parts), "\u0001"))
 
 
 def digest(s: Column) -> Column:
@@ -68,7 +74,7 @@ def canonical(text: Column) -> Column:
 
 def _keyed(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "tab", "id", "class", digest("s").alias("plain"), F.when(F.col("text").rlike(FIELDS), digest(field_form(F.col("text")))).alias("fields")
+        "tab", "id", "class", digest("s").alias("plain"), digest(field_form(F.col("text"))).alias("fields")
     )
 
 

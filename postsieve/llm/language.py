@@ -45,7 +45,7 @@ EPOCHS, RATE, DECAY = 8, 0.12, 1e-5
 GROUP = 1024  # texts decoded together
 MEMO_WORDS = 300_000
 
-_SKIP_OR_WORD = re.compile(r"(?:https?://|www\.)\S+|^\s*via\s+\w+|\bvia\s+\w+\s*$|[\w.+-]+@[\w-]+\.[\w.-]+|[@#]\w+|([^\W\d_]+(?:['’][^\W\d_]+)*)", re.I)
+_SKIP_OR_WORD = re.compile(r"(?:https?://|www\.)\S+|^\s*via\s+\w+|\bvia\s+\w+\s*$|(?<![\w.+-])[\w.+-]++@[\w-]+\.[\w.-]+|[@#]\w+|([^\W\d_]+(?:['’][^\W\d_]+)*)", re.I)
 _LISTS = {w: [i for i, lang in enumerate(LANGUAGES) if w in COMMON_WORDS[lang].split()] for ws in COMMON_WORDS.values() for w in ws.split()}
 
 

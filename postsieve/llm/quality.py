@@ -34,7 +34,7 @@ _ALL = sorted({w for ws in COMMON_WORDS.values() for w in ws.split()})
 NO_WORD = r"[^\p{L}\p{N}_'’\-]+"
 BULLET = r"^\s*(?:[-–•*·‣◦+]|\d{1,3}[.)])\s+"
 #: Marks in front of quoted or chat lines; they do not make a list.
-QUOTING = r"^\s*(?:>+\s*|@[\p{L}\p{N}_]+:\s*|note \d+:\s*)+"
+QUOTING = r"^\s*(?:>+\s*|@[\p{L}\p{N}_]+:\s*|note \d+:\s*){1,8}"
 #: Marks between the entries of a menu or a table row.
 SEPARATOR = r"\s[·|>»/•→]\s|\t"
 LINK = r"(?i)\b(?:https?://|www\.)\S+"

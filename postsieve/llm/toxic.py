@@ -58,9 +58,9 @@ LEET = str.maketrans("0134578$@!€+", "oieastbsaiet")
 #: What a coded term must mean to count as harmful.
 HARMFUL = r"(?i)\b(insult|slur|stupid|suicide|kill|murder|assault|shoot|stab|rape|racist|supremacist|nazi|porn|sex|nude|naked)"
 
-_NOISE = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+\.\w+|(?<![\w$])[@#][a-z_]{3,}\b|^rt\b")
+_NOISE = re.compile(r"(?:https?://|www\.)\S+|(?<![\w.+-])[\w.+-]++@[\w-]+\.\w+|(?<![\w$])[@#][a-z_]{3,}\b|^rt\b")
 _SPACED = re.compile(r"(?<!\w)[^\W\d_](?:([ .*·_-])[^\W_])(?:\1[^\W_])+(?!\w)")
-_TOKEN = re.compile(r"[^\W_](?:[\w$@!€+*#%'’.-]*[\w$@€+*#%])?|[$@*#%_][\w$@!€+*#%.-]*[\w$@€]|[\U0001F300-\U0001FAFF]")
+_TOKEN = re.compile(r"[^\W_](?:[\w$@!€+*#%'’.-]{0,80}[\w$@€+*#%])?|[$@*#%_][\w$@!€+*#%.-]{0,40}[\w$@€]|[\U0001F300-\U0001FAFF]")
 _STRANGE = re.compile(r"[Ͱ-ϿЀ-ӿ԰-֏​-‏⁠-⁤＀-￯﻿­]")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _MASK = re.compile(r"[*#%_.+-]")
