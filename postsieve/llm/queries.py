@@ -178,5 +178,17 @@ t AS (
 
 ORACLES: dict[str, str] = {
     "p2_found": f"WITH {_COPIES} SELECT tab, first_id, id AS copy_id FROM m WHERE id <> first_id",
+    "p3_found": rf"""WITH {_COPIES}, w AS (
+  SELECT row_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM combined
+), s AS (
+  SELECT DISTINCT row_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS gram FROM w WHERE len(ws) >= 20
+), n AS (
+  SELECT row_id, count(*) AS n FROM s GROUP BY row_id
+), p AS (
+  SELECT a.row_id AS a, b.row_id AS b, count(*) AS i FROM s a JOIN s b ON a.gram = b.gram AND a.row_id < b.row_id GROUP BY ALL
+)
+SELECT p.a AS row_id_a, p.b AS row_id_b FROM p JOIN n x ON x.row_id = p.a JOIN n y ON y.row_id = p.b
+JOIN g ga ON ga.tab = 'combined' AND ga.id = p.a JOIN g gb ON gb.tab = 'combined' AND gb.id = p.b
+WHERE p.i * 10 >= 6 * (x.n + y.n - p.i) AND ga.key <> gb.key""",
     "p2_groups": f"WITH {_COPIES} SELECT tab, first_id, count(*) AS n_rows FROM m GROUP BY ALL HAVING count(*) > 1",
 }
