@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -176,7 +177,25 @@ t AS (
   SELECT tab, id, min(id) OVER (PARTITION BY tab, key) AS first_id FROM g
 )"""
 
+# look-alikes, width forms and spaces one to one; ligatures, ignorables and composition around them
+_MARKED = {}
+for _c, _l in lookalike.LOOKALIKE.items():  # letters with a mark that have a code point of their own in both scripts
+    for _m in map(chr, range(0x300, 0x370)):
+        _x, _y = unicodedata.normalize("NFC", _c + _m), unicodedata.normalize("NFC", _l + _m)
+        if len(_x) == len(_y) == 1:
+            _MARKED[_x] = _y
+_FROM = "".join(lookalike.LOOKALIKE) + "".join(_MARKED) + "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_TO = "".join(lookalike.LOOKALIKE.values()) + "".join(_MARKED.values()) + "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + " " * 16
+_LOOK = "nfc_normalize(text)"
+for _ligature, _letters in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "ſt"), ("ﬆ", "st")):
+    _LOOK = f"replace({_LOOK}, '{_ligature}', '{_letters}')"
+_LOOK = rf"regexp_replace({_LOOK}, '[\p{{Cf}}\x{{FE00}}-\x{{FE0F}}\x{{034F}}]', '', 'g')"
+_LOOK = f"nfc_normalize(translate({_LOOK}, '{_FROM}', '{_TO}'))"
+
 ORACLES: dict[str, str] = {
+    "p7_found": f"""WITH a AS (SELECT post_id, text, {_LOOK} AS look FROM labeled_posts WHERE text <> ''),
+b AS (SELECT record_id, text, {_LOOK} AS look FROM llm_labeled_posts WHERE text <> '')
+SELECT DISTINCT post_id, record_id FROM a JOIN b ON a.look = b.look AND a.text <> b.text""",
     "p2_found": f"WITH {_COPIES} SELECT tab, first_id, id AS copy_id FROM m WHERE id <> first_id",
     "p3_found": rf"""WITH {_COPIES}, w AS (
   SELECT row_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM combined

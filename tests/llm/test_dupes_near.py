@@ -55,7 +55,7 @@ def test_copies_of_nothing(spark):
     assert dupes.copies(spark.createDataFrame([], "tab string, id int, text string")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p2_groups", "p3_found"])
+@pytest.mark.parametrize("name", ["p2_found", "p2_groups", "p3_found", "p7_found"])
 def test_copies_as_sql(spark, sf, name):
     same(spark, sf, QUERIES[name], ORACLES[name])
 
