@@ -3,7 +3,8 @@
 High-recall generators propose spans of five types, which may overlap; boosted
 trees score each span by its format and its context; a threshold per type,
 calibrated on held-out examples, selects; of overlapping selections the best one
-stays. The rest of the text is untouched.
+stays. The rest of the text is untouched. Numbers that touch a phone number are
+told from it by the trees: every run of its digit groups is a candidate.
 
 The trees are trained in place on TRAIN_TEXTS sentences composed from invented
 names, streets and numbers in carrier and decoy sentences, with a fixed seed, so
@@ -58,7 +59,9 @@ _AT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 EMAIL = re.compile(rf"(?<![\w@.+-])[a-z0-9][\w.+-]*{_AT}[a-z0-9][\w-]*(?:{_DOT}[a-z0-9][\w-]*)+", re.I)
 MAYBE_EMAIL = re.compile(r"\S\s?@\s?\w|[\[({]\s?at\s?[\])}]|\sat\s(?=.{0,80}dot)", re.I | re.S)
-PHONE = re.compile(r"(?<![\w.,:/+#-])(?:\+\d++|\(\+?\d{1,5}\)|\d++)(?:(?:[ .\-/]\(?|\()\d++\)?){0,6}+(?!\w)")
+PHONE = re.compile(r"(?<![\w.,:/+#-])(?:\+\d++|\(\+?\d{1,5}\)|\d++)")
+PHONE_GROUP = re.compile(r"(?:[ .\-/]\(?|\()\d++\)?")
+PHONE_GROUPS = 7
 ID = re.compile(r"(?<![\w.,:/+#-])(?:[A-Z]{1,3}[ -]?)?\d(?:[ -]?\d){4,13}(?:[ -]?[A-Z]{1,2})?(?![\w-])")
 ADDRESS = (
     re.compile(rf"(?<![\w.,:/+#-])\d{{1,4}}[a-z]?,? (?:[^\W\d_]+[ -]){{1,3}}?(?:{'|'.join(STREETS.split())})\b", re.I),
@@ -69,6 +72,10 @@ ADDRESS = (
 )
 NAME = re.compile(rf"\b(?:{_CAP},? {_CAP}|{_CAP}(?:,)? [A-ZÀ-Þ]\. {_CAP}|{_CAP}, {_CAP} [A-ZÀ-Þ]\.|{_UP},? (?:[A-ZÀ-Þ]\. )?{_UP})(?![\w-])")
 _DIGIT = re.compile(r"\d")
+_WORD_CHAR = re.compile(r"\w")
+_GROUPS_LEFT = re.compile(r"(?:\+?\(?\d+\)?[ .\-/]\(?)+$")
+_GROUPS_RIGHT = re.compile(r"(?:(?:[ .\-/]\(?|\()\d+\)?)+")
+_COUNTED = re.compile(r" (?:\d+(?::\d|[^\W\d])|\d{4}-\d\d-\d\d\b|\d\d?[./]\d\d?[./]\d{4}\b)")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _START = re.compile(r"(?:^|[.!?:;|>\n\r]|--|\s/|\s-)\s*[\"'“‘(\[]*$")
 
@@ -79,9 +86,15 @@ def propose(text: str) -> list[tuple[int, int, int]]:
     if ("@" in text or " at " in text or "at" in text and ("(" in text or "[" in text)) and MAYBE_EMAIL.search(text):
         out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
     if _DIGIT.search(text):
-        for m in PHONE.finditer(text):
-            if sum(c.isdigit() for c in m.group()) >= 6:
-                out.append((1, m.start(), m.end()))
+        for m in PHONE.finditer(text):  # groups may belong to the next word or number: every run of them is proposed
+            s, e, n = m.start(), m.start(), 0
+            for _ in range(PHONE_GROUPS):
+                n += sum(c.isdigit() for c in m.group())
+                e = m.end()
+                if n >= 6 and not _WORD_CHAR.match(text, e):
+                    out.append((1, s, e))
+                if not (m := PHONE_GROUP.match(text, e)):
+                    break
         for m in ID.finditer(text):
             s, label = m.start(), m.group().split(" ")[0]
             out.append((2, s + len(label) + 1 if label.lower() in _CUE["id_number"] else s, m.end()))
@@ -110,9 +123,27 @@ def _context(words: list[str], cue: set[str]) -> float:
     return 9.0
 
 
+def _beside(span: str, left: str, right: str) -> list[float]:
+    """Digit groups that touch a phone candidate: they may be the rest of it or another number."""
+    l, r = _GROUPS_LEFT.search(left), _GROUPS_RIGHT.match(right)
+    before, after = re.findall(r"\d+", l.group()) if l else [], re.findall(r"\d+", r.group()) if r else []
+    inner = re.findall(r"[ .\-/(]+", span[1:])
+    return [
+        float(sum(map(len, before))),
+        float(len(before)),
+        float(bool(l) and l.group()[0] in "+0("),
+        float(sum(map(len, after))),
+        float(len(after)),
+        float(len(after[0])) if after else 0.0,
+        float(bool(_COUNTED.match(right))),
+        float(bool(inner) and right[:1] == inner[-1][:1]),
+        float(len(set(inner))),
+    ]
+
+
 def describe(text: str, cand: tuple[int, int, int], caps: float) -> list[float]:
     """Format and context features of a candidate."""
-    _, s, e = cand
+    kind, s, e = cand
     span, left, right = text[s:e], text[max(0, s - 48) : s], text[e : e + 36]
     before = [w.lower() for w in _WORD.findall(left)][::-1][:6]
     after = [w.lower() for w in _WORD.findall(right)][:4]
@@ -158,6 +189,7 @@ def describe(text: str, cand: tuple[int, int, int], caps: float) -> list[float]:
         float(span[:3] in ("978", "979")),
         float(words[0].lower() in _TITLE | _ARTICLE | _CUE["name"] if words else 0),
         float(bool(re.match(r"\s*(?:\w+\s+){0,2}(?:who|when|and i|and works|moved|lives)\b", right, re.I))),
+        *(_beside(span, left, right) if kind == 1 else ()),
     ]
 
 
@@ -278,6 +310,28 @@ def compose(n: int, seed: int = 5) -> list[tuple[str, set[tuple[int, str]]]]:
     return out
 
 
+#: What stands before or after a phone number without being part of it.
+PHONE_HEADS = "%%.%%.20%% |20%%-%%-%% |at %%:%% |in 20%% |flat %% |room %%% |% x |%% ".split("|")
+PHONE_TAILS = " %nd floor| %th floor| %pm| %am please| %x a day| %%h| 24h| %rd try| %% times| % of us| 20%%-%%-%%| 20%%-%%-%% at %%:%%| %%.%%.20%%| %%/%%/20%%| %%:%%| %% @| %%% @| % @ @| 20%%| %%min| %kg".split("|")
+
+
+def compose_beside(n: int, seed: int = 6) -> list[tuple[str, set[tuple[int, str]]]]:
+    """``n`` texts like those of ``compose`` whose phone numbers, or decoys, touch other numbers."""
+    r = random.Random(seed)
+    fill = lambda s: "".join(r.choice("0123456789") if c == "%" else r.choice(_FILL) if c == "@" else c for c in s)
+    out = []
+    for _ in range(n):
+        head, tail = (fill(r.choice(PHONE_HEADS)) if r.random() < 0.2 else ""), fill(r.choice(PHONE_TAILS)) if r.random() < 0.8 else ""
+        if r.random() < 0.6:
+            datum = fill("1-%%%-%%%-%%%%") if r.random() < 0.1 else _phone(r)
+            before, after = fill(r.choice(CARRIERS["phone"].split("|"))).split("{}")
+            out.append((f"{before}{head}{datum}{tail}{after}", {(1, datum)}))
+        else:
+            s = r.choice([d for d in DECOYS if "Cap" not in d and "First" not in d and d[-1] in "#%"] + ["order #", "invoice #", "isbn 978-%-%%%%%-%%%-%", "flight %%%%", "room %%%"])
+            out.append((fill(s.replace("#", "%" * r.choice((8, 9, 10, 10))) + tail), set()))
+    return out
+
+
 class Model:
     """One boosted classifier and one threshold per type."""
 
@@ -287,6 +341,9 @@ class Model:
             caps = caps_share(text)
             for c in propose(text):
                 rows[c[0]].append((describe(text, c, caps), (c[0], text[c[1] : c[2]]) in gold))
+        for text, gold in compose_beside(texts // 3):
+            caps = caps_share(text)
+            rows[1] += [(describe(text, c, caps), (c[0], text[c[1] : c[2]]) in gold) for c in propose(text) if c[0] == 1]
         self.trees, self.cut = [], []
         for kind in rows:
             x, y = np.array([f for f, _ in kind]), np.array([g for _, g in kind], dtype=float)

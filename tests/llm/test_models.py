@@ -169,6 +169,23 @@ def test_pii_redaction(spark, finder):
     assert len(finder.select(["word " * 100_000 + "call 555-0123 now"])[0]) == 1
 
 
+@pytest.mark.parametrize(
+    "text, phone",
+    [
+        ("call 555-1234 2nd floor", "555-1234"),
+        ("ring 0612 345678 4pm please", "0612 345678"),
+        ("text +44 20 7946 0958 3x a day", "+44 20 7946 0958"),
+        ("call 1-800-555-0199 24h", "1-800-555-0199"),
+        ("call 0612345678 2024-05-01", "0612345678"),
+        ("on 2024-05-01 0612 345678", "0612 345678"),
+        ("call +44 20 7946 0958 after lunch", "+44 20 7946 0958"),
+    ],
+)
+def test_phones_beside_numbers(finder, text, phone):
+    assert phone in {text[s:e] for k, s, e in pii.propose(text) if k == 1}
+    assert [text[s:e] for _, s, e, _ in finder.select([text])[0]] == [phone]
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 5))
