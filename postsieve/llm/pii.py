@@ -53,12 +53,17 @@ _CUE = {k: set(v.split()) for k, v in CUES.items()}
 _TITLE = set(TITLES.split())
 _ARTICLE = set("the a an this that our their these those der die das ein eine le la les un une el los las o os as um uma de het een".split())
 
+#: Words before an address, ends of host names, and words that stand before "at" and a place.
+_MAIL_CUE = set("mail email e-mail mailto write reach contact send address mailadresse correo courriel".split())
+_DOMAIN = set("com org net edu gov info io eu example test de fr es pt nl uk us at be br ch ca au it mx ar".split())
+_AT_HEADS = set("look meeting met meet arrived stay stayed seen works worked party laughed shouted sale lunch dinner here there them him them sold posted login back still".split())
+
 _CAP = r"[A-ZÀ-ÖØ-Þ](?:['’][A-Z])?[a-zß-öø-ÿ]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
 _UP = r"[A-ZÀ-ÖØ-Þ]{2,}(?:-[A-ZÀ-ÖØ-Þ]{2,})?"
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
-EMAIL = re.compile(rf"(?<![\w@.+-])[a-z0-9][\w.+-]*{_AT}[a-z0-9][\w-]*(?:{_DOT}[a-z0-9][\w-]*)+", re.I)
-MAYBE_EMAIL = re.compile(r"\S\s?@\s?\w|[\[({]\s?at\s?[\])}]|\sat\s(?=.{0,80}dot)", re.I | re.S)
+EMAIL = re.compile(rf"(?<![\w@.+-])[a-z0-9][\w.+-]*{_AT}(?P<host>[a-z0-9][\w-]*)(?:{_DOT}[a-z0-9][\w-]*)+", re.I)
+MAYBE_EMAIL = re.compile(rf"{_AT}[a-z0-9][\w-]*{_DOT}[a-z0-9]", re.I)  # a part of EMAIL
 PHONE = re.compile(r"(?<![\w.,:/+#-])(?:\+\d++|\(\+?\d{1,5}\)|\d++)")
 PHONE_GROUP = re.compile(r"(?:[ .\-/]\(?|\()\d++\)?")
 PHONE_GROUPS = 7
@@ -72,6 +77,7 @@ ADDRESS = (
 )
 NAME = re.compile(rf"\b(?:{_CAP},? {_CAP}|{_CAP}(?:,)? [A-ZÀ-Þ]\. {_CAP}|{_CAP}, {_CAP} [A-ZÀ-Þ]\.|{_UP},? (?:[A-ZÀ-Þ]\. )?{_UP})(?![\w-])")
 _DIGIT = re.compile(r"\d")
+_AT_WORD = re.compile(r"at[\s\])}]", re.I)
 _WORD_CHAR = re.compile(r"\w")
 _GROUPS_LEFT = re.compile(r"(?:\+?\(?\d+\)?[ .\-/]\(?)+$")
 _GROUPS_RIGHT = re.compile(r"(?:(?:[ .\-/]\(?|\()\d+\)?)+")
@@ -83,8 +89,11 @@ _START = re.compile(r"(?:^|[.!?:;|>\n\r]|--|\s/|\s-)\s*[\"'“‘(\[]*$")
 def propose(text: str) -> list[tuple[int, int, int]]:
     """(type, start, end) of every candidate; spans may overlap."""
     out = []
-    if ("@" in text or " at " in text or "at" in text and ("(" in text or "[" in text)) and MAYBE_EMAIL.search(text):
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    if ("@" in text or _AT_WORD.search(text)) and MAYBE_EMAIL.search(text):
+        at = 0
+        while m := EMAIL.search(text, at):
+            out.append((0, m.start(), m.end()))
+            at = m.start("host")  # a plain word and "at" may stand before an address
     if _DIGIT.search(text):
         for m in PHONE.finditer(text):  # groups may belong to the next word or number: every run of them is proposed
             s, e, n = m.start(), m.start(), 0
@@ -141,6 +150,18 @@ def _beside(span: str, left: str, right: str) -> list[float]:
     ]
 
 
+def _address_form(span: str, before: list[str]) -> list[float]:
+    """What tells a written address from a word, "at" and words joined by a dot."""
+    low = span.lower()
+    local = re.match(r"[\w.+-]*", low).group()
+    return [
+        _context(before, _MAIL_CUE),
+        float(low.replace("]", " ").replace(")", " ").replace("}", " ").replace(".", " ").split()[-1] in _DOMAIN),
+        float(local in _FUNCTION or local in _AT_HEADS),
+        float(bool(re.match(r"[\w.+-]*\sat\s", low))),
+    ]
+
+
 def describe(text: str, cand: tuple[int, int, int], caps: float) -> list[float]:
     """Format and context features of a candidate."""
     kind, s, e = cand
@@ -190,6 +211,7 @@ def describe(text: str, cand: tuple[int, int, int], caps: float) -> list[float]:
         float(words[0].lower() in _TITLE | _ARTICLE | _CUE["name"] if words else 0),
         float(bool(re.match(r"\s*(?:\w+\s+){0,2}(?:who|when|and i|and works|moved|lives)\b", right, re.I))),
         *(_beside(span, left, right) if kind == 1 else ()),
+        *(_address_form(span, before) if kind == 0 else ()),
     ]
 
 
@@ -332,6 +354,34 @@ def compose_beside(n: int, seed: int = 6) -> list[tuple[str, set[tuple[int, str]
     return out
 
 
+#: Ways to write @ and dot, and texts where "at" and a dot are no address.
+EMAIL_FORMS = ((" at ", "."),) * 4 + ((" [at] ", " [dot] "), ("[at]", "."), ("{at}", "{dot}"), (" {at} ", " {dot} "), (" {at} ", "."), (" (at) ", " dot "), (" at ", " dot "), ("@", "."))
+AT_DECOYS = "look at ~.* for @|the meeting at ~.* was @|she was at home.then we @|we met at ^.the @ is|i laughed at it.so @|the @ at ~.*|stay at home.the @ is @|it is for sale at ~.* now|posted at ~.* again|the @ is at ~.* today|they were at ^.I @|read it at ~.*|we are at ~ dot * now|the @ sold at ^.and the @|write to them at ~.*|buy @ at ~.* please|@ at www.~.* today|order at shop.~.* today|sign up at ~.~.* now|register the @ at ~.~.*|see the @ at web.~.*|the @ at mail.~.* is @".split("|")
+
+
+def compose_written(n: int, seed: int = 7) -> list[tuple[str, set[tuple[int, str]]]]:
+    """``n`` texts whose addresses are written with words and brackets in either case, or that only look so."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        if r.random() < 0.55:
+            f, l, (at, dot) = _word(r).lower(), _word(r, True).lower(), r.choice(EMAIL_FORMS)
+            plain = r.random() < 0.2
+            local = f if plain else r.choice((f"{f[0]}.{l}", f"{f}.{l}", f"{f}_{l}", f"{l}{r.randrange(1000)}", f"{f}+news", f"{l}-{f}", f"{f[0]}{l}" if dot != "." else f"{f}.{l}"))
+            host = [*r.choice((["mail"], ["post"], ["web", "mail"], [_word(r).lower()], ["uni", _word(r).lower()])), r.choice(("com", "org", "net", "example", "test", "de", "fr", "es", "pt", "nl"))]
+            datum = local + at + dot.join(host)
+            k = r.random()
+            datum = datum.upper() if k < 0.2 else local + at.upper() + dot.join(host).replace(dot, dot.upper()) if k < 0.4 else datum
+            form = r.choice([c for c in CARRIERS["email"].split("|") if not plain or dot != "." or re.search("write|mail|contact|reach|send", c)])
+            s, gold = form.replace("@", r.choice(_FILL)).replace("{}", datum), {(0, datum)}
+        else:
+            s, gold = r.choice(AT_DECOYS).replace("~", r.choice((_word(r).lower(), "example", "links"))).replace("*", r.choice(("com", "org", "net", "example", "test", "de"))).replace("^", r.choice((_word(r), *_FILL))), set()
+            s = "".join(r.choice(_FILL) if c == "@" else c for c in s)
+            s = s.upper() if r.random() < 0.1 else s
+        out.append((s + r.choice(("", ".", "!", " please", " now")), gold))
+    return out
+
+
 class Model:
     """One boosted classifier and one threshold per type."""
 
@@ -341,9 +391,10 @@ class Model:
             caps = caps_share(text)
             for c in propose(text):
                 rows[c[0]].append((describe(text, c, caps), (c[0], text[c[1] : c[2]]) in gold))
-        for text, gold in compose_beside(texts // 3):
-            caps = caps_share(text)
-            rows[1] += [(describe(text, c, caps), (c[0], text[c[1] : c[2]]) in gold) for c in propose(text) if c[0] == 1]
+        for k, more in ((0, compose_written(texts // 3)), (1, compose_beside(texts // 3))):
+            for text, gold in more:
+                caps = caps_share(text)
+                rows[k] += [(describe(text, c, caps), (c[0], text[c[1] : c[2]]) in gold) for c in propose(text) if c[0] == k]
         self.trees, self.cut = [], []
         for kind in rows:
             x, y = np.array([f for f, _ in kind]), np.array([g for _, g in kind], dtype=float)

@@ -186,6 +186,31 @@ def test_phones_beside_numbers(finder, text, phone):
     assert [text[s:e] for _, s, e, _ in finder.select([text])[0]] == [phone]
 
 
+@pytest.mark.parametrize(
+    "text, email",
+    [
+        ("write to j.doe at mail.com please", "j.doe at mail.com"),
+        ("J.DOE [AT] MAIL [DOT] COM", "J.DOE [AT] MAIL [DOT] COM"),
+        ("my mail is j.doe [AT] mail [DOT] org", "j.doe [AT] mail [DOT] org"),
+        ("write j.doe[AT]mail.com", "j.doe[AT]mail.com"),
+        ("j.doe {at} mail {dot} com", "j.doe {at} mail {dot} com"),
+        ("look at j.doe at mail.com", "j.doe at mail.com"),
+        ("look at example.com for it", None),
+        ("we were at home.then it rained", None),
+        ("order at shop.example.com today", None),
+    ],
+)
+def test_emails_in_written_forms(finder, text, email):
+    assert email is None or email in {text[s:e] for k, s, e in pii.propose(text) if k == 0}
+    assert [text[s:e] for _, s, e, _ in finder.select([text])[0]] == [email][: email is not None]
+
+
+def test_the_gate_of_addresses_is_no_narrower():
+    for at, dot in ((a, d) for a in ("@", " @ ", " at ", "\tAT\n", "[at]", " { At } ", "(AT)") for d in (".", " dot ", "[DOT]", " {dot} ")):
+        text = f"j.doe{at}mail{dot}com"
+        assert (0, 0, len(text)) in pii.propose(text)
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 5))
