@@ -21,6 +21,7 @@ Defined cases: null and blank texts are no cases; a row without an id is never
 reported; texts of punctuation only are
 copies of each other; ids are unique per table; repeated (tab, id) rows count
 once; extra columns are ignored; an empty table gives an empty result.
+``contents`` counts rows and has every content, ``group_sizes`` those that recur.
 """
 
 from __future__ import annotations
@@ -78,26 +79,47 @@ def _keyed(rows: DataFrame) -> DataFrame:
     )
 
 
-def copies(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(tab, first_id, copy_id) for rows (tab, id, text): each row that is a copy, with the smallest id of its group."""
+def _classed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that take part, with their stripped text and class; the number of rows and the smallest id of each class."""
     rows = rows.select("tab", "id", "text").where(~blank(F.col("text"))).withColumn("s", stripped(F.col("text"))).withColumn("class", invariants(F.col("s")))
-    classes = rows.groupBy("tab", "class").agg(F.count("*").alias("n")).where("n > 1")
+    return rows, rows.groupBy("tab", "class").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+
+
+def _split(rows: DataFrame, classes: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(tab, class, id, key) of the rows of classes of several members, those of up to ``hot_rows`` rows and larger ones."""
+    classes = classes.where("n > 1")
     hot = F.broadcast(classes.where(F.col("n") > hot_rows).select("tab", "class"))  # at most rows / hot_rows
     few = classes.where(F.col("n") <= hot_rows).select("tab", "class")
 
     cool = _keyed(rows.join(hot, ["tab", "class"], "left_anti").join(few, ["tab", "class"], "left_semi"))
-    by_plain, by_key = Window.partitionBy("tab", "class", "plain"), Window.partitionBy("tab", "class", "key")
-    cool = cool.withColumn("key", F.coalesce("fields", F.min("fields").over(by_plain), "plain"))
-    cool = cool.select("tab", F.min("id").over(by_key).alias("first_id"), F.col("id").alias("copy_id"))
+    by_plain = Window.partitionBy("tab", "class", "plain")
+    cool = cool.select("tab", "class", "id", F.coalesce("fields", F.min("fields").over(by_plain), "plain").alias("key"))
 
     many = _keyed(rows.join(hot, ["tab", "class"], "left_semi"))
     adopt = many.where(F.col("fields").isNotNull()).groupBy("tab", "plain").agg(F.min("fields").alias("adopted"))
-    many = many.join(adopt, ["tab", "plain"], "left").select("tab", "id", F.coalesce("fields", "adopted", "plain").alias("key"))
+    many = many.join(adopt, ["tab", "plain"], "left").select("tab", "class", "id", F.coalesce("fields", "adopted", "plain").alias("key"))
+    return cool, many
+
+
+def copies(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(tab, first_id, copy_id) for rows (tab, id, text): each row that is a copy, with the smallest id of its group."""
+    cool, many = _split(*_classed(rows), hot_rows)
+    cool = cool.select("tab", F.min("id").over(Window.partitionBy("tab", "class", "key")).alias("first_id"), F.col("id").alias("copy_id"))
     groups = many.groupBy("tab", "key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     many = many.join(groups, ["tab", "key"]).select("tab", "first_id", F.col("id").alias("copy_id"))
     return cool.unionByName(many).where("copy_id <> first_id")
 
 
+def contents(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(tab, first_id, n_rows) for rows (tab, id, text): one record per content, those that occur once included."""
+    rows, classes = _classed(rows.where("id IS NOT NULL"))
+    once = classes.where("n = 1").select("tab", F.col("least").alias("first_id"), F.col("n").alias("n_rows"))
+    cool, many = _split(rows, classes, hot_rows)
+    # partial counts and their merge: a hot key makes one row per task
+    groups = [g.groupBy("tab", "class", "key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows")).select("tab", "first_id", "n_rows") for g in (cool, many)]
+    return once.unionByName(groups[0]).unionByName(groups[1])
+
+
 def group_sizes(found: DataFrame) -> DataFrame:
     """(tab, first_id, n_rows): one record per content that recurs, with its number of rows."""
     return found.groupBy("tab", "first_id").agg((F.count("*") + 1).alias("n_rows"))

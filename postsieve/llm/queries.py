@@ -27,6 +27,11 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return dupes.group_sizes(p2_found(spark, sf))
 
 
+def p2_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """One record per content of each table with its number of copies, single ones included."""
+    return dupes.contents(tweets_and_posts(spark, sf))
+
+
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "combined").select(F.col("row_id").alias("id"), "text"))
 
@@ -140,6 +145,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p2_contents": p2_contents,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
     "p4_found": p4_found,
@@ -210,4 +216,5 @@ SELECT p.a AS row_id_a, p.b AS row_id_b FROM p JOIN n x ON x.row_id = p.a JOIN n
 JOIN g ga ON ga.tab = 'combined' AND ga.id = p.a JOIN g gb ON gb.tab = 'combined' AND gb.id = p.b
 WHERE p.i * 10 >= 6 * (x.n + y.n - p.i) AND ga.key <> gb.key""",
     "p2_groups": f"WITH {_COPIES} SELECT tab, first_id, count(*) AS n_rows FROM m GROUP BY ALL HAVING count(*) > 1",
+    "p2_contents": f"WITH {_COPIES} SELECT tab, first_id, count(*) AS n_rows FROM m GROUP BY ALL",
 }

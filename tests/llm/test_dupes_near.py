@@ -55,6 +55,18 @@ def test_copies_of_nothing(spark):
     assert dupes.copies(spark.createDataFrame([], "tab string, id int, text string")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 2, 50_000])
+def test_one_record_per_content(spark, hot):
+    d = spark.createDataFrame([(*r, "clash", 0) for r in [*ROWS, ("a", None, "hello world")]], "tab string, id int, text string, class string, s int")
+    got = sorted(map(tuple, dupes.contents(d, hot).collect()))
+    assert got == [("a", 1, 3), ("a", 3, 1), ("a", 8, 4), ("a", 10, 1), ("a", 12, 2), ("a", 14, 2), ("a", 16, 1), ("a", 17, 1), ("b", 4, 1)]
+    assert dupes.contents(d.limit(0), hot).count() == 0
+
+
+def test_contents_as_sql(spark, sf):
+    same(spark, sf, QUERIES["p2_contents"], ORACLES["p2_contents"])
+
+
 @pytest.mark.parametrize("name", ["p2_found", "p2_groups", "p3_found", "p7_found"])
 def test_copies_as_sql(spark, sf, name):
     same(spark, sf, QUERIES[name], ORACLES[name])
