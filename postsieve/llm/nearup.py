@@ -9,8 +9,8 @@ of its shingle sets.
 
 Records with the same set of shingles form one class first, so exact copies are
 never paired with each other; pairs are searched between class representatives
-and expanded to rows only at the end (``near_pairs``) or kept as class links
-(``near_classes``).
+and expanded to rows only at the end (``near_pairs``), kept as class links
+(``near_classes``) or joined into connected components (``near_groups``).
 
 Recall: with BANDS bands of ROWS coordinates a pair of similarity s is missed
 with probability (1 - s**ROWS)**BANDS, that is 1.2 % at s = 0.6, 0.2 % at 0.65 and 0.02 % at 0.7.
@@ -19,8 +19,8 @@ Scale: what is shuffled per band is a 48-bit key and a 64-bit class, once per
 class and task. Candidates are cut by a 128-bit sketch of the signature before
 any text is moved, so texts travel only for pairs that are likely near.
 
-Defined cases: null texts and texts of fewer than MIN_WORDS words take no part,
-nor do rows without an id;
+Defined cases: null texts and texts of fewer than MIN_WORDS words take no part
+(in ``near_groups`` each is a group of its own), nor do rows without an id;
 extra columns are ignored; repeated ids count once; an empty input gives an
 empty result.
 """
@@ -299,10 +299,52 @@ def near_pairs(rows: DataFrame, copy_of: Callable[[Column], Column], threshold:
     return m.select(F.least("i", "j").alias("row_id_a"), F.greatest("i", "j").alias("row_id_b"))
 
 
-def near_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, cls, n_links): one row per text long enough, its class and the number of other classes linked to it."""
-    classes = cut_lineage(class_rows(rows.select("id", "text"), []).repartition("cls"))
-    links = class_links(rows, classes, threshold)
+def _linked(classes: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
     n = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
     return classes.select("id", "cls").join(n, "cls", "left").select("id", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def near_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, cls, n_links): one row per text long enough, its class and the number of other classes linked to it."""
+    classes = cut_lineage(class_rows(rows.select("id", "text"), []).repartition("cls"))
+    return _linked(classes, class_links(rows, classes, threshold))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(cls, root): every class that has a link, but the smallest of its connected component, with that smallest class.
+
+    Large star and small star in turn: each step hangs the neighbours of a class
+    on the smallest of them, the number of edges does not grow, and the edges
+    stay as they are once all of them end at a root.
+    """
+
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before, now = None, mark(edges)
+    while now != before:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut_lineage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        before, now = now, mark(edges)
+    return edges.select(F.col("a").alias("cls"), F.col("b").alias("root"))
+
+
+def near_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, cls, n_links): every row with the smallest id of its group of near-duplicates, and the number of other texts linked to its own.
+
+    A group is a connected component of the links between shingle sets; null
+    texts and texts of fewer than MIN_WORDS words are groups of their own.
+    """
+    rows = rows.select("id", "text").where("id IS NOT NULL")
+    classes = cut_lineage(class_rows(rows, []).repartition("cls"))
+    links = cut_lineage(class_links(rows, classes, threshold))
+    rooted = _linked(classes, links).join(components(links), "cls", "left").select("id", F.coalesce("root", "cls").alias("root"), "n_links")
+    first = rooted.groupBy("root").agg(F.min("id").alias("cls"))
+    grouped = rooted.join(first, "root").groupBy("id").agg(F.min("cls").alias("cls"), F.max("n_links").alias("n_links"))
+    return rows.select("id").distinct().join(grouped, "id", "left").select("id", F.coalesce("cls", "id").alias("cls"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

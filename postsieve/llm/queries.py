@@ -45,7 +45,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return nearup.near_classes(posts(spark, sf))
+    """Every post with the id of its group."""
+    return nearup.near_groups(posts(spark, sf))
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:

@@ -112,6 +112,50 @@ def test_a_hot_text_makes_no_pairs_of_copies(spark):
     assert nearup.near_pairs(d, dupes.canonical).count() == 2999
 
 
+def union_find(nodes, pairs):
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return {n: root(n) for n in nodes}
+
+
+def test_components(spark):
+    rng = np.random.default_rng(8)
+    chain = [int(x) for x in rng.permutation(300)]
+    pairs = [*zip(chain, chain[1:]), *((1000, k) for k in range(1001, 1050)), *((int(a), int(b)) for a, b in rng.integers(2000, 2400, (250, 2)) if a != b)]
+    want = union_find({x for p in pairs for x in p}, pairs)
+    got = dict(map(tuple, nearup.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()))
+    assert got == {n: r for n, r in want.items() if n != r}
+    assert nearup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_near_groups(spark):
+    w = [f"w{i}" for i in range(60)]
+    v = [f"v{i}" for i in range(30)]
+    # 2, 4 and 7 are a chain: the ends share less than most of their content
+    texts = {2: " ".join(w[:40]), 4: " ".join(w[5:48]), 7: " ".join(w[14:55]), 9: " ".join(w[:40]) + "!", 11: " ".join(v), 12: " ".join(v[1:]), 13: None, 14: "short", 15: "short", 16: " ".join(f"u{i}" for i in range(25))}
+    d = spark.createDataFrame([(i, t, 1, 2) for i, t in texts.items()] + [(None, " ".join(w[:40]), 1, 2)], "id int, text string, cls int, copy int")
+    got = {r["id"]: r for r in nearup.near_groups(d).collect()}
+    assert {i: r["cls"] for i, r in got.items()} == {2: 2, 4: 2, 7: 2, 9: 2, 11: 11, 12: 11, 13: 13, 14: 14, 15: 15, 16: 16}
+    assert got[16]["n_links"] == 0 and got[13]["n_links"] == 0 and got[4]["n_links"] == 2
+    assert nearup.near_groups(d.limit(0)).count() == 0
+
+
+def test_groups_of_all_posts(spark, sf):
+    pairs = [tuple(r) for r in QUERIES["p3_found"](spark, sf).collect()]
+    got = {r["id"]: r["cls"] for r in QUERIES["p3_classes"](spark, sf).collect()}
+    assert len(got) == posts(spark, sf).count() and all(c <= i for i, c in got.items())
+    assert all(got[a] == got[b] for a, b in pairs) and len(pairs) > 10
+
+
 def test_minhash_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
