@@ -19,6 +19,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from .quality import COMMON_WORDS
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 TRAIN_TEXTS = 6000
+MAX_DESCRIBED = 10_000  # candidates described at once, bounds the memory of a long text
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 #: Words that announce or rule out a type, titles, and street words.
@@ -112,7 +114,7 @@ def propose(text: str) -> list[tuple[int, int, int]]:
                 s, e = m.span()
                 out.append((3, s, e))
                 if k == 1:  # the name of the street may be shorter than three words
-                    while text.rfind(" ", s, e) > s and len(out) < 10_000:
+                    while text.rfind(" ", s, e) > s:
                         e = text.rfind(" ", s, e)
                         if len(text[s:e].split()) < 3:
                             break
@@ -422,20 +424,22 @@ class Model:
             by_type[c[0]].append((i, c))
         chosen: dict[int, list[tuple[float, int, int, int]]] = {}
         for k, own in enumerate(by_type):
-            if not own:
-                continue
-            x = np.array([describe(texts[i], c, caps[i] if i in caps else caps.setdefault(i, caps_share(texts[i]))) for i, c in own])
-            score = self.trees[k].score(x) - self.cut[k]
-            for (i, c), s in zip(own, score):
-                if s > 0:
-                    chosen.setdefault(i, []).append((-round(float(s), 6), c[1], -c[2], k))
+            for at in range(0, len(own), MAX_DESCRIBED):
+                part = own[at : at + MAX_DESCRIBED]
+                x = np.array([describe(texts[i], c, caps[i] if i in caps else caps.setdefault(i, caps_share(texts[i]))) for i, c in part])
+                score = self.trees[k].score(x) - self.cut[k]
+                for (i, c), s in zip(part, score):
+                    if s > 0:
+                        chosen.setdefault(i, []).append((-round(float(s), 6), c[1], -c[2], k))
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         for i, spans in chosen.items():
-            kept: list[tuple[int, int, int, float]] = []
+            starts: list[int] = []
+            kept = out[i]  # by start
             for s, a, e, k in sorted(spans):
-                if all(-e <= q[1] or a >= q[2] for q in kept):
-                    kept.append((k, a, -e, -s))
-            out[i] = sorted(kept, key=lambda q: q[1])
+                at = bisect.bisect(starts, a)
+                if (not at or kept[at - 1][2] <= a) and (at == len(kept) or -e <= starts[at]):
+                    starts.insert(at, a)
+                    kept.insert(at, (k, a, -e, -s))
         return out
 
 

@@ -211,6 +211,12 @@ def test_the_gate_of_addresses_is_no_narrower():
         assert (0, 0, len(text)) in pii.propose(text)
 
 
+def test_short_addresses_late_in_a_long_text():
+    text = "12 rue Mori Tal Ken. " * 6000 + "7 rue Valmer now here"
+    at = text.index("7 rue")
+    assert {text[s:e] for k, s, e in pii.propose(text) if k == 3 and s == at} == {"7 rue Valmer now here", "7 rue Valmer now", "7 rue Valmer"}
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 5))
