@@ -1,19 +1,19 @@
 """Visually identical text with different characters.
 
-Every token with an unusual character is read by a weighted edit automaton over
-a trie of the corpus vocabulary: look-alike letters, width forms, ligatures and
-composition cost nothing, ignorable characters are skipped at no cost, and any
-other edit is forbidden, because case, accents, digits, punctuation and words do
-change the look. Among the spellings reached the commonest one is the canonical
-spelling; tokens that reach none are normalised by the table alone.
+A text is first brought to its look by a table: look-alike letters, width forms,
+ligatures and composition unify and ignorable characters vanish, because case,
+accents, digits, punctuation and words do change the look. Whether two texts look
+the same (``same_look``) is decided by that table alone.
 
-The trie holds look-alike skeletons, so a token of another script keeps its own
-script when the corpus writes it so (a Russian word with one Latin letter becomes
-Russian again). Comparisons use the skeleton of the canonical text.
+Its canonical text (``normalise``) then takes every token of the look, ASCII ones
+too, through a trie of the spellings of the whole corpus; among the spellings of a
+look the commonest one without mixed scripts is the canonical one, so a token of
+another script keeps its own script when the corpus writes it so (a Russian word
+with one Latin letter becomes Russian again). The canonical text depends on the
+look only: texts that look the same have the same canonical text.
 
-Bounds: the vocabulary is a model of at most MAX_VOCABULARY spellings, the
-commonest of the whole corpus; a spelling outside it changes no result, its
-token is normalised by the table.
+Bounds: the trie holds every spelling that differs from its look; more than
+MAX_RESPELLED of them are an error.
 
 Defined cases: null texts stay null and match nothing; empty texts stay empty and
 match nothing; byte-equal texts are no pair of ``same_look``; texts of any
@@ -32,8 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_VOCABULARY = 100_000
-MIN_COUNT = 3
+MAX_RESPELLED = 2_000_000
 
 #: Letters of other scripts that look like a Latin letter, written as pairs.
 LOOKALIKE = dict(
@@ -112,8 +111,6 @@ class Normaliser:
         self.memo: dict[str, str] = {}
 
     def token(self, token: str) -> str:
-        if token.isascii():
-            return token
         known = self.memo.get(token)
         if known is None:
             known = self.trie.match(token)
@@ -124,22 +121,35 @@ class Normaliser:
         return known
 
     def text(self, text: str | None) -> str | None:
-        if text is None or text.isascii():
+        if text is None or not self.trie.root and text.isascii():
             return text
-        out, at = [], 0
-        for m in TOKEN.finditer(text):
-            out += (skeleton(text[at : m.start()]), self.token(m.group()))
-            at = m.end()
-        out.append(skeleton(text[at:]))
-        return "".join(out)
+        look = skeleton(text)
+        return unicodedata.normalize("NFC", TOKEN.sub(lambda m: self.token(m.group()), look))
 
 
-def vocabulary(texts: DataFrame, limit: int = MAX_VOCABULARY) -> dict[str, int]:
-    """Counts of the commonest spellings without width forms, ignorables or mixed scripts, over all rows of (text)."""
-    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}\p{M}]+)"), 1)).alias("w"))
+def vocabulary(texts: DataFrame) -> dict[str, int]:
+    """Counts of the canonical spellings, over all rows of (text), that are not their own look.
+
+    Of the spellings of a look, those without width forms, ignorables or mixed
+    scripts count, and the commonest is the canonical one.
+    """
+    text = F.regexp_replace("text", r"[\p{Cf}\x{034F}\x{FE00}-\x{FE0F}]+", "")
+    words = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}\p{M}]+)"), 1)).alias("w"))
     clean = ~F.col("w").rlike(r"[\x{FF00}-\x{FFEF}\x{FB00}-\x{FB06}]") & ~(F.col("w").rlike(r"\p{IsLatin}") & F.col("w").rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]"))
-    n = words.where(clean).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_COUNT)
-    return {r[0]: r[1] for r in n.orderBy(F.desc("n"), "w").limit(limit).collect()}
+
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = b.column(0).to_pylist()
+            looks, forms = [skeleton(x) for x in w], [unicodedata.normalize("NFC", x) for x in w]
+            yield pa.RecordBatch.from_arrays([pa.array(looks, pa.string()), pa.array(forms, pa.string()), b.column(1)], ["look", "w", "n"])
+
+    n = words.groupBy("w").agg(F.count("*").alias("n")).where(clean).mapInArrow(op, "look string, w string, n bigint")
+    n = n.groupBy("look", "w").agg(F.sum("n").alias("n"))
+    best = n.groupBy("look").agg(F.min(F.struct((-F.col("n")).alias("n"), "w")).alias("x")).where("x.w <> look")
+    rows = best.select("x.w", -F.col("x.n")).limit(MAX_RESPELLED + 1).collect()
+    if len(rows) > MAX_RESPELLED:
+        raise ValueError(f"more than {MAX_RESPELLED} spellings differ from their look")
+    return {r[0]: r[1] for r in rows}
 
 
 def normalise(rows: DataFrame, key: str, counts: dict[str, int]) -> DataFrame:
@@ -154,18 +164,17 @@ def normalise(rows: DataFrame, key: str, counts: dict[str, int]) -> DataFrame:
     return rows.select(key, "text").mapInArrow(op, f"`{key}` {dict(rows.dtypes)[key]}, text string")
 
 
-def look_keys(rows: DataFrame, key: str, counts: dict[str, int]) -> DataFrame:
+def look_keys(rows: DataFrame, key: str) -> DataFrame:
     """(key, look, raw): 128-bit digests of the look of a text and of its bytes; null and empty texts are left out."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        n, digest = Normaliser(shared.value), lambda s: xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass"))
+        digest = lambda s: xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass"))
         for b in batches:
             texts = b.column(1).to_pylist()
             raw = [digest(t) for t in texts]
-            look = [r if t.isascii() else digest(skeleton(n.text(t))) for t, r in zip(texts, raw)]
+            look = [r if t.isascii() else digest(skeleton(t)) for t, r in zip(texts, raw)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(look, pa.binary()), pa.array(raw, pa.binary())], [key, "look", "raw"])
 
     return rows.select(key, "text").where("text <> ''").mapInArrow(op, f"`{key}` {dict(rows.dtypes)[key]}, look binary, raw binary")
@@ -173,6 +182,5 @@ def look_keys(rows: DataFrame, key: str, counts: dict[str, int]) -> DataFrame:
 
 def same_look(left: DataFrame, lkey: str, right: DataFrame, rkey: str) -> DataFrame:
     """(lkey, rkey): all pairs of a left and a right row whose texts look the same and are not the same string."""
-    counts = vocabulary(left.select("text").unionByName(right.select("text")))
-    a, b = look_keys(left, lkey, counts), look_keys(right, rkey, counts).withColumnRenamed("raw", "other")
+    a, b = look_keys(left, lkey), look_keys(right, rkey).withColumnRenamed("raw", "other")
     return a.join(b, "look").where("raw <> other").select(lkey, rkey)

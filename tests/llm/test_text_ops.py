@@ -39,6 +39,22 @@ def test_same_look_pairs(spark):
     assert lookalike.same_look(a.limit(0), "post_id", b, "record_id").count() == 0
 
 
+def test_canonical_texts_are_equal_if_they_look_the_same(spark):
+    # сор: three Cyrillic letters, commoner than the Latin word; рука and кот occur once, the latter also with a Latin letter
+    texts = ["сор", "сор", "сор", "cop", "сoр", "рука", "кот", "кoт", "plain text", "plаin text", "=\u0338", "\u2260", "cafe\u0301", "caf\u00e9", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = dict(map(tuple, lookalike.normalise(d, "id", lookalike.vocabulary(d.select("text"))).collect()))
+    assert [got[i] for i in range(10)] == ["сор"] * 5 + ["рука", "кот", "кот", "plain text", "plain text"]
+    assert got[10] == got[11] and got[12] == got[13] and got[14] is None and got[15] == ""
+
+
+def test_canonical_texts_decide_as_pairs_do(spark, sf):
+    rows = QUERIES["p7_texts"](spark, sf).collect()
+    text = {(r["tab"], r["id"]): r["text"] for r in rows}
+    pairs = [tuple(r) for r in QUERIES["p7_found"](spark, sf).collect()]
+    assert pairs and all(text["labeled_posts", a] == text["llm_labeled_posts", b] for a, b in pairs)
+
+
 def test_all_texts_have_a_canonical_form(spark, sf):
     d = QUERIES["p7_texts"](spark, sf)
     assert d.count() == sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("labeled_posts", "llm_labeled_posts"))
