@@ -16,8 +16,9 @@ dropped or added letters are resolved against the words that mark unsafe texts.
 Labels may be wrong: counts only need most of them to be right, and safe rows
 with an extreme score are left out of the calibration.
 
-Bounds: the model keeps at most MAX_TERMS words and pairs, the most significant
-of the whole corpus; others carry no evidence of either class.
+Bounds: the model keeps every word and pair of the whole corpus with evidence of
+either class (MIN_COUNT, MIN_Z); more than MAX_TERMS of them, or more than
+MAX_LEXICON harmful terms of the lexicon, are an error.
 
 Defined cases: null, empty and blank texts score 0 with probability 1; null or
 unknown labels are not counted; without rows of both labels only the prior
@@ -40,7 +41,8 @@ from pyspark.sql import functions as F
 from .lookalike import skeleton
 
 PRIOR = 4000.0  # weight of the background prior, in tokens
-MAX_TERMS = 150_000
+MAX_TERMS = 1_000_000
+MAX_LEXICON = 50_000
 MIN_COUNT, MIN_Z = 4, 1.9
 DRIFT = 0.45  # taken from every token's log-odds: background segments lose
 UNKNOWN = -0.35  # score of a token without evidence
@@ -122,7 +124,7 @@ def term_counts(labelled: DataFrame) -> DataFrame:
 
 
 def log_odds(counts: DataFrame, prior_terms: list[str], limit: int = MAX_TERMS) -> dict[str, float]:
-    """Term -> log-odds of unsafe against safe, for the most significant terms of the corpus."""
+    """Term -> log-odds of unsafe against safe, for every significant term of the corpus."""
     pair = F.col("term").contains(" ")
     total = {r[0]: (r[1] or 0, r[2] or 0) for r in counts.groupBy(pair.alias("pair")).agg(F.sum("safe"), F.sum("unsafe")).collect()}
     seeds = {**dict.fromkeys(SEED_WORDS.split(), SEED_COUNT), **dict.fromkeys(prior_terms, 2 * SEED_COUNT)}
@@ -138,8 +140,18 @@ def log_odds(counts: DataFrame, prior_terms: list[str], limit: int = MAX_TERMS)
     delta = F.log(y1 / F.greatest(t1 - y1, F.lit(1.0))) - F.log(y0 / F.greatest(t0 - y0, F.lit(1.0)))
     c = c.withColumns({"delta": delta, "z": delta / F.sqrt(1 / y1 + 1 / y0)})
     c = c.where((F.abs("z") >= MIN_Z) & (F.col("safe") + F.col("unsafe") + F.col("seed") >= MIN_COUNT - 1))
-    top = c.orderBy(F.desc(F.abs("z")), "term").limit(limit).select("term", "delta").collect()
-    return {r[0]: max(-CLIP, min(CLIP, r[1])) for r in top}
+    found = c.select("term", "delta", F.abs("z").alias("z")).limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} terms with evidence")
+    return {r[0]: max(-CLIP, min(CLIP, r[1])) for r in sorted(found, key=lambda r: (-r[2], r[0]))}
+
+
+def harmful_terms(lexicon: DataFrame, limit: int = MAX_LEXICON) -> list[str]:
+    """Words and pairs of the coded terms with a harmful meaning; the table is small by nature, its size is checked."""
+    rows = lexicon.where(F.col("meaning").rlike(HARMFUL)).select("term").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a lexicon of more than {limit} harmful terms")
+    return [t for r in rows if r[0] for t in terms_of(r[0]) if " " in t and START not in t or " " not in r[0] and t == r[0].lower()]
 
 
 class Scorer:
@@ -280,10 +292,7 @@ class Model:
     """Scores and calibration, fitted on labelled rows (text, class) and a lexicon (term, meaning)."""
 
     def __init__(self, labelled: DataFrame, lexicon: DataFrame | None = None, trim: float = 5.0):
-        terms: list[str] = []
-        if lexicon is not None:  # a table of coded terms, small by nature; its size is checked
-            rows = lexicon.where(F.col("meaning").rlike(HARMFUL)).select("term").distinct().limit(10_000).collect()
-            terms = [t for r in rows if r[0] for t in terms_of(r[0]) if " " in t and START not in t or " " not in r[0] and t == r[0].lower()]
+        terms = [] if lexicon is None else harmful_terms(lexicon)
         self.scorer = Scorer(log_odds(term_counts(labelled), terms))
         self.law = background(labelled, self.scorer, trim)
 

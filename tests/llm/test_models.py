@@ -135,6 +135,18 @@ def test_toxic_agrees_with_labels(spark):
     assert n["unsafe"] > 5 * n.get("safe", 0)
 
 
+def test_no_term_is_dropped_in_silence(spark):
+    lexicon = spark.range(12_000).selectExpr("concat('term', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS term", "'an insult' AS meaning")
+    assert len(set(toxic.harmful_terms(lexicon))) == 12_000
+    with pytest.raises(ValueError):
+        toxic.harmful_terms(lexicon, 11_999)
+    counts = spark.createDataFrame([(f"w{i}", 0, 500) for i in range(20)] + [(f"v{i}", 500, 0) for i in range(20)], "term string, safe bigint, unsafe bigint")
+    n = len(toxic.log_odds(counts, []))
+    assert n >= 40 and len(toxic.log_odds(counts, [], n)) == n
+    with pytest.raises(ValueError):
+        toxic.log_odds(counts, [], n - 1)
+
+
 @pytest.fixture(scope="module")
 def finder():
     return pii.Model()
