@@ -15,7 +15,8 @@ are strewn in so that a borrowed word does not switch.
 Defined cases: links, handles, tags, numbers and emoji are no words; a text
 without words (null, empty, blank, only emoji or links) has no segment; runs
 of fewer than MIN_SEGMENT words of two or more letters, or with a lower confidence
-than MIN_CONFIDENCE, join their neighbour; an attribution (via somebody) at an
+than MIN_CONFIDENCE, join their neighbour, unless they have SHORT_SEGMENT words of
+any length, two of them no single letters, and SHORT_CONFIDENCE; an attribution (via somebody) at an
 end of a text is no word; a
 text of only such runs is one segment of the language with the highest total;
 equal totals go to the first language of LANGUAGES; texts are read whole; extra
@@ -40,6 +41,7 @@ LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 TRAIN_PER_LABEL = 400
 LIST_SEQUENCES = 120  # per language, composed of its function words
 MIN_SEGMENT, MIN_CONFIDENCE = 4, 0.5
+SHORT_SEGMENT, SHORT_CONFIDENCE = 3, 0.9  # words of any length
 DIMS = 1 << 16
 EPOCHS, RATE, DECAY = 8, 0.12, 1e-5
 GROUP = 1024  # texts decoded together
@@ -267,7 +269,8 @@ class Decoder:
     def _segments(best: np.ndarray, m: np.ndarray, letters: np.ndarray) -> list[tuple[str, float, int]]:
         cuts = np.flatnonzero(np.diff(best)) + 1
         runs = [[int(best[a]), int(a), int(b), int(letters[a:b].sum())] for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(best)])]
-        kept = [r for r in runs if r[3] >= MIN_SEGMENT and m[r[1] : r[2], r[0]].mean() >= MIN_CONFIDENCE]
+        sure = [float(m[a:b, y].mean()) for y, a, b, _ in runs]
+        kept = [r for r, p in zip(runs, sure) if p >= MIN_CONFIDENCE and r[3] >= MIN_SEGMENT or p >= SHORT_CONFIDENCE and r[2] - r[1] >= SHORT_SEGMENT and r[3] > 1]
         if not kept:
             y = int(m.sum(axis=0).argmax())
             return [(LANGUAGES[y], float(m[:, y].mean()), len(best))]

@@ -55,6 +55,12 @@ def test_mixed_texts_and_edges(crf):
     assert d.batch(["the house and the " * 40_000])[0][0][0] == "en"
 
 
+def test_short_segments_that_are_sure(crf):
+    d = language.Decoder(crf)
+    got = d.batch(["we asked them about the house before winter. você não é", "Eres un i-d-i-o-t-a asqueroso y nadie te quiere", "we lost the Rucksack again in the house"])
+    assert [[s[0] for s in g] for g in got] == [["en", "pt"], ["es"], ["en"]]
+
+
 def test_language_labels(spark, crf):
     rows = [(1, "the house is near the old station", "en-GB"), (2, "the house is near the old station", "DE"), (3, "the house is near the old station", None), (4, "the house is near the old station", " EN "), (5, None, "en"), (6, "the house is near the old station", "und")]
     d = spark.createDataFrame([(*r, 0, "x") for r in rows], "id int, text string, lang string, n_words int, language string")
