@@ -13,9 +13,10 @@ compared without regard to the order of its fields and the separator.
 
 Scale: the classes are found by an aggregation of 8-byte keys. Classes of up to
 HOT_ROWS rows are refined by windows inside the partitioning of one shuffle;
-larger ones (their number is at most rows / HOT_ROWS, so their list may be
-broadcast) keep their texts where they are, are pre-aggregated to one row per
-key, and joined back under AQE's skew handling.
+larger ones keep their texts where they are, are pre-aggregated to one row per
+key, and joined back under AQE's skew handling. Their list is broadcast: beyond
+HOT_ROWS * MAX_HOT rows a class counts as hot from rows / MAX_HOT members on, so
+there are never more than MAX_HOT of them. Both ways give the same groups.
 
 Defined cases: null and blank texts are no cases; a row without an id is never
 reported; texts of punctuation only are
@@ -30,15 +31,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 50_000
-#: Dropped characters, the letters of the histogram, and the shape of a record of fields.
-DROPPED = r"[\p{P}\p{IsWhite_Space}\x1c-\x1f]+"
+MAX_HOT = 100_000
+#: White space, dropped characters, the letters of the histogram, and the shape of a field.
+SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
+DROPPED = rf"[\p{{P}}{SPACE}]+"
 LETTERS = "eaotinr"
-FIELD = r"^\s*\p{L}+\s*:"
+FIELD = rf"^[{SPACE}]*+\p{{L}}++[{SPACE}]*+:"
 
 
 def blank(text: Column) -> Column:
     """Null, empty or white space only."""
-    return text.isNull() | ~text.rlike(r"[^\p{IsWhite_Space}\x1c-\x1f]")
+    return text.isNull() | ~text.rlike(f"[^{SPACE}]")
 
 
 def stripped(text: Column) -> Column:
@@ -88,7 +91,7 @@ def _classed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _split(rows: DataFrame, classes: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """(tab, class, id, key) of the rows of classes of several members, those of up to ``hot_rows`` rows and larger ones."""
     classes = classes.where("n > 1")
-    hot = F.broadcast(classes.where(F.col("n") > hot_rows).select("tab", "class"))  # at most rows / hot_rows
+    hot = F.broadcast(classes.where(F.col("n") > hot_rows).select("tab", "class"))  # at most MAX_HOT, see hot_from
     few = classes.where(F.col("n") <= hot_rows).select("tab", "class")
 
     cool = _keyed(rows.join(hot, ["tab", "class"], "left_anti").join(few, ["tab", "class"], "left_semi"))
@@ -101,8 +104,14 @@ def _split(rows: DataFrame, classes: DataFrame, hot_rows: int) -> tuple[DataFram
     return cool, many
 
 
-def copies(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_from(rows: DataFrame, hot_rows: int | None) -> int:
+    """Members from which on a class is hot. The count reads no column (Parquet keeps it in its footers)."""
+    return max(HOT_ROWS, rows.count() // MAX_HOT) if hot_rows is None else hot_rows
+
+
+def copies(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """(tab, first_id, copy_id) for rows (tab, id, text): each row that is a copy, with the smallest id of its group."""
+    hot_rows = hot_from(rows, hot_rows)
     cool, many = _split(*_classed(rows), hot_rows)
     cool = cool.select("tab", F.min("id").over(Window.partitionBy("tab", "class", "key")).alias("first_id"), F.col("id").alias("copy_id"))
     groups = many.groupBy("tab", "key").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -110,8 +119,9 @@ def copies(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return cool.unionByName(many).where("copy_id <> first_id")
 
 
-def contents(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def contents(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """(tab, first_id, n_rows) for rows (tab, id, text): one record per content, those that occur once included."""
+    hot_rows = hot_from(rows, hot_rows)
     rows, classes = _classed(rows.where("id IS NOT NULL"))
     once = classes.where("n = 1").select("tab", F.col("least").alias("first_id"), F.col("n").alias("n_rows"))
     cool, many = _split(rows, classes, hot_rows)

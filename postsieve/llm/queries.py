@@ -167,17 +167,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # ---- SQL ------------------------------------------------------------------
 
-_DROP = r"[\s\p{P}\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]"
+# white space as the Unicode property has it, and the separators of files, groups, records and units
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_BARE = f"regexp_replace(translate(lower({{}}), '{_SPACES}', ''), '\\p{{{{P}}}}', '', 'g')"
 _COPIES = rf"""
 t AS (
   SELECT 'combined' AS tab, row_id AS id, text FROM combined
   UNION ALL SELECT 'hatebase_cleaned', tweet_id, tweet FROM hatebase_cleaned
+), parts AS (
+  SELECT tab, id, text, string_split(replace(text, '|', ';'), ';') AS ps FROM t WHERE translate(text, '{_SPACES}', '') <> ''
 ), k AS (
-  SELECT tab, id, regexp_replace(lower(text), '{_DROP}', '', 'g') AS plain,
-    CASE WHEN regexp_full_match(text, '\s*\p{{L}}+\s*:[^|;]*([|;]\s*\p{{L}}+\s*:[^|;]*){{2,}}')
-      THEN list_aggregate(list_sort(list_transform(regexp_split_to_array(text, '[|;]'),
-        lambda x: regexp_replace(lower(x), '{_DROP}', '', 'g'))), 'string_agg', chr(1)) END AS fields
-  FROM t WHERE regexp_matches(text, '[^\s\p{{Z}}\x{{0b}}\x{{85}}\x{{1c}}-\x{{1f}}]')
+  SELECT tab, id, {_BARE.format("text")} AS plain,
+    CASE WHEN len(ps) >= 3 AND len(list_filter(ps, lambda x: NOT contains(x, ':')
+        OR NOT regexp_full_match(trim(string_split(x, ':')[1], '{_SPACES}'), '\p{{L}}+'))) = 0
+      THEN list_aggregate(list_sort(list_transform(ps, lambda x: {_BARE.format("x")})), 'string_agg', chr(1)) END AS fields
+  FROM parts
 ), g AS (
   SELECT tab, id, coalesce(fields, min(fields) OVER (PARTITION BY tab, plain), plain) AS key FROM k
 ), m AS (

@@ -44,6 +44,37 @@ def test_copies(spark, hot):
     assert got == sorted([*WANT, ("a", 8, 19)])
 
 
+def plain_copies(rows):
+    """The definition of copies, row by row."""
+    import unicodedata
+
+    drop = lambda t: "".join(c for c in t.lower() if not c.isspace() and unicodedata.category(c)[0] != "P")
+    groups, plain = {}, {}
+    for tab, i, t in sorted((r for r in rows if r[2] and r[2].strip()), key=lambda r: r[1]):
+        parts = t.replace("|", ";").split(";")
+        record = len(parts) >= 3 and all(":" in x and x.split(":")[0].strip().isalpha() for x in parts)
+        key = ("record", *sorted(map(drop, parts))) if record else ("text", drop(t))
+        if record:
+            plain.setdefault((tab, drop(t)), key)
+        groups.setdefault((tab, key), []).append((i, drop(t)))
+    for (tab, key), members in list(groups.items()):
+        if key[0] == "text" and (tab, key[1]) in plain:
+            groups[tab, plain[tab, key[1]]] += groups.pop((tab, key))
+    return sorted((tab, min(m)[0], i) for (tab, _), m in groups.items() for i, _ in m if i != min(m)[0])
+
+
+def test_white_space_of_any_kind_around_names(spark):
+    rows = [("a", k, t) for k, t in enumerate(["name: x | tone: y; place: z", "place\u00a0: z|\u2009tone: y|\u3000name\u2003: x", "\u0085tone: y;place: z\x1c; name: x", "na me: q | tone: y; place: z", "place: z | tone: y; na me: q", "a: 1 | b: 2 |", "b: 2 | a: 1 |"])]
+    d = spark.createDataFrame(rows, "tab string, id int, text string")
+    got = sorted(map(tuple, dupes.copies(d).collect()))
+    assert got == [("a", 0, 1), ("a", 0, 2)] == plain_copies(rows)
+
+
+def test_copies_as_defined(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/combined.parquet").selectExpr("'combined' AS tab", "row_id AS id", "text")
+    assert sorted(map(tuple, dupes.copies(d).collect())) == plain_copies([tuple(r) for r in d.collect()])
+
+
 def test_copies_of_one_hot_text(spark):
     d = spark.range(5000).selectExpr("'t' AS tab", "id", "concat(repeat(' ', int(id % 7)), 'SAME text') AS text")
     assert dupes.copies(d, 100).count() == 4999
