@@ -106,8 +106,27 @@ def test_quality_verdicts(spark):
     assert [i for i in range(len(PROSE)) if v[i]["rejected"]] == []
     assert [t for i, t in enumerate(JUNK, len(PROSE)) if not v[i]["rejected"]] == []
     for i in range(len(PROSE) + len(JUNK), len(v)):
-        assert not v[i]["rejected"] and v[i]["reasons"] == [] and v[i]["n_words"] == 0 and v[i]["prose_share"] is None
-    assert all(r["rejected"] == bool({"no_sentences", "bullets", "links", "repeated_lines"} & set(r["reasons"])) for r in v.values())
+        assert not v[i]["rejected"] and v[i]["reasons"] == [] and v[i]["n_words"] == 0 and v[i]["sentence_share"] is None
+    assert all(r["rejected"] == bool(set(r["reasons"]) - {"ellipses", "few_ended_lines", "few_words"}) for r in v.values())
+
+
+@pytest.mark.parametrize(
+    "text, reason",
+    [
+        ("lamp chair table box " * 4, "stop_words"),
+        ("lol" * 60, "word_length"),
+        ("#the #old #lamp is #on it", "hashes"),
+        ("- the lamp of it\n- the old one\n- and that is it", "bullets"),
+        ("the 12 of 3 is 44", "letter_words"),
+        ("it is the lamp\nit is the lamp\nwe had it\nand it was so", "repeated_lines"),
+        ("the the the the lamp the the the the the old the the the", "repeated_words"),
+        ("it is https://links.example/a-very-long-address/of-some-place", "links"),
+        ("=-=-=-=-=-=-=-", "no_words"),
+    ],
+)
+def test_a_reason_per_rule(spark, text, reason):
+    v = quality.verdicts(quality.statistics(spark.createDataFrame([(1, text)], "doc_id int, text string"))).first()
+    assert v["rejected"] and reason in v["reasons"]
 
 
 def test_quality_counts(spark):
