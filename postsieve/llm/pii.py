@@ -6,9 +6,12 @@ calibrated on held-out examples, selects; of overlapping selections the best one
 stays. The rest of the text is untouched. Numbers that touch a phone number are
 told from it by the trees: every run of its digit groups is a candidate.
 
-The trees are trained in place on TRAIN_TEXTS sentences composed from invented
-names, streets and numbers in carrier and decoy sentences, with a fixed seed, so
-no row of the corpus is needed and every worker gets the same model.
+The trees are trained in place on TRAIN_TEXTS texts composed word by word
+(``pii_texts``) with a fixed seed, so no row of the corpus is needed and every worker
+gets the same model. What they know of language is general: lists of given names,
+ends of family names, announcing words, and the vocabularies of public tokenizers,
+in which common words stand in lower case and proper names only capitalised
+(without their files those features are absent, in training as in use).
 
 Defined cases: null texts stay null and hold nothing; empty texts stay empty;
 first names alone, handles, places, order and version numbers, ISBNs, scores,
@@ -19,44 +22,45 @@ gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import bisect
-import random
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import pii_texts
 from .boost import Boosted
-from .quality import COMMON_WORDS
+from .encode import TOKENIZERS
+from .quality import COMMON_WORDS, MORE_WORDS
 
 TYPES = ("email", "phone", "id_number", "address", "name")
-TRAIN_TEXTS = 6000
+TRAIN_TEXTS = 20_000
+VOCABULARIES = tuple(f"{TOKENIZERS}/{f}" for f in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
 MAX_DESCRIBED = 10_000  # candidates described at once, bounds the memory of a long text
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
-#: Words that announce or rule out a type, titles, and street words.
-CUES = {
-    "name": "name met called signed named ask contact dear meet thanks regards author heiße heißt appelle llamo chamo heet cc attn mister",
-    "phone": "call tel phone text whatsapp fax mobile cell ring telephone handy telefon sms dial number telefono telefone téléphone bel answers reach ligue llama",
-    "id_number": "id ssn passport security insurance national licence license tax nif dni bsn ausweis steuer identity reisepass pasaporte passeport paspoort social",
-    "address": "at lives party out off moving house address visit wohnt adresse habite vive mora woont street deliver send parcel",
-    "decoy": "order tracking version isbn room page section paid scores score floor posted from invoice item model build chapter track flight ticket serial edition part level release shipped match years since cost price total",
-}
-TITLES = "mr mrs ms miss dr prof herr frau mme mlle sr sra srta dhr mevr mw señor señora sir madam"
+#: Words that rule out a type, titles, and street words.
+DECOY_CUES = "order tracking version isbn room page section paid scores score floor posted from invoice item model build chapter track flight ticket serial edition part level release shipped match years since cost price total parcel ref bestellung rechnung auftrag sendung commande facture pedido factura encomenda fatura bestelling factuur"
+TITLES = "mr mrs ms miss dr prof herr herrn frau m mme mlle monsieur madame sr sra srta dhr mevr mevrouw meneer mw señor señora senhor senhora don doña dona sir madam"
 STREETS = "street st road rd lane ln avenue ave court ct drive close crescent square way terrace boulevard blvd place row hill"
 STREET_ENDS = "straße strasse str weg allee gasse platz ring damm ufer straat laan plein kade gracht"
 STREET_STARTS = "rue avenue boulevard place chemin allée impasse quai calle avenida paseo plaza carrer rua travessa praça"
 PARTICLES = "de du des la le les l' d' del los las da do das dos el e y et"
 
-_FUNCTION = {w for ws in COMMON_WORDS.values() for w in ws.split()}
-_CUE = {k: set(v.split()) for k, v in CUES.items()}
+_FUNCTION = {w for ws in (*COMMON_WORDS.values(), MORE_WORDS) for w in ws.split()}
+_CUE = {k: {w for w in re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", v.lower()) if w not in _FUNCTION} for k, v in pii_texts.ANNOUNCE.items()}
+_CUE["decoy"] = set(DECOY_CUES.split())
 _TITLE = set(TITLES.split())
 _ARTICLE = set("the a an this that our their these those der die das ein eine le la les un une el los las o os as um uma de het een".split())
 
 #: Words before an address, ends of host names, and words that stand before "at" and a place.
-_MAIL_CUE = set("mail email e-mail mailto write reach contact send address mailadresse correo courriel".split())
+_MAIL_CUE = set("mail email e-mail mailto write reach contact send address mailadresse correo courriel schreiben écrivez escribe escreva adresse naar an".split())
 _DOMAIN = set("com org net edu gov info io eu example test de fr es pt nl uk us at be br ch ca au it mx ar".split())
 _AT_HEADS = set("look meeting met meet arrived stay stayed seen works worked party laughed shouted sale lunch dinner here there them him them sold posted login back still".split())
 
@@ -164,7 +168,84 @@ def _address_form(span: str, before: list[str]) -> list[float]:
     ]
 
 
-def describe(text: str, cand: tuple[int, int, int], caps: float) -> list[float]:
+class Lexicon:
+    """What is known of single words: common ones, proper ones, given names."""
+
+    def __init__(self, paths: tuple[str, ...] = VOCABULARIES):
+        tokens = {t for p in paths if Path(p).exists() for line in open(p, "rb") if (t := base64.b64decode(line.split()[0]).decode("utf-8", "ignore")) and t[0] == " "}
+        words = {t[1:] for t in tokens if len(t) > 3 and t[1:].isalpha()}
+        self.common = {w for w in words if w.islower()}
+        self.proper = {w.lower() for w in words if w.istitle()} - self.common
+        self.given = {_bare(w) for w in pii_texts.GIVEN.split()}
+
+    def plain(self) -> list[str]:
+        """Common words in Latin letters, sorted."""
+        return sorted(w for w in self.common if len(w) > 3 and re.fullmatch("[a-zß-öø-ÿœ]+", w))
+
+    def __call__(self, word: str) -> tuple[float, ...]:
+        return _word_form(self, word)
+
+
+def _bare(word: str) -> str:
+    """Lower case without accents."""
+    return word.lower() if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+
+
+_PLACE, _DATED, _ENDS = set(pii_texts.PLACES), set(pii_texts.CALENDAR), tuple(sorted(set(pii_texts.SURNAME_ENDS)))
+
+
+@lru_cache(maxsize=100_000)
+def _word_form(lexicon: Lexicon, word: str) -> tuple[float, ...]:
+    low = word.lower()
+    parts = re.split("[-'’]", low)
+    return (
+        float(_bare(parts[0]) in lexicon.given),
+        float(low in lexicon.common or low in _FUNCTION),
+        float(low in lexicon.proper),
+        float(low in _FUNCTION),
+        float(low.endswith(_ENDS)),
+        float(low in _PLACE or low.rstrip("s") in _PLACE),
+        float(low in _DATED),
+        float(len(low)),
+    )
+
+
+def _name_form(words: list[str], before: list[str], after: list[str], left: str, right: str, lexicon: Lexicon) -> list[float]:
+    """What tells a person's name from other capitalised words: the words, their neighbours, the capitals around."""
+    near = _WORD.findall(left)[-5:] + _WORD.findall(right)[:4]
+    last = left.rstrip(" \"'“‘(")[-1:]
+    none = (0.0,) * 8
+    return [
+        *lexicon(words[0]),
+        *lexicon(words[-1]),
+        *(lexicon(before[0])[:7] if before and last.isalnum() else none[:7]),
+        *(lexicon(after[0])[:7] if after and right[:1] == " " else none[:7]),
+        float(sum(w[:1].isupper() for w in near) / len(near)) if near else 0.0,
+        float(sum(w.isupper() and len(w) > 1 for w in near)),
+        float(last in ",;"),
+        float(last in ":-"),
+        float(right[:2] in ("'s", "’s")),
+        float(right[:1] in ",;:"),
+        float(right[:1] in ".!?"),
+        float(not right.strip()),
+        float(left.rstrip()[-1:] in "@#" or left[-1:] in "@#&"),
+        float(any(lexicon(w)[0] for w in re.findall(r"[A-ZÀ-Þ][^\W\d_]+", right[:16]))),
+    ]
+
+
+def _street_form(words: list[str], lexicon: Lexicon) -> list[float]:
+    inner = [lexicon(w) for w in words if not w[0].isdigit()]
+    low = [w.lower() for w in words]
+    return [
+        float(sum(x[1] for x in inner)),
+        float(sum(x[3] for x in inner)),
+        float(len(inner)),
+        float(low[-1] in ("way", "place", "row", "hill", "close", "drive", "court", "square", "crescent", "st")),
+        float(sum(w[:1].isupper() for w in words)),
+    ]
+
+
+def describe(text: str, cand: tuple[int, int, int], caps: float, lexicon: Lexicon) -> list[float]:
     """Format and context features of a candidate."""
     kind, s, e = cand
     span, left, right = text[s:e], text[max(0, s - 48) : s], text[e : e + 36]
@@ -178,7 +259,7 @@ def describe(text: str, cand: tuple[int, int, int], caps: float) -> list[float]:
     tail = words[-1] if words else ""
     return [
         caps,
-        *(_context(before, _CUE[k]) for k in ("name", "phone", "id_number", "address", "decoy")),
+        *(_context(before, _CUE[k]) for k in ("name", "phone", "id_number", "address", "email", "decoy")),
         *(_context(after, _CUE[k]) for k in ("id_number", "decoy")),
         float(starts),
         float(bool(before) and before[0] in _ARTICLE and not starts),
@@ -214,6 +295,8 @@ def describe(text: str, cand: tuple[int, int, int], caps: float) -> list[float]:
         float(bool(re.match(r"\s*(?:\w+\s+){0,2}(?:who|when|and i|and works|moved|lives)\b", right, re.I))),
         *(_beside(span, left, right) if kind == 1 else ()),
         *(_address_form(span, before) if kind == 0 else ()),
+        *(_street_form(words, lexicon) if kind == 3 else ()),
+        *(_name_form(words, before, after, left, right, lexicon) if kind == 4 else ()),
     ]
 
 
@@ -222,186 +305,22 @@ def caps_share(text: str) -> float:
     return sum(w[:1].isupper() for w in words) / len(words) if words else 0.0
 
 
-# ---- training on composed sentences ----------------------------------------
-
-_SYLL = "an ar bel bri cor dar del dor el en er fal fen gar gri hal han il in jor kal ken lar lin lo mar mel mi nad nor o os pel per ra ren ro sa sel sil ta tel tor ul va vel vin wal win ya yor".split()
-_TAILS = "ham ski sen son mere ford well ton wood quist berg mann dahl ley worth stone brook man ez es eau ard holt".split()
-_FILL = "basket window yellow engine sorted carried quiet lamp often behind pretty table market cabinet slowly because morning friend wrote about harbor river tidy brown picked ladder under clock after before river paint".split()
-
-
-def _word(r: random.Random, tail: bool = False) -> str:
-    return ("".join(r.choice(_SYLL) for _ in range(r.choice((1, 2)))) + (r.choice(_TAILS) if tail else r.choice(("", "a", "e", "in", "us", "em", "o")))).capitalize()
-
-
-def _name(r: random.Random) -> str:
-    f, l = _word(r), _word(r, True)
-    l += f"-{_word(r, True)}" if r.random() < 0.2 else ""
-    k = r.random()
-    s = f"{f} {r.choice('ABCDEFGHJKLMNPRSTW')}. {l}" if k < 0.15 else f"{l}, {f}" if k < 0.32 else f"{f} {l}"
-    return s.upper() if r.random() < 0.07 and "-" not in s else s
-
-
-def _email(r: random.Random) -> str:
-    f, l = _word(r), _word(r, True)
-    local = r.choice((f"{f}.{l}", f"{f[0]}{l}", f"{l}_{r.randrange(100):02d}", f"{f}+news", f"{f}{r.randrange(1000)}", f"{f}_{l}", f))
-    local = local if r.random() < 0.15 else local.lower()
-    labels = [*r.choice((["mail"], ["post"], ["uni", _word(r).lower()], [_word(r).lower()], ["web", "mail"])), r.choice(("example", "test", "com", "org", "net", "de", "fr", "nl"))]
-    at, dot = r.choice((("@", "."),) * 6 + ((" @ ", "."), (" [at] ", " [dot] "), (" (at) ", "."), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]"), ("(at)", ".")))
-    return local + at + dot.join(labels)
-
-
-def _digits(r: random.Random, n: int) -> str:
-    return "".join(r.choice("0123456789") for _ in range(n))
-
-
-def _phone(r: random.Random) -> str:
-    d = lambda n: _digits(r, n)
-    sep = r.choice(" -.")
-    return r.choice(
-        (
-            f"+{r.randrange(1, 99)} {d(2)} {d(4)} {d(4)}", f"+{r.randrange(1, 99)}-{d(3)}-{d(4)}-{d(3)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(4)}", f"0{d(4)} {d(6)}",
-            f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+{d(11)}", f"+{r.randrange(30, 60)} {d(2)} {d(5)} {d(3)}", f"0{d(2)}{sep}{d(3)}{sep}{d(4)}", f"0{d(3)}-{d(7)}", f"+{r.randrange(30, 60)} {d(3)} {d(3)} {d(3)}", f"06 {d(8)}", f"+{r.randrange(30, 60)} {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
-        )
-    )
-
-
-def _id(r: random.Random) -> str:
-    d, c = lambda n: _digits(r, n), lambda n: "".join(r.choice("ABCEGHJKLMNPRSTWXYZ") for _ in range(n))
-    sep = r.choice(("-", " "))
-    return r.choice((f"{d(3)}{sep}{d(2)}{sep}{d(4)}", f"{c(2)}{d(6)}{c(1)}", f"{c(2)} {d(2)} {d(2)} {d(2)} {c(1)}", f"{d(8)}-{c(1)}", f"{d(8)}{c(1)}", f"{c(1)}{d(8)}", f"{c(2)}{d(7)}", f"{c(1)}{d(7)}", f"{d(9)}", f"{c(1)}{d(7)}{c(1)}"))
-
-
-def _address(r: random.Random) -> str:
-    no = str(r.randrange(1, 320)) + (r.choice("abB") if r.random() < 0.3 else "")
-    base = _word(r, True)[:6] + r.choice(("hill", "gate", "moor", "field", "wood", "brook"))
-    k = r.random()
-    if k < 0.5:
-        s = f"{no} {base.capitalize()} {r.choice('Street Road Rd Lane Avenue Ave Court Drive Close St'.split())}"
-    elif k < 0.75:
-        s = f"{base.capitalize()}{r.choice(('straße', 'weg', 'allee', 'gasse', 'platz', 'straat', 'laan'))} {no}"
-    else:
-        s = f"{no} rue {r.choice(('de la', 'du', 'des', 'de'))} {' '.join(_word(r) for _ in range(r.choice((1, 1, 2))))}"
-    return s.lower() if r.random() < 0.2 else s
-
-
-#: Carrier sentences; the slot in braces is the personal datum.
-CARRIERS = {
-    "name": "my name is {} and i @ the @|has anyone met {} who @ the @|ask for Mr. {} when you come|ask for Mrs. {} when you bring the @|signed, {}|the @ is called {} and works here|please contact {} about the @|i am {} from the @|Dr. {} will see you|thanks, {}|written by {} in the @|Frau {} wohnt hier|je m'appelle {}|me llamo {}|signed, {}, the @ was @|she met {} near the @|@ @ said {} and @|signed, {} - @ @ @|my name is {}, i @|dear {}, the @ is @|best regards {}",
-    "email": "write to {} about the @|my mail is {} if the @ asks|reach me via <{}> please|contact: {} (the @ reads it)|{} is where you send the @|mail {} for the @|send it to {}|e-mail: {}|{}",
-    "phone": "call {} after lunch for the @|text me on {} or ask the @|tel {} any time|whatsapp {} to buy the @|the @ answers at {} until noon|phone: {}|my number is {}|ring {} now|fax {}|mobile {} please|{} is my phone|téléphone {}|Telefon {}",
-    "id_number": "someone posted my passport {} in the @|the form with ssn {} was lost by the @|why does the @ need {} as my national id|social security number: {}|national insurance no {}|my id is {}|the form with national id {} was @|passport no. {} was lost|why does the @ need {} as my passport no.|identity card {}|tax id: {}|the @ with national insurance number {} in the @|DNI {}|Reisepass {}",
-    "address": "the party is at {}, bring a @|she lives at {} behind the @|drop the @ off at {} please|moving out of {} soon, free @|i live at {} now|meet at {}|our house is {}|send the @ to {}|er wohnt {}|visit us: {}|the @ moved to {} after the @",
-}
-DECOYS = (
-    "order # shipped, tracking RB#|Order # is late|version %.%%.% fixes the @ bug|isbn 978-%-%%%%%-%%%-% is out of print|ISBN 978-%-%%%%%%-%%-% of the @|room %%% on floor %, ask the @|paid %,%%%.%% for %% @|scores were %%-%% and %%-%% at the @|from 19%% to 20%% the Cap Caps played in the @|see section %.% of the @, page %%%|@first posted at %%:%% again"
-    "|the Cap Harbor festival on Cap Street starts soon|The Cap @ makes the best bread|% @ streets later we bought the @|on Cap Street the @ was @|all Caps are @ and should @|never trust the Cap, they are @|the score was %-% in %% minutes|flight % from Cap to Cap|the Cap Cap museum opens|tracking # arrived|item % of %% cost %%.%%|look at example.com for @|the meeting at links.example was @|i was at the @ and the @"
-    "|Has anyone seen the @ which some @ @ at the @|The @ that a @ @ is still here. New plan: the @ brings it|New plan: @ brings the @. Today i learned that|somewhere in Cap a @ is @|First said hello|First and First came by|the river Cap runs to Cap Bay|invoice # total %%%|model X%%%% and build %%%%%|chapter %%, page %%%|%%%% @ and %%% @|between 19%% and 20%% the @|at %%:%% on %%.%%.20%%|No one asked. Please tell the @ that|it took % years|call the @ at the @|text the @ about the @|i met the Cap Cap in the @|Never lend a @ to a @. Somewhere the @ is @|20%%-%%-%% was a @ day|the year 19%%-20%% was @|serial #|Cap Cap is a song|The Cap Caps won|RB# is the @|the @ was carried by another @ at the @|nobody near the @ knew whether an @ had been @|where did the @ leave her @ and his @|if you @ the @ then ask a @ about the other @|there were @ and @ all over the @|what a @, she @ it in the @ with an @|they @ it last night and now the @ is @|first it was @, later the @ was @ as well"
-).split("|")
-
-
-def compose(n: int, seed: int = 5) -> list[tuple[str, set[tuple[int, str]]]]:
-    """(text, {(type, datum)}) of ``n`` composed texts."""
-    r = random.Random(seed)
-    make = dict(zip(TYPES, (_email, _phone, _id, _address, _name)))
-    # frequent kinds of plain text; their words never name anyone
-    out = []
-    for _ in range(n):
-        parts, gold = [], set()
-        for _ in range(r.choice((1, 1, 2, 3))):
-            k = r.random()
-            if k < 0.42:
-                t = r.choice(TYPES)
-                datum = make[t](r)
-                form = r.choice(CARRIERS[t].split("|"))
-                form = "".join(r.choice(_FILL) if c == "@" else c for c in form)
-                s = form.replace("{}", datum)
-                gold.add((TYPES.index(t), datum))
-            elif k < 0.85:
-                s = r.choice(DECOYS)
-                while "Caps" in s or "Cap" in s:
-                    s = s.replace("Caps", _word(r, True) + "s", 1) if "Caps" in s else s.replace("Cap", _word(r, r.random() < 0.5), 1)
-                s = s.replace("First", _word(r)).replace("@first", "@" + _word(r).lower())
-                s = "".join(_digits(r, r.choice((8, 9, 10, 10))) if c == "#" else r.choice("0123456789") if c == "%" else r.choice(_FILL) if c == "@" else c for c in s)
-            else:
-                s = " ".join(r.choice(_FILL) for _ in range(r.randrange(4, 12)))
-            if r.random() < 0.3 and not any(d in s[: len(d) + 1] for _, d in gold):
-                s = s[:1].upper() + s[1:]
-            parts.append(s + r.choice((".", "!", "", "!!", "...")))
-        text = r.choice((" ", " ", "\n", " | ", " - ", " ; ")).join(parts)
-        if r.random() < 0.35 and not gold:
-            text = text.title() if r.random() < 0.6 else text.upper()
-        out.append((text, gold))
-    return out
-
-
-#: What stands before or after a phone number without being part of it.
-PHONE_HEADS = "%%.%%.20%% |20%%-%%-%% |at %%:%% |in 20%% |flat %% |room %%% |% x |%% ".split("|")
-PHONE_TAILS = " %nd floor| %th floor| %pm| %am please| %x a day| %%h| 24h| %rd try| %% times| % of us| 20%%-%%-%%| 20%%-%%-%% at %%:%%| %%.%%.20%%| %%/%%/20%%| %%:%%| %% @| %%% @| % @ @| 20%%| %%min| %kg".split("|")
-
-
-def compose_beside(n: int, seed: int = 6) -> list[tuple[str, set[tuple[int, str]]]]:
-    """``n`` texts like those of ``compose`` whose phone numbers, or decoys, touch other numbers."""
-    r = random.Random(seed)
-    fill = lambda s: "".join(r.choice("0123456789") if c == "%" else r.choice(_FILL) if c == "@" else c for c in s)
-    out = []
-    for _ in range(n):
-        head, tail = (fill(r.choice(PHONE_HEADS)) if r.random() < 0.2 else ""), fill(r.choice(PHONE_TAILS)) if r.random() < 0.8 else ""
-        if r.random() < 0.6:
-            datum = fill("1-%%%-%%%-%%%%") if r.random() < 0.1 else _phone(r)
-            before, after = fill(r.choice(CARRIERS["phone"].split("|"))).split("{}")
-            out.append((f"{before}{head}{datum}{tail}{after}", {(1, datum)}))
-        else:
-            s = r.choice([d for d in DECOYS if "Cap" not in d and "First" not in d and d[-1] in "#%"] + ["order #", "invoice #", "isbn 978-%-%%%%%-%%%-%", "flight %%%%", "room %%%"])
-            out.append((fill(s.replace("#", "%" * r.choice((8, 9, 10, 10))) + tail), set()))
-    return out
-
-
-#: Ways to write @ and dot, and texts where "at" and a dot are no address.
-EMAIL_FORMS = ((" at ", "."),) * 4 + ((" [at] ", " [dot] "), ("[at]", "."), ("{at}", "{dot}"), (" {at} ", " {dot} "), (" {at} ", "."), (" (at) ", " dot "), (" at ", " dot "), ("@", "."))
-AT_DECOYS = "look at ~.* for @|the meeting at ~.* was @|she was at home.then we @|we met at ^.the @ is|i laughed at it.so @|the @ at ~.*|stay at home.the @ is @|it is for sale at ~.* now|posted at ~.* again|the @ is at ~.* today|they were at ^.I @|read it at ~.*|we are at ~ dot * now|the @ sold at ^.and the @|write to them at ~.*|buy @ at ~.* please|@ at www.~.* today|order at shop.~.* today|sign up at ~.~.* now|register the @ at ~.~.*|see the @ at web.~.*|the @ at mail.~.* is @".split("|")
-
-
-def compose_written(n: int, seed: int = 7) -> list[tuple[str, set[tuple[int, str]]]]:
-    """``n`` texts whose addresses are written with words and brackets in either case, or that only look so."""
-    r = random.Random(seed)
-    out = []
-    for _ in range(n):
-        if r.random() < 0.55:
-            f, l, (at, dot) = _word(r).lower(), _word(r, True).lower(), r.choice(EMAIL_FORMS)
-            plain = r.random() < 0.2
-            local = f if plain else r.choice((f"{f[0]}.{l}", f"{f}.{l}", f"{f}_{l}", f"{l}{r.randrange(1000)}", f"{f}+news", f"{l}-{f}", f"{f[0]}{l}" if dot != "." else f"{f}.{l}"))
-            host = [*r.choice((["mail"], ["post"], ["web", "mail"], [_word(r).lower()], ["uni", _word(r).lower()])), r.choice(("com", "org", "net", "example", "test", "de", "fr", "es", "pt", "nl"))]
-            datum = local + at + dot.join(host)
-            k = r.random()
-            datum = datum.upper() if k < 0.2 else local + at.upper() + dot.join(host).replace(dot, dot.upper()) if k < 0.4 else datum
-            form = r.choice([c for c in CARRIERS["email"].split("|") if not plain or dot != "." or re.search("write|mail|contact|reach|send", c)])
-            s, gold = form.replace("@", r.choice(_FILL)).replace("{}", datum), {(0, datum)}
-        else:
-            s, gold = r.choice(AT_DECOYS).replace("~", r.choice((_word(r).lower(), "example", "links"))).replace("*", r.choice(("com", "org", "net", "example", "test", "de"))).replace("^", r.choice((_word(r), *_FILL))), set()
-            s = "".join(r.choice(_FILL) if c == "@" else c for c in s)
-            s = s.upper() if r.random() < 0.1 else s
-        out.append((s + r.choice(("", ".", "!", " please", " now")), gold))
-    return out
-
-
 class Model:
     """One boosted classifier and one threshold per type."""
 
-    def __init__(self, texts: int = TRAIN_TEXTS) -> None:
+    def __init__(self, texts: int = TRAIN_TEXTS, vocabularies: tuple[str, ...] = VOCABULARIES) -> None:
+        self.lexicon, partial = Lexicon(vocabularies), Lexicon(vocabularies)
+        partial.given = set(sorted(partial.given)[::2])  # half of the given names stay unknown in training, as most are in use
         rows: list[list[tuple[list[float], bool]]] = [[] for _ in TYPES]
-        for text, gold in compose(texts):
+        for text, gold in pii_texts.compose(texts, common=self.lexicon.plain()):
             caps = caps_share(text)
             for c in propose(text):
-                rows[c[0]].append((describe(text, c, caps), (c[0], text[c[1] : c[2]]) in gold))
-        for k, more in ((0, compose_written(texts // 3)), (1, compose_beside(texts // 3))):
-            for text, gold in more:
-                caps = caps_share(text)
-                rows[k] += [(describe(text, c, caps), (c[0], text[c[1] : c[2]]) in gold) for c in propose(text) if c[0] == k]
+                rows[c[0]].append((describe(text, c, caps, partial), (TYPES[c[0]], text[c[1] : c[2]]) in gold))
         self.trees, self.cut = [], []
         for kind in rows:
             x, y = np.array([f for f, _ in kind]), np.array([g for _, g in kind], dtype=float)
             held = np.arange(len(y)) % 4 == 0
-            b = Boosted().fit(x[~held], y[~held])
+            b = Boosted(rounds=120, rate=0.15).fit(x[~held], y[~held])
             self.trees.append(b)
             self.cut.append(self._calibrate(b.score(x[held]), y[held]))
 
@@ -426,7 +345,7 @@ class Model:
         for k, own in enumerate(by_type):
             for at in range(0, len(own), MAX_DESCRIBED):
                 part = own[at : at + MAX_DESCRIBED]
-                x = np.array([describe(texts[i], c, caps[i] if i in caps else caps.setdefault(i, caps_share(texts[i]))) for i, c in part])
+                x = np.array([describe(texts[i], c, caps[i] if i in caps else caps.setdefault(i, caps_share(texts[i])), self.lexicon) for i, c in part])
                 score = self.trees[k].score(x) - self.cut[k]
                 for (i, c), s in zip(part, score):
                     if s > 0:

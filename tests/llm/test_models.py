@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from postsieve.llm import boost, language, pii, toxic
+from postsieve.llm import boost, language, pii, pii_texts, toxic
 from postsieve.llm.queries import QUERIES
 
 SENTENCES = {
@@ -159,11 +159,11 @@ def finder():
 
 
 def test_pii_on_held_out_texts(finder):
-    texts = pii.compose(1500, seed=99)
-    got = [{(k, t[s:e]) for k, s, e, _ in spans} for (t, _), spans in zip(texts, finder.select([t for t, _ in texts]))]
-    for k, name in enumerate(pii.TYPES):
-        want = [{x for x in g if x[0] == k} for _, g in texts]
-        have = [{x for x in g if x[0] == k} for g in got]
+    texts = pii_texts.compose(1500, seed=99, common=finder.lexicon.plain())
+    got = [{(pii.TYPES[k], t[s:e]) for k, s, e, _ in spans} for (t, _), spans in zip(texts, finder.select([t for t, _ in texts]))]
+    for name in pii.TYPES:
+        want = [{x for x in g if x[0] == name} for _, g in texts]
+        have = [{x for x in g if x[0] == name} for g in got]
         tp = sum(len(a & b) for a, b in zip(want, have))
         assert tp / sum(map(len, want)) > 0.9 and tp / sum(map(len, have)) > 0.9, name
 
