@@ -39,6 +39,25 @@ def test_same_look_pairs(spark):
     assert lookalike.same_look(a.limit(0), "post_id", b, "record_id").count() == 0
 
 
+def test_the_trie_decides_letters_of_two_looks(spark):
+    a = spark.createDataFrame([(1, "ӏt is late"), (2, "the ӏamp"), (3, "ν\u200bp there"), (4, "zӏzz")], "post_id int, text string")
+    b = spark.createDataFrame([(1, "It is late"), (2, "the lamp"), (3, "up there"), (4, "zIzy")], "record_id int, text string")
+    pairs = lambda **how: sorted(tuple(r) for r in lookalike.same_look(a, "post_id", b, "record_id", **how).collect())
+    assert pairs() == [(1, 1), (2, 2), (3, 3)]
+    assert pairs(counts={}) == [(2, 2)]  # the table alone knows one look
+
+
+def test_the_automaton_counts_costs():
+    t = lookalike.Trie({"lt": 1, "It": 9, "Ion": 4})
+    assert (t.match("ӏt"), t.match("lt"), t.match("It"), t.match("ӏon"), t.match("lon"), t.match("1t"), t.match("")) == ("lt", "lt", "It", "Ion", None, None, None)
+
+
+def test_pairs_of_a_hot_look_are_made_of_its_ways(spark):
+    a = spark.range(3000).selectExpr("id AS post_id", "CASE WHEN id = 7 THEN 'hot te\u200bxt' ELSE 'hot text' END AS text")
+    b = spark.range(3000).selectExpr("id AS record_id", "'hot text' AS text")
+    assert lookalike.same_look(a, "post_id", b, "record_id").count() == 3000
+
+
 def test_canonical_texts_are_equal_if_they_look_the_same(spark):
     # сор: three Cyrillic letters, commoner than the Latin word; рука and кот occur once, the latter also with a Latin letter
     texts = ["сор", "сор", "сор", "cop", "сoр", "рука", "кот", "кoт", "plain text", "plаin text", "=\u0338", "\u2260", "cafe\u0301", "caf\u00e9", None, ""]
