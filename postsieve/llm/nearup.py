@@ -8,16 +8,20 @@ a band are candidates, and each candidate is verified by exact Jaccard similarit
 of its shingle sets.
 
 Records with the same set of shingles form one class first, so exact copies are
-never paired with each other; pairs are searched between class representatives
-and expanded to rows only at the end (``near_pairs``), kept as class links
-(``near_classes``) or joined into connected components (``near_groups``).
+never paired with each other; the class is told by 128 bits and named by its smallest
+id. Pairs are searched between classes and expanded to rows only at the end
+(``near_pairs``), kept as class links (``near_classes``) or joined into connected
+components (``near_groups``).
 
 Recall: with BANDS bands of ROWS coordinates a pair of similarity s is missed
 with probability (1 - s**ROWS)**BANDS, that is 1.2 % at s = 0.6, 0.2 % at 0.65 and 0.02 % at 0.7.
 
-Scale: what is shuffled per band is a 48-bit key and a 64-bit class, once per
-class and task. Candidates are cut by a 128-bit sketch of the signature before
-any text is moved, so texts travel only for pairs that are likely near.
+Scale: texts are shingled once; the table of their classes, sketches and band keys
+is checkpointed, and a text met again in a task leaves no keys. What is shuffled per
+band is a 48-bit key and half of the class hash (a chance collision of halves makes
+a candidate, no class). Candidates are cut by a 128-bit sketch of the signature
+before any text is moved; the text of a class of a likely pair moves once, and one
+of the two once more per pair to meet the other.
 
 Defined cases: null texts and texts of fewer than MIN_WORDS words take no part
 (in ``near_groups`` each is a group of its own), nor do rows without an id;
@@ -175,85 +179,102 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def class_rows(rows: DataFrame, extra: list[str], bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """(id, cls, s1, s2, extra...) of each text long enough: its class, a hash of its shingle set, and its sketch."""
+MAX_SEEN = 1_000_000  # class hashes a task remembers; beyond it a repeated text leaves its keys again
+
+
+def prepare(rows: DataFrame, extra: list[str], bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+    """(id, h1, h2, s1, s2, keys, extra...) of each text long enough: the hash of its shingle set in two halves, its sketch and band keys.
+
+    Sketch and keys are null for a text whose class the task has met before.
+    """
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Shingler()
+        s, seen = Shingler(), set()
         for b in batches:
             kept, sh, starts = s.runs(b.column(1).to_pylist())
             if not kept:
                 continue
-            cls = fold(sh, starts)
-            parts = [sketches(signatures(sh[f:e], starts[lo:hi] - f, SKETCH)) for lo, hi, f, e in _groups(starts, len(sh))]
-            sk, at = np.concatenate(parts).view(np.int64), pa.array(kept)
-            cols = [b.column(0).take(at), pa.array(cls.view(np.int64)), pa.array(np.ascontiguousarray(sk[:, 0])), pa.array(np.ascontiguousarray(sk[:, 1]))]
-            yield pa.RecordBatch.from_arrays([*cols, *(b.column(2 + i).take(at) for i in range(len(extra)))], ["id", "cls", "s1", "s2", *extra])
+            h1, h2 = fold(sh, starts), fold(mix64(sh ^ _M64[0]), starts)
+            place: list[int | None] = []  # of each text among the new ones
+            fresh = []
+            if len(seen) > MAX_SEEN:
+                seen.clear()
+            for i, h in enumerate(h1.tolist()):
+                if h in seen:
+                    place.append(None)
+                else:
+                    seen.add(h)
+                    place.append(len(fresh))
+                    fresh.append(i)
+            ends = np.r_[starts, len(sh)]
+            own = np.concatenate([sh[ends[i] : ends[i + 1]] for i in fresh]) if fresh else sh[:0]
+            sizes = np.array([ends[i + 1] - ends[i] for i in fresh], dtype=np.int64)
+            begin = np.cumsum(sizes) - sizes
+            sketch, keys = [np.empty((0, 2), np.uint64)], [np.empty((0, bands), np.uint64)]
+            for lo, hi, f, e in _groups(begin, len(own)):
+                sig = signatures(own[f:e], begin[lo:hi] - f, max(bands * per_band, SKETCH))
+                sketch.append(sketches(sig))
+                keys.append(band_keys(sig, bands, per_band))
+            sk, at, of = np.concatenate(sketch).view(np.int64), pa.array(kept), pa.array(place, pa.int64())
+            flat = pa.array(np.concatenate(keys).reshape(-1).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fresh) + 1, dtype=np.int32) * bands), flat)
+            cols = [b.column(0).take(at), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(pa.array(np.ascontiguousarray(sk[:, k])).take(of) for k in (0, 1)), lists.take(of)]
+            yield pa.RecordBatch.from_arrays([*cols, *(b.column(2 + i).take(at) for i in range(len(extra)))], ["id", "h1", "h2", "s1", "s2", "keys", *extra])
 
     kinds = dict(rows.dtypes)
     more = "".join(f", {c} {kinds[c]}" for c in extra)
-    return rows.select("id", "text", *extra).mapInArrow(op, f"id {kinds['id']}, cls bigint, s1 bigint, s2 bigint{more}")
+    return rows.select("id", "text", *extra).where("id IS NOT NULL").mapInArrow(op, f"id {kinds['id']}, h1 bigint, h2 bigint, s1 bigint, s2 bigint, keys array<bigint>{more}")
 
 
-def band_rows(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """(band_key, cls): one row per text and band."""
+def representatives(prepared: DataFrame) -> DataFrame:
+    """(h1, h2, cls, s1, s2): one row per class, named by its smallest id."""
+    return prepared.groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.min("s1").alias("s1"), F.min("s2").alias("s2"))
+
+
+def members(prepared: DataFrame, reps: DataFrame, extra: list[str]) -> DataFrame:
+    """(id, cls, extra...): the class of each text; a hot class is split by AQE, its row is small."""
+    return prepared.select("id", "h1", "h2", *extra).join(reps.select("h1", "h2", "cls"), ["h1", "h2"]).select("id", "cls", *extra)
 
-    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Shingler()
-        for b in batches:
-            kept, sh, starts = s.runs(b.column(0).to_pylist())
-            if not kept:
-                continue
-            # texts of one class in a batch have the same bands: they are emitted once
-            cls, first = np.unique(fold(sh, starts), return_index=True)
-            ends = np.r_[starts, len(sh)]
-            sh = np.concatenate([sh[ends[i] : ends[i + 1]] for i in first])
-            sizes = np.array([ends[i + 1] - ends[i] for i in first])
-            starts = np.cumsum(sizes) - sizes
-            for lo, hi, f, e in _groups(starts, len(sh)):
-                keys = band_keys(signatures(sh[f:e], starts[lo:hi] - f, bands * per_band), bands, per_band)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(cls[lo:hi], bands).view(np.int64))], ["band_key", "cls"]
-                )
 
-    return rows.select("text").mapInArrow(op, "band_key bigint, cls bigint")
+def band_rows(prepared: DataFrame) -> DataFrame:
+    """(band_key, half): one row per class and band, and task."""
+    return prepared.where("keys IS NOT NULL").select(F.explode("keys").alias("band_key"), F.col("h1").alias("half"))
 
 
 def near_candidates(bands: DataFrame) -> DataFrame:
-    """Distinct (a, b) classes, a < b, that share a band.
+    """Distinct (a, b) halves, a < b, that share a band.
 
     Most band keys belong to one class. A window over the one shuffle leaves only
     the others, which are written once and joined with each other.
     """
     w = Window.partitionBy("band_key")
-    several = bands.withColumns({"lo": F.min("cls").over(w), "hi": F.max("cls").over(w)}).where("lo < hi")
-    shared = cut_lineage(several.select("band_key", "cls").distinct())
+    several = bands.withColumns({"lo": F.min("half").over(w), "hi": F.max("half").over(w)}).where("lo < hi")
+    shared = cut_lineage(several.select("band_key", "half").distinct())
     l, r = shared.alias("l"), shared.alias("r")
-    pairs = l.join(r, (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.cls") < F.col("r.cls")))
-    return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
+    pairs = l.join(r, (F.col("l.band_key") == F.col("r.band_key")) & (F.col("l.half") < F.col("r.half")))
+    return pairs.select(F.col("l.half").alias("a"), F.col("r.half").alias("b")).distinct()
 
 
-def likely(cand: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Candidates whose sketches do not differ more than similarity ``threshold`` allows.
+def likely(cand: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes (a, b) whose sketches do not differ more than similarity ``threshold`` allows.
 
     Each of the SKETCH bits differs with probability (1 - s) / 2; a pair at the
     threshold is dropped only beyond SIGMAS standard deviations.
     """
     p = (1 - threshold) / 2
     most = SKETCH * p + SIGMAS * (SKETCH * p * (1 - p)) ** 0.5
-    c = classes.groupBy("cls").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"))
-    j = cand.join(c.select(F.col("cls").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2")), "a")
-    j = j.join(c.select(F.col("cls").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2")), "b")
+    side = lambda x: reps.select(F.col("h1").alias(x), F.col("cls").alias(f"c{x}"), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"))
+    j = cand.join(side("a"), "a").join(side("b"), "b")
     differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return j.where(differ <= int(most)).select("a", "b")
+    return j.where(differ <= int(most)).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
 
-def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs of classes at or above the threshold, by the exact sets of their texts."""
-    used = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    rep = classes.join(used, "cls").groupBy("cls").agg(F.min("id").alias("id"))
-    texts = rows.select("id", "text").join(rep, "id").select("cls", "text").dropDuplicates(["cls"])
-    j = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+    used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = rows.select("id", "text").join(used, "id", "left_semi").dropDuplicates(["id"])
+    j = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    kind = dict(rows.dtypes)["id"]
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grams(t: str) -> set[tuple[str, ...]]:
@@ -270,12 +291,12 @@ def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, threshold: flo
             sim = pa.array(out, pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sim], ["a", "b", "similarity"]).filter(sim.is_valid())
 
-    return j.select("a", "b", "x", "y").mapInArrow(op, "a bigint, b bigint, similarity double")
+    return j.select("a", "b", "x", "y").mapInArrow(op, f"a {kind}, b {kind}, similarity double")
 
 
-def class_links(rows: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+def class_links(rows: DataFrame, prepared: DataFrame, reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity) of every pair of distinct classes at or above the threshold."""
-    return verify(likely(near_candidates(band_rows(rows, bands, per_band)), classes, threshold), classes, rows, threshold)
+    return verify(likely(near_candidates(band_rows(prepared)), reps, threshold), rows, threshold)
 
 
 def near_pairs(rows: DataFrame, copy_of: Callable[[Column], Column], threshold: float = THRESHOLD) -> DataFrame:
@@ -283,9 +304,11 @@ def near_pairs(rows: DataFrame, copy_of: Callable[[Column], Column], threshold:
 
     ``copy_of`` gives the canonical text two copies have in common.
     """
-    keyed = rows.select("id", "text", F.xxhash64(copy_of(F.col("text"))).alias("copy"))
-    classes = cut_lineage(class_rows(keyed, ["copy"]).repartition("cls"))  # read by six joins, 40 bytes a row
-    links = class_links(rows, classes, threshold)
+    keyed = rows.select("id", "text", F.unhex(F.md5(copy_of(F.col("text")))).alias("copy"))
+    prepared = cut_lineage(prepare(keyed, ["copy"]))
+    reps = cut_lineage(representatives(prepared))
+    links = class_links(rows, prepared, reps, threshold)
+    classes = cut_lineage(members(prepared, reps, ["copy"]).distinct())
     # a unit is the rows of one class that are copies of each other: units are paired, then rows, so no pair of copies is ever made
     units = classes.select("cls", "copy").distinct()
     ua, ub = units.select(F.col("cls").alias("a"), F.col("copy").alias("ca")), units.select(F.col("cls").alias("b"), F.col("copy").alias("cb"))
@@ -307,8 +330,9 @@ def _linked(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, cls, n_links): one row per text long enough, its class and the number of other classes linked to it."""
-    classes = cut_lineage(class_rows(rows.select("id", "text"), []).repartition("cls"))
-    return _linked(classes, class_links(rows, classes, threshold))
+    prepared = cut_lineage(prepare(rows.select("id", "text"), []))
+    reps = cut_lineage(representatives(prepared))
+    return _linked(members(prepared, reps, []).distinct(), class_links(rows, prepared, reps, threshold))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -342,9 +366,10 @@ def near_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts and texts of fewer than MIN_WORDS words are groups of their own.
     """
     rows = rows.select("id", "text").where("id IS NOT NULL")
-    classes = cut_lineage(class_rows(rows, []).repartition("cls"))
-    links = cut_lineage(class_links(rows, classes, threshold))
-    rooted = _linked(classes, links).join(components(links), "cls", "left").select("id", F.coalesce("root", "cls").alias("root"), "n_links")
-    first = rooted.groupBy("root").agg(F.min("id").alias("cls"))
-    grouped = rooted.join(first, "root").groupBy("id").agg(F.min("cls").alias("cls"), F.max("n_links").alias("n_links"))
+    prepared = cut_lineage(prepare(rows, []))
+    reps = cut_lineage(representatives(prepared))
+    links = cut_lineage(class_links(rows, prepared, reps, threshold))
+    # classes are named by their smallest id, so the smallest class of a component is its smallest id
+    rooted = _linked(reps.select(F.col("cls").alias("id"), "cls"), links).join(components(links), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "n_links")
+    grouped = members(prepared, reps, []).join(rooted, "cls").groupBy("id").agg(F.min("root").alias("cls"), F.max("n_links").alias("n_links"))
     return rows.select("id").distinct().join(grouped, "id", "left").select("id", F.coalesce("cls", "id").alias("cls"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
