@@ -16,8 +16,7 @@ Defined cases: links, handles, tags, numbers and emoji are no words; a text
 without words (null, empty, blank, only emoji or links) has no segment; runs
 of fewer than MIN_SEGMENT words of two or more letters, or with a lower confidence
 than MIN_CONFIDENCE, join their neighbour, unless they have SHORT_SEGMENT words of
-any length, two of them no single letters, and SHORT_CONFIDENCE; an attribution (via somebody) at an
-end of a text is no word; a
+any length, two of them no single letters, and SHORT_CONFIDENCE; a
 text of only such runs is one segment of the language with the highest total;
 equal totals go to the first language of LANGUAGES; texts are read whole; extra
 columns are ignored; an empty table gives an empty result.
@@ -39,6 +38,7 @@ from .quality import COMMON_WORDS
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 TRAIN_PER_LABEL = 400
+TRAIN_WORDS = 200  # longer texts are trained on in parts
 LIST_SEQUENCES = 120  # per language, composed of its function words
 MIN_SEGMENT, MIN_CONFIDENCE = 4, 0.5
 SHORT_SEGMENT, SHORT_CONFIDENCE = 3, 0.9  # words of any length
@@ -47,7 +47,7 @@ EPOCHS, RATE, DECAY = 8, 0.12, 1e-5
 GROUP = 1024  # texts decoded together
 MEMO_WORDS = 300_000
 
-_SKIP_OR_WORD = re.compile(r"(?:https?://|www\.)\S+|^\s*via\s+\w+|\bvia\s+\w+\s*$|(?<![\w.+-])[\w.+-]++@[\w-]+\.[\w.-]+|[@#]\w+|([^\W\d_]+(?:['’][^\W\d_]+)*)", re.I)
+_SKIP_OR_WORD = re.compile(r"(?:https?://|www\.)\S+|(?<![\w.+-])[\w.+-]++@[\w-]+\.[\w.-]+|[@#]\w+|([^\W\d_]+(?:['’][^\W\d_]+)*)", re.I)
 _LISTS = {w: [i for i, lang in enumerate(LANGUAGES) if w in COMMON_WORDS[lang].split()] for ws in COMMON_WORDS.values() for w in ws.split()}
 
 
@@ -69,7 +69,7 @@ def features(word: str) -> list[int]:
     w = f"^{word}$"
     out = [f"w:{word}"]
     out += [f"p:{word[:n]}" for n in (1, 2, 3)] + [f"s:{word[-n:]}" for n in (1, 2, 3, 4)]
-    out += [f"g:{w[i : i + n]}" for n in (2, 3) for i in range(len(w) - n + 1)][:40]
+    out += [f"g:{w[i : i + n]}" for n in (2, 3) for i in range(len(w) - n + 1)]
     out += [f"l:{i}" for i in _LISTS.get(word, ())]
     return [_slot(x) for x in out]
 
@@ -136,7 +136,8 @@ def training_sequences(sample: list[tuple[str, str]], seed: int = 7) -> list[tup
         y = LANGUAGES.index(label)
         votes = {_vote(words_of(s)) for s in re.split(r"[.!?\n]+| -- | / | \| ", text)} - {None}
         if votes == {y}:
-            pure.setdefault(y, []).append(words_of(text)[:200])
+            ws = words_of(text)
+            pure.setdefault(y, []).extend(ws[i : i + TRAIN_WORDS] for i in range(0, len(ws), TRAIN_WORDS))
     rng = random.Random(seed)
     for y in pure:  # function words alone, so that their lists weigh beyond the words of the sample
         common = COMMON_WORDS[LANGUAGES[y]].split()
@@ -301,7 +302,7 @@ def training_sample(rows: DataFrame, per_label: int = TRAIN_PER_LABEL) -> list[t
     below = F.create_map(*[F.lit(v) for k, c in sorted(n.items()) for v in (k, min(space, space * per_label // c))])
     picked = r.where(F.pmod(F.xxhash64("id"), F.lit(space)) < below[F.col("label")]).select("id", "text", "label")
     # the hash keeps about per_label rows of each label; the limit is a bound for hostile ids
-    got = picked.limit(4 * per_label * len(LANGUAGES)).collect()
+    got = picked.orderBy(F.xxhash64("id"), "id").limit(4 * per_label * len(LANGUAGES)).collect()
     return [(x[1], x[2]) for x in sorted(got, key=lambda x: (x[2], x[1]))]
 
 

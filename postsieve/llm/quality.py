@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 #: Frequent function words of the six languages of the corpus.
 COMMON_WORDS = {
-    "en": "the a an and of to in is was that it for on with as be by this at from his her they we you i not are or has have had there been my our your she he its if when who what which no so than then near me do did will would can could should after before during between",
+    "en": "the a an and of to in out up off is was that it for on with as be by this at from his her they we you i not are or has have had there been my our your she he its if when who what which no so than then near me do did will would can could should after before during between",
     "de": "der die das und ist nicht ein eine einen dem den des im in zu mit auf für von sich es ich du er sie wir ihr dass wer noch immer schon mehr hat haben war aber oder auch als am um mir mich meine mein kann wir was warum so nur",
     "fr": "le la les et est un une des du de que qui dans pas ne pour sur avec il elle nous vous je tu se ce au aux plus a encore toujours était mais ou si par mon ma mes très d'un c'est j'ai",
     "es": "el la los las y es un una de del que en no por para con se lo al más ya está fue su mi yo tú si pero como sigue todavía nos muy sin tan qué quién hay ser son",
