@@ -6,8 +6,11 @@ words and word pairs over all labelled rows with an informative Dirichlet prior
 insults as pseudo-counts). A linear scan finds every maximal scoring segment of
 a text. Extreme-value statistics calibrate the scores: the best segment of n
 background tokens exceeds S with probability 1 - exp(-K n exp(-lambda S)), with
-lambda and K from the token scores of safe texts; a text is toxic, and a passage
-significant, below the probability ALPHA.
+lambda and K from the token scores of safe texts. All segments of a text count: the
+r best are judged together by the law of the sum of their normalised scores
+(Karlin and Altschul 1993), each further segment at half the weight, and the most
+significant r decides. A text is toxic below the probability ALPHA; its passages are
+the segments of that r.
 
 Disguises are folded before scoring: spaced or dotted letters are joined,
 digits and symbols in place of letters are read as letters, masked, repeated,
@@ -38,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .lookalike import skeleton
 
 PRIOR = 4000.0  # weight of the background prior, in tokens
@@ -47,7 +51,7 @@ MIN_COUNT, MIN_Z = 4, 1.9
 DRIFT = 0.45  # taken from every token's log-odds: background segments lose
 UNKNOWN = -0.35  # score of a token without evidence
 CLIP = 4.0
-ALPHA = 3e-5
+ALPHA = 6e-5
 FLUSH = 300_000  # terms counted by a task before they are handed on
 
 #: Plain insults and sexual words (pseudo-counts), and letters written as digits or symbols.
@@ -62,7 +66,8 @@ HARMFUL = r"(?i)\b(insult|slur|stupid|suicide|kill|murder|assault|shoot|stab|rap
 
 _NOISE = re.compile(r"(?:https?://|www\.)\S+|(?<![\w.+-])[\w.+-]++@[\w-]+\.\w+|(?<![\w$])[@#][a-z_]{3,}\b|^rt\b")
 _SPACED = re.compile(r"(?<!\w)[^\W\d_](?:([ .*·_-])[^\W_])(?:\1[^\W_])+(?!\w)")
-_TOKEN = re.compile(r"[^\W_](?:[\w$@!€+*#%'’.-]{0,80}[\w$@€+*#%])?|[$@*#%_][\w$@!€+*#%.-]{0,40}[\w$@€]|[\U0001F300-\U0001FAFF]")
+#: The last alternative has no group: runs of signs are no token, and are passed over as a whole.
+_TOKEN = re.compile(r"([^\W_](?:[\w$@!€+*#%'’.-]*[\w$@€+*#%])?|[$@*#%_](?:[!+*#%.-]*+[\w$@€])++|[\U0001F300-\U0001FAFF])|[$@*#%_!+.-]++")
 _STRANGE = re.compile(r"[Ͱ-ϿЀ-ӿ԰-֏​-‏⁠-⁤＀-￯﻿­]")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _MASK = re.compile(r"[*#%_.+-]")
@@ -78,7 +83,7 @@ def tokens_of(text: str) -> list[str]:
         t = _NOISE.sub(" ", t)
     if _SPACED.search(t):
         t = _SPACED.sub(lambda m: "".join(c for c in m.group() if c.isalnum()), t)
-    return _TOKEN.findall(t)
+    return [x for x in _TOKEN.findall(t) if x]
 
 
 def fold(token: str) -> str:
@@ -120,7 +125,8 @@ def term_counts(labelled: DataFrame) -> DataFrame:
 
     y = F.when(F.lower(F.trim("class")) == "unsafe", 1).when(F.lower(F.trim("class")) == "safe", 0)
     rows = labelled.select("text", y.cast("int").alias("y")).where("y IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(op, "term string, safe bigint, unsafe bigint").groupBy("term").agg(F.sum("safe").alias("safe"), F.sum("unsafe").alias("unsafe"))
+    counts = rows.mapInArrow(op, "term string, safe bigint, unsafe bigint").groupBy("term").agg(F.sum("safe").alias("safe"), F.sum("unsafe").alias("unsafe"))
+    return cut_lineage(counts)  # totals and log-odds read it
 
 
 def log_odds(counts: DataFrame, prior_terms: list[str], limit: int = MAX_TERMS) -> dict[str, float]:
@@ -219,25 +225,30 @@ def best_segment(s: list[float]) -> float:
 
 
 def maximal_segments(s: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), disjoint, in one pass over the scores."""
-    found: list[tuple[int, int, float, float]] = []  # start, end, total before, total through
+    """All maximal scoring segments (start, end, score), disjoint, in one pass over the scores.
+
+    Each kept segment links to the nearest one before it whose total before is
+    smaller, so no segment is passed over twice.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total through, link
     total = 0.0
     for i, x in enumerate(s):
         if x <= 0:
             total += x
             continue
         a, b, lo, hi = i, i + 1, total, total + x
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= lo:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= hi:
-                found.append((a, b, lo, hi))
+                found.append((a, b, lo, hi, j))
                 break
             a, lo = found[j][0], found[j][2]
             del found[j:]
+            j -= 1
         total += x
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
 class Calibration:
@@ -262,6 +273,19 @@ class Calibration:
     def p_value(self, score: float, n: int) -> float:
         return -math.expm1(-self.k * max(n, 1) * math.exp(-self.scale * score)) if score > 0 else 1.0
 
+    def together(self, scores: list[float], n: int) -> tuple[float, int]:
+        """(probability, r) of the most significant r best segments of n background tokens; choosing r costs a factor 2**r."""
+        best, most, total, room = 1.0, 0, 0.0, math.log(self.k * max(n, 1))
+        for r, score in enumerate(sorted(scores, reverse=True), 1):
+            x = self.scale * score - room
+            if r > 1 and x <= math.log(2):
+                break  # neither this segment nor a lesser one can make the sum more significant
+            total += x
+            p = self.p_value(score, n) if r == 1 else math.exp((r - 1) * math.log(max(total, 1e-9)) - total - math.lgamma(r + 1) - math.lgamma(r)) if total > 1 else 1.0
+            if (p := min(1.0, p * 2.0**r)) < best:
+                best, most = p, r
+        return best, most
+
 
 def background(labelled: DataFrame, scorer: Scorer, trim: float) -> Calibration:
     """Calibration over all rows labelled safe whose best segment stays below ``trim`` (the others are mislabelled)."""
@@ -296,16 +320,19 @@ class Model:
         self.scorer = Scorer(log_odds(term_counts(labelled), terms))
         self.law = background(labelled, self.scorer, trim)
 
-    def judge(self, text: str | None) -> tuple[float, float, int]:
-        """(score, probability under the background, number of tokens)."""
+    def judge(self, text: str | None) -> tuple[float, float, list[tuple[int, int]]]:
+        """(score, probability under the background, token spans of the segments that make it)."""
         s = self.scorer.scores(text) if text else []
-        best = best_segment(s)
-        return best, self.law.p_value(best, len(s)), len(s)
+        segments = maximal_segments(s)
+        p, r = self.law.together([x for _, _, x in segments], len(s))
+        top = sorted(segments, key=lambda x: (-x[2], x[0]))[:r]
+        return sum(x for _, _, x in top), p, sorted((a, b) for a, b, _ in top)
 
-    def passages(self, text: str, alpha: float = ALPHA) -> list[tuple[str, float]]:
-        """Every significant passage (its tokens, its probability), in order."""
-        t, s = tokens_of(text), self.scorer.scores(text)
-        return [(" ".join(t[a:b]), p) for a, b, x in maximal_segments(s) if (p := self.law.p_value(x, len(s))) <= alpha]
+    def passages(self, text: str) -> list[str]:
+        """The passages that make a text toxic, in order; none if it is not."""
+        _, p, spans = self.judge(text)
+        t = tokens_of(text) if p <= ALPHA else []
+        return [" ".join(t[a:b]) for a, b in spans] if t else []
 
 
 def score(rows: DataFrame, model: Model, keys: list[str], passages: bool = False) -> DataFrame:
@@ -321,7 +348,7 @@ def score(rows: DataFrame, model: Model, keys: list[str], passages: bool = False
             cols = [*(b.column(i) for i in range(len(keys))), pa.array([round(g[0], 4) for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())]
             names = [*keys, "score", "p_value"]
             if passages:
-                cols.append(pa.array([[p[0] for p in m.passages(t)] if t and g[1] <= ALPHA else [] for t, g in zip(texts, got)], pa.list_(pa.string())))
+                cols.append(pa.array([m.passages(t) if t and g[1] <= ALPHA else [] for t, g in zip(texts, got)], pa.list_(pa.string())))
                 names.append("passages")
             yield pa.RecordBatch.from_arrays(cols, names)
 

@@ -97,6 +97,37 @@ def test_maximal_segments_by_brute_force():
         assert all(a < b and abs(sum(s[a:b]) - x) < 1e-9 for a, b, x in segs) and all(p[1] <= q[0] for p, q in zip(segs, segs[1:]))
 
 
+def test_segments_in_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        s = [1.0 if i % 2 else -0.999 - i * 1e-9 for i in range(n)]
+        began = time.perf_counter()
+        assert toxic.maximal_segments(s)
+        toxic.maximal_segments([1.0, -1.1] * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_several_passages_count_together():
+    law = toxic.Calibration({}, 0, 0, [])
+    law.scale, law.k = 1.0, 0.1
+    one, two, three = (law.together([11.0] * r, 30)[0] for r in (1, 2, 3))
+    assert one > two > three and law.together([11.0, 0.5, 0.1], 30) == law.together([11.0], 30)
+    assert law.together([], 30) == (1.0, 0) and law.together([11.0] * 3, 30)[1] == 3
+    # simulated background: no sum is more significant than it should be
+    r = random.Random(5)
+    seen = [law.together([x for _, _, x in toxic.maximal_segments([r.choice((-1.0, -1.0, 0.7)) for _ in range(200)])], 200)[0] for _ in range(400)]
+    assert sum(p <= 0.01 for p in seen) <= 12
+
+
+def test_long_tokens_are_whole():
+    word = "a" * 300 + "." + "b" * 300
+    assert toxic.tokens_of(f"x {word} y") == ["x", word, "y"] and toxic.tokens_of("#" * 100_000) == [] and toxic.tokens_of("a" + "!" * 100_000) == ["a"]
+    assert toxic.tokens_of("$tupid ### f#ck! #") == ["$tupid", "f#ck"]
+
+
 def test_folding():
     f = lambda t: [toxic.fold(x) for x in toxic.tokens_of(t)]
     assert f("You are s.t.u.p.i.d and b r a i n l e s s!") == ["you", "are", "stupid", "and", "brainless"]
@@ -121,8 +152,8 @@ def test_scores(spark, judge):
     bad, ok = judge.judge("old lamp you are a stupid moron and everyone knows it quiet garden"), judge.judge("someone said moron and that is not ok near the old lamp")
     assert bad[1] <= toxic.ALPHA < ok[1]
     assert judge.judge("you are a st*pid m0ron and everyone knows it")[1] <= toxic.ALPHA
-    assert judge.judge(None) == (0.0, 1.0, 0) and judge.judge("  ")[1] == 1.0
-    assert "moron" in judge.passages("old lamp you are a stupid moron and everyone knows it quiet garden")[0][0]
+    assert judge.judge(None) == (0, 1.0, []) and judge.judge("  ")[1] == 1.0
+    assert "moron" in judge.passages("old lamp you are a stupid moron and everyone knows it quiet garden")[0]
     d = spark.createDataFrame([("t", 1, None, 0.1), ("t", 2, "you are a stupid moron and everyone knows it", 0.1)], "tab string, row_id int, text string, score double")
     assert [r["p_value"] <= toxic.ALPHA for r in toxic.score(d, judge, ["tab", "row_id"]).orderBy("row_id").collect()] == [False, True]
     assert toxic.score(d.limit(0), judge, ["tab", "row_id"]).count() == 0
