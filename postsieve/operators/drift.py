@@ -6,8 +6,11 @@ into one schema that keeps the count of every alternative type of a field.
 Comparing the fused schema of a file with that of the file before gives the
 changes; a field that vanished and a field that appeared are one renamed field
 when their values agree on the posts both files hold. ``unify`` follows the
-renames and reads all lines into one table: conflicting types are split into
-tagged branches, and the canonical column converts each branch.
+renames of each run from file to file and reads all lines into one table:
+conflicting types are split into typed branches, and the canonical column converts
+each branch.
+
+Numbers are kept as written, to every digit; 1 and 1.0 are equal.
 
 Defined cases: lines without a run or a file number take no part;
 null, empty, cut off or non-object lines are unparsable and do
@@ -19,10 +22,13 @@ are ignored; an empty input gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import where_computed
+from ..session import cut_lineage, where_computed
 
 PRESENCE_SHARE = 10  # a field belongs to a file if count * PRESENCE_SHARE >= lines
 RENAME_AGREE = (9, 10)  # equal values on at least 9 of 10 matched posts
@@ -40,13 +46,25 @@ def _tag(value: Column) -> Column:
     )
 
 
+def _number(text: Column) -> Column:
+    """A JSON number without trailing zeros behind the point; one with an exponent as it is."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(text.rlike("[eE]"), text).when(plain == "-0", "0").otherwise(plain)
+
+
 def _text_of(value: Column, tag: Column) -> Column:
-    # numbers compare by value (1 and 1.0 are equal), everything else by its JSON
-    return (
-        F.when(tag == "number", value.cast("double").cast("string"))
-        .when(tag == "string", value.cast("string"))
-        .otherwise(F.to_json(value))
-    )
+    # numbers compare by value, everything else by its JSON
+    return F.when(tag == "number", _number(value.cast("string"))).when(tag == "string", value.cast("string")).otherwise(F.to_json(value))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    # null for a line that is no JSON object
+    m = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
+    return lines.select("run_id", "file_seq", "line_no", "record_id", m.alias("m"))
+
+
+def _placed(d: DataFrame, column: str) -> DataFrame:
+    return where_computed(d, F.col(column).isNotNull() & F.col("run_id").isNotNull() & F.col("file_seq").isNotNull())
 
 
 def tagged_lines(lines: DataFrame) -> DataFrame:
@@ -56,23 +74,24 @@ def tagged_lines(lines: DataFrame) -> DataFrame:
         tag = _tag(x)
         return F.struct(tag.alias("tag"), _text_of(x, tag).alias("val"))
 
-    # null for a line that is no JSON object
-    m = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
-    d = lines.select("run_id", "file_seq", "line_no", "record_id", m.alias("m"))
-    d = d.select("run_id", "file_seq", "line_no", "record_id", F.transform_values("m", tagged).alias("fields"))
+    d = _parsed(lines).select("run_id", "file_seq", "line_no", "record_id", F.transform_values("m", tagged).alias("fields"))
     text = F.element_at(F.col("fields"), "text")
-    d = d.withColumn("text", F.when(text["tag"] == "string", text["val"]))
-    return where_computed(d, F.col("fields").isNotNull() & F.col("run_id").isNotNull() & F.col("file_seq").isNotNull())
+    return _placed(d.withColumn("text", F.when(text["tag"] == "string", text["val"])), "fields")
+
 
+def typed_lines(lines: DataFrame) -> DataFrame:
+    """(run_id, file_seq, types map<string, string>) of parsable lines: what the schemas need, no value is written out."""
+    d = _parsed(lines).select("run_id", "file_seq", F.transform_values("m", lambda _, x: _tag(F.coalesce(x, F.parse_json(F.lit("null"))))).alias("types"))
+    return _placed(d, "types")
 
-def type_alternatives(tagged: DataFrame) -> DataFrame:
+
+def type_alternatives(typed: DataFrame) -> DataFrame:
     """Fused schema per file: (run_id, file_seq, field, tag, n, n_lines) with every alternative type."""
     # a pseudo-field that every line has counts the lines in the same pass
-    mark = F.struct(F.lit("line").alias("tag"), F.lit("").alias("val"))
-    entries = F.concat(F.map_entries("fields"), F.array(F.struct(F.lit(None).cast("string").alias("key"), mark.alias("value"))))
+    entries = F.concat(F.map_entries("types"), F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("line").alias("value"))))
     seen = (
-        tagged.select("run_id", "file_seq", F.explode(entries).alias("e"))
-        .groupBy("run_id", "file_seq", F.col("e.key").alias("field"), F.col("e.value.tag").alias("tag"))
+        typed.select("run_id", "file_seq", F.explode(entries).alias("e"))
+        .groupBy("run_id", "file_seq", F.col("e.key").alias("field"), F.col("e.value").alias("tag"))
         .agg(F.count("*").alias("n"))
     )
     # over one row per file, field and type
@@ -141,25 +160,26 @@ def rename_evidence(tagged: DataFrame, steps: DataFrame) -> DataFrame:
     )
 
 
+def _renames(lines: DataFrame, steps: DataFrame) -> DataFrame:
+    """(run_id, file_seq, pairs array<struct<old, now>>): the renamed fields of each file."""
+    num, den = RENAME_AGREE
+    found = rename_evidence(tagged_lines(lines), steps).where(F.col("agree") * den >= F.col("both") * num)
+    return found.groupBy("run_id", "file_seq").agg(F.collect_list(F.struct("old", F.col("new").alias("now"))).alias("pairs"))
+
+
 def drift_changes(lines: DataFrame) -> DataFrame:
     """(run_id, file_seq, change, field, new_field): every change from the file before of the same run."""
-    tagged = tagged_lines(lines)
-    steps = _steps(file_schemas(type_alternatives(tagged)))
-    num, den = RENAME_AGREE
-    renames = rename_evidence(tagged, steps).where(F.col("agree") * den >= F.col("both") * num)
-    lists = renames.groupBy("run_id", "file_seq").agg(
-        F.collect_set("old").alias("olds"), F.collect_set("new").alias("news"), F.collect_list(F.struct("old", F.col("new").alias("now"))).alias("pairs")
-    )
-    none, no_pairs = F.array().cast("array<string>"), F.array().cast("array<struct<old:string,now:string>>")
-    j = steps.join(lists, ["run_id", "file_seq"], "left")
+    steps = _steps(file_schemas(type_alternatives(typed_lines(lines))))
+    j = steps.join(_renames(lines, steps), ["run_id", "file_seq"], "left")
+    pairs = F.coalesce("pairs", F.array().cast("array<struct<old:string,now:string>>"))
 
     def same(change: str) -> object:
         return lambda f: F.struct(F.lit(change).alias("change"), f.alias("field"), f.alias("new_field"))
 
     found = F.concat(
-        F.transform(F.coalesce("pairs", no_pairs), lambda p: F.struct(F.lit("renamed").alias("change"), p["old"].alias("field"), p["now"].alias("new_field"))),
-        F.transform(F.array_except("gone", F.coalesce("olds", none)), same("removed")),
-        F.transform(F.array_except("new", F.coalesce("news", none)), same("added")),
+        F.transform(pairs, lambda p: F.struct(F.lit("renamed").alias("change"), p["old"].alias("field"), p["now"].alias("new_field"))),
+        F.transform(F.array_except("gone", F.transform(pairs, lambda p: p["old"])), same("removed")),
+        F.transform(F.array_except("new", F.transform(pairs, lambda p: p["now"])), same("added")),
         F.transform(F.col("retyped"), same("retyped")),
     )
     return j.select("run_id", "file_seq", F.inline(found))
@@ -183,30 +203,59 @@ TARGET = {
 MAX_NAMES = 100_000  # distinct (old, new) field names; beyond it the input is no set of label files
 
 
-def alias_roots(changes: DataFrame, target: dict[str, str] = TARGET) -> dict[str, str]:
-    """Field name -> canonical name, over the distinct renamed names of the corpus.
+def lineages(lines: DataFrame) -> DataFrame:
+    """(run_id, file_seq, field, lineage): what each field of a file was called where it first appeared in its run.
 
-    The distinct names are a vocabulary of the writers' code, not of the data;
-    their number is checked against MAX_NAMES.
+    One row per file travels, in the order of its run; a run is read as a stream whose
+    state is the fields of one file.
+    """
+    schemas = file_schemas(type_alternatives(typed_lines(lines)))
+    files = schemas.join(_renames(lines, _steps(schemas)), ["run_id", "file_seq"], "left")
+    pairs = F.coalesce("pairs", F.array().cast("array<struct<old:string,now:string>>"))
+    files = files.select("run_id", "file_seq", F.map_keys("schema").alias("fields"), F.transform(pairs, lambda p: p["old"]).alias("olds"), F.transform(pairs, lambda p: p["now"]).alias("news"))
+    kinds = dict(files.dtypes)
+
+    def op(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, state = None, {}
+        for b in batches:
+            out = []
+            for r, seq, fields, olds, news in zip(b["run_id"], b["file_seq"], b["fields"], b["olds"], b["news"]):
+                if r != run:
+                    run, state = r, {}
+                now = {}
+                for f in fields:
+                    known = [state[f]] if f in state else []
+                    known += [state[o] for o, n in zip(olds, news) if n == f and o in state]
+                    now[f] = min(known, default=f"{seq:09d}:{f}")
+                state = now
+                out += [(r, seq, f, x) for f, x in now.items()]
+            yield pd.DataFrame(out, columns=["run_id", "file_seq", "field", "lineage"])
+
+    ordered = files.repartition("run_id").sortWithinPartitions("run_id", "file_seq")
+    return ordered.mapInPandas(op, f"run_id {kinds['run_id']}, file_seq {kinds['file_seq']}, field string, lineage string")
+
+
+def column_names(lines: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
+    """(run_id, file_seq, names map<column, field>): under which name a file holds a column of ``target``, where not its own.
+
+    A field is the column whose name its lineage bears in some file of the run. A
+    lineage without such a name is the column that its names were most often renamed
+    to or from in other runs, if any. A file that has the column's own name keeps to
+    it; of several fields for a column the first by name counts.
     """
-    pairs = changes.where("change = 'renamed'").select("field", "new_field").distinct().limit(MAX_NAMES + 1).collect()
-    if len(pairs) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} distinct renames")
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in sorted((p[0], p[1]) for p in pairs):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb, key=lambda r: (r not in target, r))] = min(ra, rb, key=lambda r: (r not in target, r))
-    out = {x: root(x) for x in parent}
-    if "reasoning" in target and out.get("reason", "reason") == "reason":
-        out["reason"] = "reasoning"
-    return {k: v for k, v in out.items() if k != v}
+    part = cut_lineage(lineages(lines))
+    inside = F.col("field").isin(*target)
+    # neighbours in the chain of a lineage vote for each other
+    chain = part.groupBy("run_id", "lineage").agg(F.collect_set("field").alias("names"))
+    votes = chain.select(F.explode(F.filter("names", lambda x: ~x.isin(*target))).alias("name"), F.explode(F.filter("names", lambda x: x.isin(*target))).alias("column"))
+    votes = votes.groupBy("name", "column").agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("column", F.struct("n", "column")).alias("voted"), F.max("n").alias("n"))
+    n = votes.limit(MAX_NAMES + 1).count()
+    if n > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} renamed names")
+    best = part.join(F.broadcast(votes.withColumnRenamed("name", "field")), "field", "left").groupBy("run_id", "lineage")
+    best = best.agg(F.coalesce(F.min(F.when(inside, F.col("field"))), F.max(F.struct("n", "voted"))["voted"]).alias("column")).where("column IS NOT NULL")
+    named = part.where(~inside).join(best, ["run_id", "lineage"]).groupBy("run_id", "file_seq", "column").agg(F.min("field").alias("field"))
+    return named.groupBy("run_id", "file_seq").agg(F.map_from_entries(F.collect_list(F.struct("column", "field"))).alias("names"))
 
 
 def _canonical(x: Column, kind: str) -> Column:
@@ -219,31 +268,37 @@ def _canonical(x: Column, kind: str) -> Column:
     return F.when(tag != "null", val.try_cast(kind))
 
 
-def unify(lines: DataFrame, changes: DataFrame | None = None, target: dict[str, str] = TARGET) -> DataFrame:
+def _branch(name: str, x: Column) -> Column:
+    """A value of another type than its column's, in the branch of its own type."""
+    tag, val = x["tag"], x["val"]
+    own = {"string": val, "number": val.try_cast("decimal(38,12)"), "boolean": val.try_cast("boolean"), "array": F.from_json(val, "array<string>"), "object": val}
+    return F.struct(F.lit(name).alias("column"), tag.alias("tag"), *[F.when(tag == k, v).alias(k) for k, v in own.items()], val.alias("written"))
+
+
+def unify(lines: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
     """All parsable lines in one table with the columns of ``target``.
 
-    Values of another type than the column's are converted (a list joined, a
-    number parsed, an object kept as JSON); ``branches`` keeps them as
-    ``map<column, struct<tag, val>>``, ``rest`` the fields outside the table.
+    Values of another type than the column's are converted (a list joined, a number
+    parsed, an object kept as JSON); ``branches`` keeps them in the branch of their
+    type, and as written, ``rest`` the fields outside the table.
     """
-    tagged = tagged_lines(lines)
-    alias = alias_roots(drift_changes(lines) if changes is None else changes, target)
-    sources = {c: [c, *sorted(k for k, v in alias.items() if v == c)] for c in target}
-    value = {c: F.coalesce(*[F.when(F.element_at("fields", F.lit(s))["tag"] != "null", F.element_at("fields", F.lit(s))) for s in names]) for c, names in sources.items()}
+    d = tagged_lines(lines).join(column_names(lines, target), ["run_id", "file_seq"], "left")
+    # the file's own name first, else the name it has for the column
+    found = {c: F.coalesce(F.element_at("fields", F.lit(c)), F.element_at("fields", F.element_at("names", F.lit(c)))) for c in target}
+    d = d.withColumn("_at", F.struct(*[v.alias(c) for c, v in found.items()]))
+    value = {c: F.when(F.col("_at")[c]["tag"] != "null", F.col("_at")[c]) for c in target}
     own = {"string": "string", "double": "number", "boolean": "boolean", "array<string>": "array"}
-    cols = [_canonical(value[c], kind).alias(c) for c, kind in target.items()]
-    odd = F.filter(
-        F.array(*[F.struct(F.lit(c).alias("key"), value[c].alias("value")) for c in target]),
-        lambda e: e["value"].isNotNull() & (e["value"]["tag"] != F.element_at(F.create_map(*[F.lit(y) for c, k in target.items() for y in (c, own[k])]), e["key"])),
-    )
-    used = F.array(*[F.lit(n) for names in sources.values() for n in names], F.lit("text"))
-    return tagged.select(
+    odd = F.array_compact(F.array(*[F.when(value[c]["tag"] != own[k], _branch(c, value[c])) for c, k in target.items()]))
+    # a renamed field counts as used where the file lacks the column's own name
+    aliases = F.coalesce(F.map_values(F.map_filter("names", lambda c, _: ~F.array_contains(F.map_keys("fields"), c))), F.array().cast("array<string>"))
+    used = F.concat(aliases, F.array(*map(F.lit, target), F.lit("text")))
+    return d.select(
         "record_id",
         "run_id",
         "file_seq",
         "line_no",
         "text",
-        *cols,
-        F.map_from_entries(odd).alias("branches"),
+        *[_canonical(value[c], kind).alias(c) for c, kind in target.items()],
+        odd.alias("branches"),
         F.map_filter("fields", lambda k, _: ~F.array_contains(used, k)).alias("rest"),
     )

@@ -90,7 +90,41 @@ def test_unify_follows_renames_and_converts(spark):
     assert [r["model_used"] for r in d] == ["m0", "m1", "m2", "m3"] * 2
     assert [r["confidence"] for r in d] == [0.5] * 4 + [0.25] * 4
     assert all(r["spans"] == ["a"] for r in d)
-    assert d[4]["needs_review"] is True and set(d[4]["branches"]) == {"confidence", "spans", "needs_review"}
+    assert d[4]["needs_review"] is True and {b["column"]: b["string"] for b in d[4]["branches"]} == {"confidence": "0.25", "spans": "a", "needs_review": "true"}
+
+
+def test_numbers_are_exact(spark):
+    a, b = posts(4, uid=lambda i: 9007199254740992 + 2 * i), posts(4, oid=lambda i: 9007199254740993 + 2 * i)
+    assert changes(spark, {(1, 1): a, (1, 2): b}) == [(2, "added", "oid", "oid"), (2, "removed", "uid", "uid")]
+    assert changes(spark, {(1, 1): posts(3, a=0.1), (1, 2): ['{"text": "t0", "b": 0.10}', '{"text": "t1", "b": 0.100}', '{"text": "t2", "b": 0.1}']}) == [(2, "renamed", "a", "b")]
+    u = drift.unify(lines(spark, {(1, 1): posts(1, uid=9007199254740993, hash=9007199254740993)})).first()
+    assert u["rest"]["uid"]["val"] == "9007199254740993" and u["hash"] == "9007199254740993" and int(u["branches"][0]["number"]) == 9007199254740993
+
+
+def test_branches_are_typed(spark):
+    u = drift.unify(lines(spark, {(1, 1): posts(1, hash=["a", "b"], domain={"k": 1}, mechanism=True, spans=2.50)})).first()
+    b = {x["column"]: x for x in u["branches"]}
+    assert b["hash"]["array"] == ["a", "b"] and b["mechanism"]["boolean"] is True and float(b["spans"]["number"]) == 2.5 and b["domain"]["object"] == '{"k":1}'
+    assert (u["hash"], u["mechanism"], u["spans"]) == ("a, b", "true", ["2.5"])
+
+
+def test_renames_of_a_run_stay_in_it(spark):
+    m = lambda i: f"m{i}"
+    renamed = {(1, 1): posts(4, reason=m), (1, 2): posts(4, reasoning=m)}
+    both = {(2, 1): posts(4, reason=m, reasoning=lambda i: f"z{i}"), (2, 2): posts(4, reason=m, reasoning=lambda i: f"z{i}")}
+    d = {(r["run_id"], r["file_seq"], r["line_no"]): r for r in drift.unify(lines(spark, {**renamed, **both})).collect()}
+    assert d[1, 1, 0]["reasoning"] == d[1, 2, 0]["reasoning"] == "m0" and not d[1, 1, 0]["rest"]
+    assert d[2, 1, 0]["reasoning"] == "z0" and d[2, 1, 0]["rest"]["reason"]["val"] == "m0"
+    # without any change there is no evidence; with it in another run there is
+    alone = {(3, 1): posts(4, reason=m)}
+    assert drift.unify(lines(spark, alone)).first()["reasoning"] is None
+    assert [r["reasoning"] for r in drift.unify(lines(spark, {**renamed, **alone})).where("run_id = 3").orderBy("line_no").collect()] == ["m0", "m1", "m2", "m3"]
+
+
+def test_chains_of_renames(spark):
+    m = lambda i: f"m{i}"
+    d = drift.unify(lines(spark, {(1, 1): posts(4, a=m), (1, 2): posts(4, b=m), (1, 3): posts(4, model_used=m), (1, 4): posts(4, c=m)}))
+    assert [r["model_used"] for r in d.orderBy("file_seq", "line_no").collect()] == ["m0", "m1", "m2", "m3"] * 4
 
 
 @pytest.mark.parametrize("n", [1, 10])
