@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -32,12 +32,22 @@ def normalised(text: str) -> str:
     return VARIATION.sub("", unicodedata.normalize("NFKC", text))
 
 
-@F.pandas_udf(StructType([StructField("norm", StringType()), StructField("folded", StringType()), StructField("probe", StringType())]))
+@F.pandas_udf(StructType([StructField("norm", StringType()), StructField("folded", StringType())]))
 def normalise_fold(s: pd.Series) -> pd.DataFrame:
-    """Normalised text, its case-folded form, and that form with dotless i as i for substring probes, in one trip to Python."""
-    norm = s.map(lambda t: t if t is None or t.isascii() else normalised(t), na_action="ignore")
-    folded = norm.map(str.casefold, na_action="ignore")
-    return pd.DataFrame({"norm": norm, "folded": folded, "probe": folded.map(lambda t: t.replace("ı", "i"), na_action="ignore")})
+    """Normalised text and its case-folded form, in one trip to Python."""
+    norm = s.map(normalised, na_action="ignore")
+    return pd.DataFrame({"norm": norm, "folded": norm.map(str.casefold, na_action="ignore")})
+
+
+def with_forms(posts: DataFrame, text: str = "text") -> DataFrame:
+    """Adds norm, folded and probe (folded with dotless i as i, for substrings); a null text counts as empty.
+
+    ASCII texts are their own norm and fold to lower case, so only the others are sent to Python.
+    """
+    t = F.coalesce(text, F.lit(""))
+    d = posts.withColumn("_text", t).withColumn("_far", F.when(~t.rlike(r"^[\x00-\x7F]*+$"), t)).withColumn("_t", normalise_fold("_far"))
+    d = d.withColumns({"norm": F.coalesce("_t.norm", "_text"), "folded": F.coalesce("_t.folded", F.lower("_text"))})
+    return d.withColumn("probe", F.replace("folded", F.lit("ı"), F.lit("i"))).drop("_text", "_far", "_t")
 
 
 def bounded(pattern: str) -> str:

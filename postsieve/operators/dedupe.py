@@ -45,7 +45,11 @@ def done_hashes(answers: DataFrame, legacy: bool = False) -> DataFrame:
 
 
 def pending(posts: DataFrame, answers: DataFrame, ordinal: str, legacy: bool = False) -> DataFrame:
-    """Posts (ordinal, text) still to be labelled: unanswered, and the first of each text."""
+    """Posts (ordinal, text) still to be labelled: unanswered, the first of each text, with ``n_copies``, its number of copies.
+
+    A labelling run may ask once per copy until one of them is answered.
+    """
     hashed = posts.withColumn("hash", content_hash(F.col("text")))
-    first = keep_first(hashed, F.col("hash"), ordinal)
+    whole = F.struct(*[F.col(c) for c in hashed.columns])
+    first = hashed.groupBy("hash").agg(F.min_by(whole, F.col(ordinal)).alias("_row"), F.count("*").alias("n_copies")).select("_row.*", "n_copies")
     return first.join(done_hashes(answers, legacy), "hash", "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
+from ..session import numbered
 
 
 @F.pandas_udf(T.StringType())
@@ -48,15 +49,22 @@ def extracted_posts(records: DataFrame, order: str = "line") -> DataFrame:
 
 
 def report_blocks(extracted: DataFrame, order: str = "line") -> DataFrame:
-    """(order, block): the printable block of each extracted post."""
+    """(post_no, block): the printable block of each extracted post, numbered from one; number 0 is the head with their count."""
     quoted = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
-    line = "Text: %s\nLabel: %s (confidence: %s)\nDomain: %s\nMechanism: %s\nSpans: %s\nDecoded: %s\nNeeds Review: %s\nReasoning: %s\n"
+    line = "--- Post %d ---\nText: %s\nLabel: %s (confidence: %s)\nDomain: %s\nMechanism: %s\nSpans: %s\nDecoded: %s\nNeeds Review: %s\nReasoning: %s\n"
     yes = F.when(F.col("needs_review"), "True").otherwise("False")
-    block = F.format_string(line, "text", "is_coded", F.col("confidence").cast("string"), "domain", "mechanism", quoted("spans"), quoted("decoded"), yes, "reasoning")
-    return extracted.select(order, block.alias("block"))
+    d = numbered(extracted, order, "post_no")
+    block = F.format_string(line, "post_no", "text", "is_coded", F.col("confidence").cast("string"), "domain", "mechanism", quoted("spans"), quoted("decoded"), yes, "reasoning")
+    head = extracted.agg(F.count("*").alias("n")).select(F.lit(0).cast("bigint").alias("post_no"), F.format_string("Found %d coded posts (yes/unsure):\n", "n").alias("block"))
+    return head.unionByName(d.select("post_no", block.alias("block")))
 
 
 def json_array(extracted: DataFrame, order: str = "line") -> DataFrame:
-    """One row with all extracted posts as a JSON array; for exports of a bounded size only."""
-    whole = F.array_sort(F.collect_list(F.struct(order, *[c for c in extracted.columns if c != order])))
-    return extracted.agg(F.to_json(whole, {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
+    """(row_no, value): the lines of one JSON array of all extracted posts; in the order of row_no they are one document."""
+    d = numbered(extracted, order, "row_no")
+    n = extracted.agg(F.count("*").alias("n"))
+    element = F.to_json(F.struct(*extracted.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    last = F.when(F.col("row_no") == F.col("n"), "").otherwise(",")
+    body = d.join(F.broadcast(n), F.lit(True)).select("row_no", F.concat(F.regexp_replace(element, r"(?m)^", "  "), last).alias("value"))
+    ends = n.select(F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("row_no"), F.lit("[").alias("value")), F.struct((F.col("n") + 1).alias("row_no"), F.lit("]").alias("value")))).alias("e")).select("e.*")
+    return body.unionByName(ends)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import bounded, has_word_char, longest_piece, normalise_fold, normalised, probes, term_pattern
+from ..functions.text import bounded, has_word_char, longest_piece, normalised, probes, term_pattern, with_forms
 
 INLINE_TERMS = 256
 MAX_TERMS = 50_000
@@ -108,7 +108,7 @@ def coded_hits_joined(posts: DataFrame, key: str, terms: list[Term]) -> DataFram
 def match_posts(posts: DataFrame, key: str, lexicon: DataFrame, inline: int = INLINE_TERMS) -> DataFrame:
     """Adds moderation_hits and coded_hits to posts (key, text, ...); a null text has no hits."""
     terms, made = load_lexicon(lexicon), ["norm", "folded", "probe"]
-    n = posts.withColumn("_t", normalise_fold(F.coalesce("text", F.lit("")))).withColumns({c: F.col(f"_t.{c}") for c in made}).drop("_t")
+    n = with_forms(posts)
     n = n.withColumn("moderation_hits", moderation_hits(F.col("norm"), F.col("probe")))
     if len(terms) <= inline:
         return n.withColumn("coded_hits", coded_hits_inline(terms, F.col("norm"), F.col("folded"), F.col("probe"))).drop(*made)
@@ -116,10 +116,22 @@ def match_posts(posts: DataFrame, key: str, lexicon: DataFrame, inline: int = IN
     return n.drop(*made).join(hits, key, "left").withColumn("coded_hits", F.coalesce("coded_hits", F.array().cast(f"array<{HIT}>")))
 
 
-def capped_hits(text: Column, lexicon: DataFrame, max_hits: int = 8) -> Column:
-    """Array of (token, meaning) of the first ``max_hits`` terms of a lexicon that occur as substrings, in its order; null meanings become ''."""
+def _capped_rows(lexicon: DataFrame) -> list:
     rows = lexicon.where("term <> ''").select("term_ord", "term", F.coalesce("meaning", F.lit("")).alias("meaning")).orderBy("term_ord").limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"a lexicon of more than {MAX_TERMS} entries")
-    hits = [F.when(text.contains(r["term"]), F.struct(F.lit(r["term"]).alias("token"), F.lit(r["meaning"]).alias("meaning"))) for r in rows]
-    return F.slice(F.array_compact(F.array(*hits)), 1, max_hits) if hits else F.array().cast("array<struct<token:string,meaning:string>>")
+    return rows
+
+
+def with_capped_hits(posts: DataFrame, lexicon: DataFrame, max_hits: int = 8, inline: int = INLINE_TERMS) -> DataFrame:
+    """Adds ``hits`` to posts (text, ...): array of (token, meaning) of the first ``max_hits`` terms of a lexicon that occur as substrings, in its order; null meanings become ''."""
+    rows = _capped_rows(lexicon)
+    none = F.array().cast("array<struct<token:string,meaning:string>>")
+    if len(rows) <= inline:
+        found = [F.when(F.col("text").contains(r["term"]), F.struct(F.lit(r["term"]).alias("token"), F.lit(r["meaning"]).alias("meaning"))) for r in rows]
+        return posts.withColumn("hits", F.slice(F.array_compact(F.array(*found)), 1, max_hits) if found else none)
+    d = F.broadcast(posts.sparkSession.createDataFrame([(i, r["term"], r["meaning"]) for i, r in enumerate(rows)], "k int, token string, meaning string"))
+    texts = posts.where("text IS NOT NULL").select("text", F.unhex(F.md5("text")).alias("_key")).dropDuplicates(["_key"])
+    j = texts.join(d, texts["text"].contains(d["token"])).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("k", "token", "meaning"))).alias("h"))
+    top = j.select("_key", F.transform(F.slice("h", 1, max_hits), lambda x: F.struct(x["token"].alias("token"), x["meaning"].alias("meaning"))).alias("hits"))
+    return posts.withColumn("_key", F.unhex(F.md5("text"))).join(top, "_key", "left").withColumn("hits", F.coalesce("hits", none)).drop("_key")

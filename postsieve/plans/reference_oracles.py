@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import rules
+from ..functions.language import FUNCTION_WORDS
 
 _W = r"\p{L}\p{N}_"
 _S = r"[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]"
@@ -96,16 +97,31 @@ _EXTRACT = """e AS (
 )"""
 _QUOTED = "'[' || coalesce(array_to_string(list_transform({0}, lambda x: '''' || x || ''''), ', '), '') || ']'"
 
+_LANGS = ", ".join(f"('{k}', '{w}')" for k, ws in FUNCTION_WORDS.items() for w in ws.split())
+_CAPPED = """WITH h AS (
+  SELECT row_id, term, coalesce(meaning, '') AS meaning, term_ord, row_number() OVER (PARTITION BY row_id ORDER BY term_ord) AS k
+  FROM combined JOIN lexicon ON contains(text, term) WHERE term <> ''
+) SELECT row_id, string_agg(term || '=' || meaning, ';' ORDER BY term_ord) AS hits FROM h WHERE k <= 2 GROUP BY row_id"""
+_BLOCKS = f"""blocks AS (
+  SELECT 0 AS post_no, 'Found ' || count(*) || ' coded posts (yes/unsure):' || chr(10) AS block FROM e
+  UNION ALL SELECT n, '--- Post ' || n || ' ---' || chr(10) || 'Text: ' || text || chr(10) || 'Label: ' || is_coded || ' (confidence: ' || confidence || ')' || chr(10) || 'Domain: ' || domain || chr(10)
+  || 'Mechanism: ' || mechanism || chr(10) || 'Spans: ' || {_QUOTED.format('spans')} || chr(10) || 'Decoded: ' || {_QUOTED.format('decoded')} || chr(10)
+  || 'Needs Review: ' || CASE WHEN needs_review THEN 'True' ELSE 'False' END || chr(10) || 'Reasoning: ' || reasoning || chr(10) FROM (SELECT *, row_number() OVER (ORDER BY line) AS n FROM e)
+)"""
+# what the stub model answers, by the length of a post
+_STUB = """n AS (SELECT text, length(text) AS n FROM POSTS),
+a AS (
+  SELECT text, n, n % 97 = 0 AS bad, n % 89 = 0 AS empty, CASE n % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unsure' END AS answer,
+    CASE WHEN n % 11 = 0 THEN 'text 400' ELSE 'structured 400' END AS reason FROM n
+)"""
+
 ORACLES: dict[str, str] = {
     "rule_labels": f"{_LABELS} SELECT * FROM labelled",
     "rule_label_counts": f"{_LABELS} SELECT count(*) FILTER (label = 'clean') AS clean, count(*) FILTER (label = 'questionable') AS questionable, count(*) FILTER (label = 'moderated') AS moderated FROM labelled",
     "moderation_hits_by_category": f"WITH {_HITS} SELECT category, token, count(*) AS n FROM mh GROUP BY ALL",
     "lexicon_hits": f"WITH {_HITS} SELECT row_id, category, token, meaning FROM ch",
     "lexicon_hits_joined": f"WITH {_HITS} SELECT row_id, category, token, meaning FROM ch",
-    "lexicon_hits_capped": """WITH h AS (
-  SELECT row_id, term, coalesce(meaning, '') AS meaning, term_ord, row_number() OVER (PARTITION BY row_id ORDER BY term_ord) AS k
-  FROM combined JOIN lexicon ON contains(text, term) WHERE term <> ''
-) SELECT row_id, string_agg(term || '=' || meaning, ';' ORDER BY term_ord) AS hits FROM h WHERE k <= 2 GROUP BY row_id""",
+    "lexicon_hits_capped": _CAPPED,
     "meaning_categories": f"SELECT term_ord, term, {_CATEGORY} AS category FROM lexicon",
     "garbage_filter": f"WITH {_GARBAGE} SELECT row_id, rule FROM r WHERE rule IS NOT NULL",
     "garbage_counts": f"WITH {_GARBAGE} SELECT count(*) AS n_input, count(*) FILTER (rule IS NULL) AS n_kept FROM r",
@@ -144,10 +160,24 @@ SELECT post_id, hash FROM p WHERE k = 1 AND hash NOT IN (SELECT hash FROM llm_la
   count(*) FILTER (NOT bad AND bucket = 'review') AS review, count(*) FILTER (bad) AS errors FROM b""",
     "csv_projection": f"SELECT {_CSV} FROM llm_labeled_posts",
     "extracted_posts": f"WITH {_EXTRACT} SELECT * REPLACE (coalesce(array_to_string(spans, ', '), '') AS spans, coalesce(array_to_string(decoded, ', '), '') AS decoded) FROM e",
-    "extracted_report": f"""WITH {_EXTRACT} SELECT line, 'Text: ' || text || chr(10) || 'Label: ' || is_coded || ' (confidence: ' || confidence || ')' || chr(10) || 'Domain: ' || domain || chr(10)
-  || 'Mechanism: ' || mechanism || chr(10) || 'Spans: ' || {_QUOTED.format('spans')} || chr(10) || 'Decoded: ' || {_QUOTED.format('decoded')} || chr(10)
-  || 'Needs Review: ' || CASE WHEN needs_review THEN 'True' ELSE 'False' END || chr(10) || 'Reasoning: ' || reasoning || chr(10) AS block FROM e""",
+    "extracted_report": f"WITH {_EXTRACT}, {_BLOCKS} SELECT * FROM blocks",
     "line_parsing": "SELECT run_id, count(*) FILTER (json_valid(raw)) AS n_parsed, count(*) FILTER (NOT coalesce(json_valid(raw), false)) AS n_bad FROM label_lines GROUP BY run_id",
     "record_keys": "SELECT DISTINCT unnest(json_keys(CASE WHEN json_valid(raw) THEN raw END)) AS key FROM label_lines",
+    "lexicon_hits_capped_joined": _CAPPED,
+    "english_posts": rf"""WITH l(lang, word) AS (VALUES {_LANGS}), t AS (SELECT row_id, replace(text, chr(10), ' ') AS text, lower(replace(text, chr(10), ' ')) AS low FROM combined WHERE text <> ''),
+w AS (SELECT row_id, unnest(regexp_extract_all(low, '\p{{L}}+')) AS word FROM t), v AS (SELECT row_id, lang, count(*) AS n FROM w JOIN l USING (word) GROUP BY ALL),
+r AS (SELECT row_id, lang, n = max(n) OVER (PARTITION BY row_id) AS best FROM v), b AS (SELECT row_id FROM r WHERE best GROUP BY row_id HAVING count(*) = 1 AND min(lang) = 'en')
+SELECT text FROM t JOIN b USING (row_id)""",
+    "model_labels": f"""WITH {_GARBAGE}, kept AS (SELECT text FROM combined JOIN r USING (row_id) WHERE rule IS NULL), {_STUB.replace('POSTS', 'kept')}
+SELECT CASE WHEN NOT bad THEN sha1(text) END AS hash, text, CASE WHEN bad THEN 'error' ELSE answer END AS is_coded, CASE WHEN bad THEN NULL WHEN answer = 'no' THEN 'none' ELSE 'hate' END AS domain,
+  CASE WHEN bad THEN NULL WHEN answer = 'no' THEN 'other' ELSE 'masking' END AS mechanism, CASE WHEN bad THEN 0.0 ELSE (n % 10) / 10.0 END::DOUBLE AS confidence, CASE WHEN NOT bad THEN '' END AS spans,
+  CASE WHEN bad THEN NULL WHEN answer = 'no' THEN '' ELSE 'x' END AS decoded, CASE WHEN bad THEN 'LLM labeling failed: no JSON object. Raw output: ' || chr(39) || 'broken {{' || chr(39) ELSE reason END AS reasoning,
+  'primary' AS model_used, CASE WHEN bad THEN NULL WHEN empty THEN 'second' ELSE 'primary' END AS model_actual, bad OR answer = 'unsure' OR n % 10 < 6.5 AS needs_review,
+  CASE WHEN bad THEN NULL WHEN answer = 'unsure' OR n % 10 < 6.5 THEN 'review' ELSE answer END AS bucket FROM a""",
+    "model_labels_per_copy": f"""WITH p AS (SELECT text, count(*) AS copies FROM labeled_posts WHERE text <> '' GROUP BY text), {_STUB.replace('POSTS', 'p')}
+SELECT CASE WHEN bad THEN 'error' ELSE answer END AS is_coded, sum(CASE WHEN bad THEN copies ELSE 1 END)::BIGINT AS n_records, count(*) AS n_texts FROM a JOIN p USING (text) GROUP BY 1""",
+    "model_prompts": f"""SELECT row_id, text AS post, '{",".join(rules.DOMAINS)}' AS domains, least(8, (SELECT count(*) FROM lexicon WHERE term <> '' AND contains(text, term)))::INTEGER AS n_hits, true AS instructed FROM combined""",
+    "sample_size": "SELECT least(20, count(*)) AS n_rows, least(20, count(*)) AS n_distinct FROM hatebase_cleaned WHERE class = 'unsafe'",
+    "screened_top": f"WITH {_GARBAGE} SELECT row_id, text FROM combined JOIN r USING (row_id) WHERE rule IS NULL ORDER BY row_id LIMIT 50",
     "nested_events": "SELECT replace(text, chr(10), ' ') AS text FROM combined WHERE lower(trim(data)) = 'bluesky' AND text <> ''",
 }

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, normalise_fold
+from ..functions.language import languages_of
+from ..functions.text import content_hash, with_forms
 from ..operators import dedupe, export, inference, labels, matching, profile, screening
 from ..session import spread, table, where_computed
 
@@ -41,7 +42,7 @@ def rule_label_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def moderation_hits_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    n = spread(_posts(spark, sf)).select(normalise_fold(F.coalesce("text", F.lit(""))).alias("n")).select("n.norm", "n.probe")
+    n = with_forms(spread(_posts(spark, sf)))
     h = n.select(F.explode(matching.moderation_hits(F.col("norm"), F.col("probe"))).alias("h"))
     return h.groupBy(F.col("h.category").alias("category"), F.col("h.token").alias("token")).agg(F.count("*").alias("n"))
 
@@ -57,12 +58,21 @@ def lexicon_hits_joined(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("row_id", F.explode("coded_hits").alias("h")).select("row_id", "h.category", "h.token", "h.meaning")
 
 
-def lexicon_hits_capped(spark: SparkSession, sf: str) -> DataFrame:
-    hits = matching.capped_hits(F.col("text"), table(spark, sf, "lexicon"), 2)
-    d = _posts(spark, sf).select("row_id", F.array_join(F.transform(hits, lambda h: F.concat_ws("=", h["token"], h["meaning"])), ";").alias("hits"))
+def _capped(spark: SparkSession, sf: str, **how) -> DataFrame:
+    d = matching.with_capped_hits(_posts(spark, sf), table(spark, sf, "lexicon"), 2, **how)
+    d = d.select("row_id", F.array_join(F.transform("hits", lambda h: F.concat_ws("=", h["token"], h["meaning"])), ";").alias("hits"))
     return where_computed(d, F.col("hits") != "")
 
 
+def lexicon_hits_capped(spark: SparkSession, sf: str) -> DataFrame:
+    return _capped(spark, sf)
+
+
+def lexicon_hits_capped_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the join that larger lexicons take."""
+    return _capped(spark, sf, inline=0)
+
+
 def meaning_categories(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lexicon").select("term_ord", "term", matching.meaning_category(F.col("meaning")).alias("category"))
 
@@ -209,28 +219,69 @@ def nested_events(spark: SparkSession, sf: str) -> DataFrame:
     return posts_of(table(spark, sf, "combined").select(F.to_json(F.struct(F.struct(record.alias("record")).alias("commit"))).alias("value")))
 
 
-def stub_labeler(q: str, model: str, mode: str) -> str:
-    """A deterministic model for tests and the bench; fails on every 11th prompt length in structured mode."""
+def english_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested events in English by function words, as the stream keeps them."""
+    from ..streaming.collector import POST_TYPE, posts_of
+
+    record = F.struct(F.lit(POST_TYPE).alias("$type"), F.col("text").alias("text"))
+    return posts_of(table(spark, sf, "combined").select(F.to_json(F.struct(F.struct(record.alias("record")).alias("commit"))).alias("value")), languages_of)
+
+
+def stub_labeler(q: str, model: str, mode: str, **arguments) -> str:
+    """A deterministic model for tests and the bench; fails on every 11th length of a post in structured mode, for good on every 97th."""
     n = len(json.loads(q)["post"])
+    if n % 89 == 0 and model != "second":
+        return ""
     if mode == "structured" and n % 11 == 0:
         return "no answer"
     if n % 97 == 0:
         return "broken {"
-    return json.dumps({"is_coded": ("yes", "no", "unsure")[n % 3], "domain": "other", "mechanism": "other", "confidence": (n % 10) / 10, "spans": [], "decoded": [], "reason": "stub"})
+    a = {"is_coded": ("yes", "no", "unsure")[n % 3], "domain": "hate", "mechanism": "masking", "confidence": (n % 10) / 10, "spans": [], "decoded": ["x"], "reason": f"{mode} {arguments['max_output_tokens']}"}
+    return f"Well: {json.dumps(a)} that is it"
+
+
+STUB = inference.Options(max_retries=2, first_delay=0.0, jitter=0.0, second_model="second")
 
 
 def model_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Model labelling of the screened posts with the stub model."""
     posts = screening.screen(_posts(spark, sf))
-    return inference.label(posts, stub_labeler, table(spark, sf, "lexicon"), inference.Options(max_retries=2, first_delay=0.0, jitter=0.0))
+    d = inference.label(posts, stub_labeler, table(spark, sf, "lexicon"), STUB)
+    return d.withColumns({c: F.array_join(c, ",") for c in ("spans", "decoded")})
+
+
+def model_labels_per_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of a labelling run by answer: a text is asked about once per copy until one is answered."""
+    posts = table(spark, sf, "labeled_posts").select("post_id", "text").where("text <> ''")
+    d = inference.label(dedupe.pending(posts, _records(spark, sf).limit(0), "post_id"), stub_labeler, table(spark, sf, "lexicon"), STUB)
+    return d.groupBy("is_coded").agg(F.count("*").alias("n_records"), F.countDistinct("text").alias("n_texts"))
+
+
+def model_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a prompt asks about each post, and what it allows."""
+    p = matching.with_capped_hits(_posts(spark, sf), table(spark, sf, "lexicon"))
+    q = F.from_json(inference.prompt(F.col("text"), F.col("hits")), "struct<instructions:string,allowed:struct<is_coded:array<string>,domain:array<string>,mechanism:array<string>>,post:string,dictionary_hits:array<struct<token:string,meaning:string>>>")
+    p = p.select("row_id", q.alias("q"))
+    return p.select("row_id", F.col("q.post").alias("post"), F.array_join("q.allowed.domain", ",").alias("domains"), F.size("q.dictionary_hits").alias("n_hits"), (F.length("q.instructions") > 200).alias("instructed"))
+
+
+def sample_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a random sample, and those of them that are in the table: the feature is the limit."""
+    t = _tweets(spark, sf).where("class = 'unsafe'").select("tweet_id")
+    return profile.sample(t, 20).join(t, "tweet_id").agg(F.count("*").alias("n_rows"), F.countDistinct("tweet_id").alias("n_distinct"))
+
+
+def screened_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The first posts that stay after screening."""
+    return profile.top(screening.screen(_posts(spark, sf)), "row_id", 50).select("row_id", "text")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_labels, rule_label_counts, moderation_hits_by_category, lexicon_hits, lexicon_hits_joined, lexicon_hits_capped, meaning_categories, garbage_filter, garbage_counts,
+        rule_labels, rule_label_counts, moderation_hits_by_category, lexicon_hits, lexicon_hits_joined, lexicon_hits_capped, lexicon_hits_capped_joined, meaning_categories, garbage_filter, garbage_counts,
         dedupe_keep_first, duplicate_groups, duplicate_count, null_profile, table_shape, class_distribution, source_class_crosstab, source_class_pivot, source_class_long,
         source_class_joined, before_after_histogram, keyword_search, keyword_search_top, first_rows, random_examples, distinct_sources, tagged_union, resume_pending,
-        content_hashes, coded_only, review_buckets, run_counters, csv_projection, extracted_posts, extracted_report, line_parsing, record_keys, nested_events, model_labels,
+        content_hashes, coded_only, review_buckets, run_counters, csv_projection, extracted_posts, extracted_report, line_parsing, record_keys, nested_events, english_posts, model_labels, model_labels_per_copy, model_prompts, sample_size, screened_top,
     )
 }

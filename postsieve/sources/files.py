@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -18,10 +18,16 @@ def text_lines(spark: SparkSession, path: str, tolerant: bool = False) -> DataFr
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) with the physical line number over the files in name order, from one."""
-    rows = spark.read.text(path).select("value", F.input_file_name().alias("f"), F.col("_metadata.file_block_start").alias("b"))
-    # zipWithIndex keeps the order of files and blocks and needs no single task
-    return rows.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0])).toDF("line bigint, value string")
+    """(line, value) with the physical line number over the files in name order, from one.
+
+    Lines of a block are read in a row, so their distance from its first one is known;
+    the counts of the blocks before it, one row per block, give its offset.
+    """
+    d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("_at"))
+    blocks = d.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("f", "b", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return d.join(blocks, ["f", "b"]).select((F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), "value")
 
 
 def lexicon_with_lists(spark: SparkSession, path: str) -> DataFrame:
@@ -34,27 +40,27 @@ def lexicon_with_lists(spark: SparkSession, path: str) -> DataFrame:
 
 def lexicon_flat(spark: SparkSession, path: str) -> DataFrame:
     """(term_ord, term, meaning) of a JSON object {term: meaning}; null becomes '', empty terms are dropped. A missing or broken file gives no rows."""
-    empty = spark.createDataFrame([], "term_ord int, term string, meaning string")
     try:
         whole = spark.read.text(path, wholetext=True)
-        return (
-            whole.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("term_ord", "e"))
-            .select("term_ord", F.col("e.key").alias("term"), F.coalesce("e.value", F.lit("")).alias("meaning"))
-            .where("term <> ''")
-        )
+        terms = whole.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("term_ord", "e"))
+        terms = terms.select("term_ord", F.col("e.key").alias("term"), F.coalesce("e.value", F.lit("")).alias("meaning")).where("term <> ''")
+        terms.limit(1).collect()  # a file that cannot be read fails here
+        return terms
     except Exception:  # noqa: BLE001 - the lexicon is optional
-        return empty
+        return spark.createDataFrame([], "term_ord int, term string, meaning string")
 
 
 def label_records(spark: SparkSession, path: str, strict: bool = False, schema: str = LABEL_RECORD) -> DataFrame:
     """Label records of JSON lines. Strict fails on a bad line; else bad lines are kept apart in ``_corrupt_record``."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    d = spark.read.text(path).where(F.trim("value") != "")
+    is_object = F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").isNotNull()
+    return d.select(F.from_json("value", schema).alias("r"), F.when(~is_object, F.col("value")).alias("_corrupt_record")).select("r.*", "_corrupt_record")
 
 
 def good_and_bad(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parsed records, and the text of the lines that were none."""
+    """Parsed records, and the text of the lines that were no JSON object. A record with a field of another type is a record, the field null."""
     bad = F.col("_corrupt_record").isNotNull()
     return records.where(~bad).drop("_corrupt_record"), records.where(bad).select("_corrupt_record")
 

@@ -25,8 +25,15 @@ def csv_records(records: DataFrame, path: str, mode: str = "overwrite") -> None:
     ).csv(path)
 
 
-def report(blocks: DataFrame, path: str, order: str = "line", mode: str = "overwrite") -> None:
-    blocks.orderBy(order).select("block").write.mode(mode).text(path)
+def report(blocks: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Text files which in name order are the report of ``export.report_blocks``."""
+    blocks.orderBy("post_no").select("block").write.mode(mode).text(path)
+
+
+def json_array(lines: DataFrame, path: str, mode: str = "overwrite", one_file: bool = False) -> None:
+    """Text files which in name order are the JSON array of ``export.json_array``; one file for exports of a bounded size only."""
+    d = lines.repartitionByRange(1, "row_no").sortWithinPartitions("row_no") if one_file else lines.orderBy("row_no")
+    d.select("value").write.mode(mode).text(path)
 
 
 def parquet(rows: DataFrame, path: str, mode: str = "overwrite") -> None:

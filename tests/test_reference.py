@@ -63,10 +63,11 @@ def test_coded_terms(spark, lexicon, inline):
     assert [[h["token"] for h in x["coded_hits"]] for x in r] == WANT_TOKENS
 
 
-def test_capped_hits(spark, lexicon):
-    d = spark.createDataFrame([("abc leaf unalive blep",), ("none",)], "text string")
-    got = d.select(matching.capped_hits(F.col("text"), lexicon, 2).alias("h")).collect()
-    assert [h["token"] for h in got[0]["h"]] == ["unalive", "leaf"] and got[1]["h"] == []
+@pytest.mark.parametrize("inline", [0, 256])
+def test_capped_hits(spark, lexicon, inline):
+    d = spark.createDataFrame([(1, "abc leaf unalive blep"), (2, "none"), (3, None), (4, "abc leaf unalive blep")], "id int, text string")
+    got = {r["id"]: [h["token"] for h in r["hits"]] for r in matching.with_capped_hits(d, lexicon, 2, inline).collect()}
+    assert got == {1: ["unalive", "leaf"], 2: [], 3: [], 4: ["unalive", "leaf"]}
 
 
 GARBAGE = {
@@ -131,16 +132,21 @@ def test_inference_paths(spark, lexicon):
     good = json.dumps({"is_coded": "yes", "domain": "hate", "mechanism": "other", "confidence": 1, "reason": "r", "dictionary_hits": []})
     calls = []
 
-    def labeler(q, model, mode):
+    def labeler(q, model, mode, **arguments):
         calls.append((model, mode))
         return "" if model == "primary" else f"text {good} tail"
 
     a, who = inference.ask_in_turn(labeler, "q", o, random.Random(1))
     assert who == "backup" and a["is_coded"] == "yes" and calls[:4] == [("primary", "structured"), ("primary", "text")] * 2
     with pytest.raises(ValueError, match="invalid"):
-        inference.ask_in_turn(lambda *x: good.replace("hate", "nonsense"), "q", o, random.Random(1))
+        inference.ask_in_turn(lambda *x, **y: good.replace("hate", "nonsense"), "q", o, random.Random(1))
+    with pytest.raises(ValueError, match="Raw output: ''"):
+        inference.parse_answer(None)
     d = spark.createDataFrame([("x" * n,) for n in (11, 97, 1067, 3)], "text string")
+    asked = spark.sparkContext.accumulator(0)
     r = {x["text"]: x for x in inference.label(d, stub_labeler, lexicon, inference.Options(max_retries=1)).collect()}
+    many = spark.range(120, numPartitions=1).selectExpr("concat('p', id) AS text")
+    assert inference.label(many, stub_labeler, lexicon, inference.Options(per_second=5000), progress=asked).count() == 120 and asked.value == 100
     assert r["x" * 97]["is_coded"] == "error" and r["x" * 97]["needs_review"] and r["x" * 97]["bucket"] is None and r["x" * 97]["hash"] is None
     assert r["x" * 11]["bucket"] == "review" and r["xxx"]["bucket"] == "review"
 
@@ -178,7 +184,63 @@ def test_files(spark, tmp_path):
     assert good.count() == 1 and bad.count() == 1
     with pytest.raises(Exception):
         files.label_records(spark, str(tmp_path / "r.jsonl"), strict=True).collect()
-    assert [(r["line"], r["value"]) for r in files.numbered_lines(spark, str(tmp_path / "r.jsonl")).collect()][2] == (3, '{"text": ')
+    assert sorted((r["line"], r["value"]) for r in files.numbered_lines(spark, str(tmp_path / "r.jsonl")).collect())[2] == (3, '{"text": ')
+
+
+def test_arguments_of_model_families():
+    o = inference.Options(effort="high")
+    assert o.arguments("GPT-5-mini") == {"max_output_tokens": 400, "reasoning": {"effort": "high"}, "text": {"verbosity": "low"}}
+    assert o.arguments("other") == {"max_output_tokens": 400, "temperature": 0.2}
+
+
+def test_a_text_is_asked_about_once_per_copy(spark, lexicon):
+    posts = spark.createDataFrame([(i, "same post") for i in range(5)], "id int, text string").coalesce(1)
+    todo = dedupe.pending(posts, spark.createDataFrame([], "hash string, is_coded string"), "id")
+    assert [(r["id"], r["n_copies"]) for r in todo.collect()] == [(0, 5)]
+    got = inference.label(todo, lambda *a, **k: "", lexicon, inference.Options(max_retries=1)).collect()
+    assert [r["is_coded"] for r in got] == ["error"] * 5
+    n = {"calls": 0}
+
+    def third(q, model, mode, **arguments):
+        n["calls"] += 1
+        return stub_labeler(q, model, mode, **arguments) if n["calls"] >= 5 else ""
+
+    got = inference.label(todo, third, lexicon, inference.Options(max_retries=1)).collect()
+    assert [r["is_coded"] for r in got] == ["error", "error", "yes"]  # two calls an attempt: the fifth one answers
+
+
+def test_line_numbers_over_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    want = []
+    for k in (2, 0, 1):
+        (folder / f"{k}.txt").write_text("".join(f"file {k} line {i}\n" for i in range(400)))
+    want = [f"file {k} line {i}" for k in range(3) for i in range(400)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = sorted((r["line"], r["value"]) for r in files.numbered_lines(spark, str(folder)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate(want, 1))
+
+
+def test_positions_in_a_global_order(spark):
+    from postsieve.session import numbered
+
+    d = spark.range(1000).selectExpr("id * 7 % 1009 AS k", "id").repartition(7)
+    got = [(r["k"], r["no"]) for r in numbered(d, "k", "no").orderBy("k").collect()]
+    assert [n for _, n in got] == list(range(1, 1001)) and got == sorted(got)
+    assert numbered(d.limit(0), "k", "no").count() == 0
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from postsieve import session
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"), conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(ValueError, match="share"):
+        session.shared_folder(far)
 
 
 def test_run_is_written_and_appended(spark, lexicon, tmp_path):
@@ -193,8 +255,41 @@ def test_run_is_written_and_appended(spark, lexicon, tmp_path):
 def test_report(spark):
     d = spark.createDataFrame([(7, "t", "yes", None, None, None, None, ["a"], None, None), (8, "u", "no", 1.0, "", "", "", [], [], True)], "line int, text string, is_coded string, confidence double, domain string, mechanism string, reasoning string, spans array<string>, decoded array<string>, needs_review boolean")
     e = export.extracted_posts(d)
-    assert export.report_blocks(e).first()["block"] == "Text: t\nLabel: yes (confidence: 0.0)\nDomain: \nMechanism: \nSpans: ['a']\nDecoded: []\nNeeds Review: False\nReasoning: \n"
-    assert json.loads(export.json_array(e).first()["json"])[0]["line"] == 7
+    assert [r["block"] for r in export.report_blocks(e).orderBy("post_no").collect()] == ["Found 1 coded posts (yes/unsure):\n", "--- Post 1 ---\nText: t\nLabel: yes (confidence: 0.0)\nDomain: \nMechanism: \nSpans: ['a']\nDecoded: []\nNeeds Review: False\nReasoning: \n"]
+    assert json.loads("\n".join(r["value"] for r in export.json_array(e).orderBy("row_no").collect()))[0]["line"] == 7
+    assert json.loads("\n".join(r["value"] for r in export.json_array(e.limit(0)).orderBy("row_no").collect())) == []
+
+
+def test_events_of_a_socket(spark, tmp_path):
+    import socket
+    import threading
+
+    events = [json.dumps({"commit": {"record": {"$type": collector.POST_TYPE, "text": f"the post of number {i}"}}}) for i in range(40)]
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        c, _ = server.accept()
+        for e in events:
+            c.sendall(e.encode() + b"\n")
+        c.close()
+
+    t = threading.Thread(target=serve, daemon=True)
+    t.start()
+    reader = collector.SocketReader("127.0.0.1", server.getsockname()[1], str(tmp_path / "spool"), 15, 2.0)
+    at, seen, again = reader.initialOffset(), [], []
+    for _ in range(6):
+        rows, end = reader.read(at)
+        seen += [r[0] for r in rows]
+        again += [r[0] for r in collector.SocketReader("127.0.0.1", 1, str(tmp_path / "spool"), 15, 0.1).readBetweenOffsets(at, end)]
+        at = end
+    server.close()
+    assert seen == events == again
+    q = collector.collect(collector.posts_of(collector.listen(spark, "127.0.0.1", 1, str(tmp_path / "spool"), 100)), str(tmp_path / "out"), checkpoint=str(tmp_path / "ckpt"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.text(str(tmp_path / "out")).count() == 40
 
 
 def test_stream_stops(spark, tmp_path):
