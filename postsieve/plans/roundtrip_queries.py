@@ -27,7 +27,7 @@ def _listed(d: DataFrame) -> DataFrame:
 def text_buckets_read(spark: SparkSession, sf: str) -> DataFrame:
     """Texts by label, from the folders of the labels."""
     writers.text_buckets(table(spark, sf, "labeled_posts").where("text IS NOT NULL AND label IS NOT NULL"), out := scratch(spark))
-    return spark.read.text(out).select("label", "value")
+    return files.text_buckets(spark, out)
 
 
 def text_lines_read(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +44,7 @@ def text_lines_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lexicon_file(spark: SparkSession, sf: str, value) -> str:
     """The lexicon, small by nature, as one JSON object in the order of its terms."""
-    rows = table(spark, sf, "lexicon").where("term IS NOT NULL").orderBy("term_ord").limit(50_000).collect()
+    rows = list({r["term"]: r for r in reversed(table(spark, sf, "lexicon").where("term IS NOT NULL").orderBy("term_ord").limit(50_000).collect())}.values())[::-1]
     body = F.map_from_arrays(F.array(*[F.lit(r["term"]) for r in rows]), F.array(*[value(r["meaning"]) for r in rows])) if rows else F.create_map().cast("map<string,string>")
     spark.range(1).select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value")).write.text(out := scratch(spark))
     return out
@@ -82,7 +82,7 @@ def appended_run_read(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch(spark)
     writers.labelled_run(run, out, overwrite=True)
     writers.labelled_run(run, out)
-    texts = spark.read.text(f"{out}/buckets").groupBy("bucket").agg(F.count("*").alias("n"))
+    texts = files.text_buckets(spark, f"{out}/buckets", "bucket").groupBy("bucket").agg(F.count("*").alias("n"))
     return texts.unionByName(spark.read.schema(files.LABEL_RECORD).json(f"{out}/records").agg(F.count("*").alias("n")).select(F.lit("records").alias("bucket"), "n"))
 
 

@@ -17,6 +17,12 @@ def text_lines(spark: SparkSession, path: str, tolerant: bool = False) -> DataFr
     return spark.read.text(path).select(strip(v).alias("text")).where("text <> ''")
 
 
+def text_buckets(spark: SparkSession, path: str, by: str = "label") -> DataFrame:
+    """(by, value) of the lines below ``path``, one folder per value of ``by``."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), rf"/{by}=([^/]+)/", 1)
+    return spark.read.schema("value string").option("recursiveFileLookup", True).text(path).select(F.url_decode(folder).alias(by), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) with the physical line number over the files in name order, from one.
 
