@@ -27,10 +27,10 @@ give an empty mixture.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import encode
 
 BUCKET_ROWS = 50_000
@@ -91,8 +91,8 @@ def mix(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
 
 
 def sized_documents(docs: DataFrame, path: str = f"{encode.TOKENIZERS}/{encode.DEFAULT}") -> DataFrame:
-    """(doc_id, source, n_tokens), kept because totals, offsets and order all read it (24 bytes a document)."""
-    return encode.count_tokens(docs, ["doc_id", "source"], path=path).persist(StorageLevel.MEMORY_AND_DISK)
+    """(doc_id, source, n_tokens), checkpointed because totals, offsets and order all read it (24 bytes a document)."""
+    return cut_lineage(encode.count_tokens(docs, ["doc_id", "source"], path=path))
 
 
 def shares(mixture: DataFrame, plan: list[dict]) -> DataFrame:
