@@ -209,7 +209,7 @@ def lineages(lines: DataFrame) -> DataFrame:
     One row per file travels, in the order of its run; a run is read as a stream whose
     state is the fields of one file.
     """
-    schemas = file_schemas(type_alternatives(typed_lines(lines)))
+    schemas = cut_lineage(file_schemas(type_alternatives(typed_lines(lines))))  # one row per file
     files = schemas.join(_renames(lines, _steps(schemas)), ["run_id", "file_seq"], "left")
     pairs = F.coalesce("pairs", F.array().cast("array<struct<old:string,now:string>>"))
     files = files.select("run_id", "file_seq", F.map_keys("schema").alias("fields"), F.transform(pairs, lambda p: p["old"]).alias("olds"), F.transform(pairs, lambda p: p["now"]).alias("news"))
@@ -283,10 +283,10 @@ def unify(lines: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
     type, and as written, ``rest`` the fields outside the table.
     """
     d = tagged_lines(lines).join(column_names(lines, target), ["run_id", "file_seq"], "left")
-    # the file's own name first, else the name it has for the column
-    found = {c: F.coalesce(F.element_at("fields", F.lit(c)), F.element_at("fields", F.element_at("names", F.lit(c)))) for c in target}
-    d = d.withColumn("_at", F.struct(*[v.alias(c) for c, v in found.items()]))
-    value = {c: F.when(F.col("_at")[c]["tag"] != "null", F.col("_at")[c]) for c in target}
+    # the file's own name first, else the name it has for the column; looked up once per line, as many expressions read them
+    look = lambda c: F.coalesce(F.element_at("fields", c), F.element_at("fields", F.element_at("names", c)))
+    d = d.withColumn("_at", F.transform(F.array(*map(F.lit, target)), look))
+    value = {c: F.when(F.get("_at", F.lit(i))["tag"] != "null", F.get("_at", F.lit(i))) for i, c in enumerate(target)}
     own = {"string": "string", "double": "number", "boolean": "boolean", "array<string>": "array"}
     odd = F.array_compact(F.array(*[F.when(value[c]["tag"] != own[k], _branch(c, value[c])) for c, k in target.items()]))
     # a renamed field counts as used where the file lacks the column's own name
