@@ -84,7 +84,7 @@ def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     d = docs.select(key, F.when(F.col("text").rlike(r"(?U)\S"), F.col("text")).alias("text"))
     d = d.withColumns({"words": F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1)), "raw": F.filter(F.split("text", LINES), lambda l: l.rlike(r"(?U)\S"))})
     line = lambda l: F.struct(F.char_length(l).alias("size"), l.rlike(ENDED).alias("ended"), (F.regexp_count(l, F.lit(WORD)) >= SENTENCE_WORDS).alias("long"), l.rlike(BULLET).alias("bullet"))
-    d = d.withColumns({"lines": F.transform("raw", line), "trimmed": F.transform("raw", F.trim)})
+    d = d.withColumns({"lines": F.transform("raw", line), "trimmed": F.transform("raw", lambda l: F.trim(l))})  # trim by itself would take the index for its characters
     length, some = F.char_length("text"), lambda c: F.coalesce(c, F.lit(0))
     without = lambda pattern, to="": length - F.char_length(F.regexp_replace("text", pattern, to))
     linked = F.when(F.col("text").contains("://") | F.col("text").contains("www."), without(LINK)).otherwise(F.lit(0))

@@ -195,6 +195,18 @@ t AS (
   SELECT tab, id, min(id) OVER (PARTITION BY tab, key) AS first_id FROM g
 )"""
 
+_GRAMS = r"""w AS (
+  SELECT row_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM combined
+), s AS (
+  SELECT DISTINCT row_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS gram FROM w WHERE len(ws) >= 20
+), n AS (
+  SELECT row_id, count(*) AS n FROM s GROUP BY row_id
+), p AS (
+  SELECT a.row_id AS a, b.row_id AS b, count(*) AS i FROM s a JOIN s b ON a.gram = b.gram AND a.row_id < b.row_id GROUP BY ALL
+), near AS (
+  SELECT a, b FROM p JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b WHERE i * 10 >= 6 * (x.n + y.n - i)
+)"""
+
 # look-alikes, width forms and spaces one to one; ligatures, ignorables and composition around them
 _MARKED = {}
 for _c, _l in lookalike.LOOKALIKE.items():  # letters with a mark that have a code point of their own in both scripts
@@ -210,23 +222,63 @@ for _ligature, _letters in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ
 _LOOK = rf"regexp_replace({_LOOK}, '[\p{{Cf}}\x{{FE00}}-\x{{FE0F}}\x{{034F}}]', '', 'g')"
 _LOOK = f"nfc_normalize(translate({_LOOK}, '{_FROM}', '{_TO}'))"
 
+_WORD = quality.WORD.replace("*+", "*").replace("'", "''")
+_ENDED = quality.ENDED.replace("*+$", "*$").replace("'", "''")
+_BLANK = "".join(c for c in _SPACES if not "\x1c" <= c <= "\x1f")
+_COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in quality._ALL)
+_SHARE = "round(({})::DOUBLE / nullif({}, 0), 4)"
+_QUALITY = rf"""
+t AS (SELECT doc_id, text, string_split_regex(text, '\r\n|\n|\r') AS cut, regexp_extract_all(lower(text), '{_WORD}') AS words,
+  regexp_extract_all(text, '\p{{L}}+|\s+|[^\p{{L}}\s]+') AS runs FROM documents WHERE translate(text, '{_BLANK}', '') <> ''
+), l AS (SELECT *, list_filter(cut, lambda x: translate(x, '{_BLANK}', '') <> '') AS lines FROM t
+), m AS (
+  SELECT doc_id, text, lines, length(text) AS chars, len(words) AS n, len(lines) AS n_lines, list_sum(list_transform(words, lambda w: length(w))) AS word_chars,
+    len(list_filter(words, lambda w: w IN ({_COMMON}))) AS common, len(list_filter(words, lambda w: NOT regexp_matches(w, '\p{{L}}'))) AS numeric,
+    list_sum(list_transform(lines, lambda x: length(x))) AS line_chars, len(list_filter(lines, lambda x: regexp_matches(x, '^\s*(?:[-–•*·‣◦+]|\d{{1,3}}[.)])\s'))) AS bullets,
+    coalesce(list_sum(list_transform(list_filter(lines, lambda x: regexp_matches(x, '{_ENDED}') AND len(regexp_extract_all(x, '{_WORD}')) >= 5), lambda x: length(x))), 0) AS sentences,
+    len(list_filter(lines, lambda x: regexp_matches(x, '{_ENDED}'))) AS n_ended, length(text) - length(regexp_replace(text, '\p{{P}}+', '', 'g')) AS n_punctuation,
+    length(text) - length(regexp_replace(text, '[^\p{{L}}\p{{M}}]+', '', 'g')) AS n_others, len(regexp_extract_all(text, '\.\.\.')) + length(text) - length(replace(text, '…', '  ')) AS n_ellipses,
+    list_transform(lines, lambda x: trim(x)) AS bare, length(text) - length(replace(text, '#', '')) AS hashes,
+    coalesce(list_sum(list_transform(range(3, len(runs) + 1), lambda i: CASE WHEN runs[i] = runs[i - 2] AND regexp_matches(runs[i], '\p{{L}}') AND NOT regexp_matches(runs[i - 1], '\S') THEN length(runs[i]) + length(runs[i - 1]) ELSE 0 END)), 0) AS doubled,
+    CASE WHEN contains(text, '://') OR contains(text, 'www.') THEN chars - length(regexp_replace(text, '(?i)\b(?:https?://|www\.)\S+', '', 'g')) ELSE 0 END AS linked FROM l
+), q AS (
+  SELECT doc_id, chars, n, n_lines, {_SHARE.format("word_chars", "n")} AS mean_length, {_SHARE.format("common", "n")} AS common, {_SHARE.format("numeric", "n")} AS numeric, {_SHARE.format("hashes", "n")} AS hashes,
+    {_SHARE.format("bullets", "n_lines")} AS bullets, {_SHARE.format("sentences", "line_chars")} AS sentences, {_SHARE.format("doubled", "chars")} AS doubled, {_SHARE.format("linked", "chars")} AS linked,
+    {_SHARE.format("n_ended", "n_lines")} AS ended, {_SHARE.format("n_punctuation", "chars")} AS punctuation, {_SHARE.format("n_others", "chars")} AS others, {_SHARE.format("n_ellipses", "n")} AS ellipses,
+    1 - {_SHARE.format("len(list_distinct(bare))", "n_lines")} AS same_lines,
+    1 - {_SHARE.format("list_sum(list_transform(list_distinct(bare), lambda x: length(x)))", "list_sum(list_transform(bare, lambda x: length(x)))")} AS same_chars FROM m
+)"""
+
 ORACLES: dict[str, str] = {
+    "p10_found": f"""WITH {_QUALITY} SELECT DISTINCT doc_id FROM q WHERE (n >= 5 AND common < 0.3 AND sentences < 0.5) OR (n >= 5 AND mean_length < 3) OR mean_length > 10
+  OR (hashes > CASE WHEN n >= 5 THEN 0.1 ELSE 0.5 END AND sentences < 0.5) OR (n_lines > 2 AND bullets > 0.9 AND sentences < 0.5) OR (n >= 5 AND 1 - numeric < 0.8 AND sentences < 0.5)
+  OR (n_lines > 3 AND (same_lines > 0.3 OR same_chars > 0.2)) OR (n >= 10 AND doubled > 0.2) OR linked > 0.5 OR (n = 0 AND chars > 8)""",
+    "p10_stats": f"""WITH {_QUALITY} SELECT d.doc_id, coalesce(q.chars, 0) AS n_chars, coalesce(n, 0) AS n_words, coalesce(n_lines, 0) AS n_lines, mean_length AS mean_word_length, hashes AS hash_ratio, ellipses AS ellipsis_ratio,
+  punctuation AS punctuation_share, 1 - others AS letter_share, 1 - numeric AS letter_word_share, ended AS ended_line_share, sentences AS sentence_share, bullets AS bullet_share, common AS common_share, linked AS link_share,
+  doubled AS doubled_share, same_lines AS repeated_line_share, same_chars AS repeated_char_share,
+  concat_ws(',', CASE WHEN n >= 5 AND common < 0.3 AND sentences < 0.5 THEN 'stop_words' END, CASE WHEN n >= 5 AND mean_length < 3 OR mean_length > 10 THEN 'word_length' END,
+    CASE WHEN hashes > CASE WHEN n >= 5 THEN 0.1 ELSE 0.5 END AND sentences < 0.5 THEN 'hashes' END, CASE WHEN n_lines > 2 AND bullets > 0.9 AND sentences < 0.5 THEN 'bullets' END,
+    CASE WHEN n >= 5 AND 1 - numeric < 0.8 AND sentences < 0.5 THEN 'letter_words' END, CASE WHEN n_lines > 3 AND (same_lines > 0.3 OR same_chars > 0.2) THEN 'repeated_lines' END,
+    CASE WHEN n >= 10 AND doubled > 0.2 THEN 'repeated_words' END, CASE WHEN linked > 0.5 THEN 'links' END, CASE WHEN n = 0 AND chars > 8 THEN 'no_words' END,
+    CASE WHEN ellipses > 0.1 THEN 'ellipses' END, CASE WHEN ended < 0.12 THEN 'few_ended_lines' END, CASE WHEN n < 50 THEN 'few_words' END) AS reasons,
+  coalesce(regexp_matches(reasons, 'stop_words|word_length|hashes|bullets|letter_words|repeated|links|no_words'), false) AS rejected
+FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id""",
     "p7_found": f"""WITH a AS (SELECT post_id, text, {_LOOK} AS look FROM labeled_posts WHERE text <> ''),
 b AS (SELECT record_id, text, {_LOOK} AS look FROM llm_labeled_posts WHERE text <> '')
 SELECT DISTINCT post_id, record_id FROM a JOIN b ON a.look = b.look AND a.text <> b.text""",
     "p2_found": f"WITH {_COPIES} SELECT tab, first_id, id AS copy_id FROM m WHERE id <> first_id",
-    "p3_found": rf"""WITH {_COPIES}, w AS (
-  SELECT row_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM combined
-), s AS (
-  SELECT DISTINCT row_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS gram FROM w WHERE len(ws) >= 20
-), n AS (
-  SELECT row_id, count(*) AS n FROM s GROUP BY row_id
-), p AS (
-  SELECT a.row_id AS a, b.row_id AS b, count(*) AS i FROM s a JOIN s b ON a.gram = b.gram AND a.row_id < b.row_id GROUP BY ALL
+    "p3_found": f"""WITH {_COPIES}, {_GRAMS}
+SELECT a AS row_id_a, b AS row_id_b FROM near JOIN g ga ON ga.tab = 'combined' AND ga.id = a JOIN g gb ON gb.tab = 'combined' AND gb.id = b WHERE ga.key <> gb.key""",
+    "p3_classes": f"""WITH RECURSIVE {_GRAMS}, c AS (
+  SELECT row_id, min(row_id) OVER (PARTITION BY grams) AS rep FROM (SELECT row_id, md5(string_agg(gram, '|' ORDER BY gram)) AS grams FROM s GROUP BY row_id)
+), e AS (
+  SELECT DISTINCT x.rep AS a, y.rep AS b FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) JOIN c x ON x.row_id = a JOIN c y ON y.row_id = b WHERE x.rep <> y.rep
+), reach AS (
+  SELECT DISTINCT rep AS node, rep AS root FROM c UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node
+), r AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
 )
-SELECT p.a AS row_id_a, p.b AS row_id_b FROM p JOIN n x ON x.row_id = p.a JOIN n y ON y.row_id = p.b
-JOIN g ga ON ga.tab = 'combined' AND ga.id = p.a JOIN g gb ON gb.tab = 'combined' AND gb.id = p.b
-WHERE p.i * 10 >= 6 * (x.n + y.n - p.i) AND ga.key <> gb.key""",
+SELECT d.row_id AS id, coalesce(root, d.row_id) AS cls, (SELECT count(*) FROM e WHERE e.a = c.rep) AS n_links FROM combined d LEFT JOIN c USING (row_id) LEFT JOIN r ON r.node = c.rep""",
     "p2_groups": f"WITH {_COPIES} SELECT tab, first_id, count(*) AS n_rows FROM m GROUP BY ALL HAVING count(*) > 1",
     "p2_contents": f"WITH {_COPIES} SELECT tab, first_id, count(*) AS n_rows FROM m GROUP BY ALL",
 }

@@ -98,7 +98,7 @@ def test_contents_as_sql(spark, sf):
     same(spark, sf, QUERIES["p2_contents"], ORACLES["p2_contents"])
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p2_groups", "p3_found", "p7_found"])
+@pytest.mark.parametrize("name", ["p2_found", "p2_groups", "p3_found", "p3_classes", "p7_found", "p10_found", "p10_stats"])
 def test_copies_as_sql(spark, sf, name):
     same(spark, sf, QUERIES[name], ORACLES[name])
 

@@ -152,6 +152,8 @@ def test_quality_counts(spark):
     d = spark.createDataFrame([(1, "The cat, it sat.\n\n- a dog 42"), (2, "word " * 50_000)], "doc_id int, text string")
     r = {x["doc_id"]: x for x in quality.statistics(d).collect()}
     assert (r[1]["n_words"], r[1]["n_lines"], r[1]["ended_line_share"], r[1]["bullet_share"], r[1]["letter_word_share"]) == (7, 2, 0.5, 0.5, 0.8571)
+    twice = quality.statistics(spark.createDataFrame([(1, "A\n  b\n b\nc")], "doc_id int, text string")).first()
+    assert (twice["repeated_line_share"], twice["repeated_char_share"]) == (0.25, 0.25)
     assert r[2]["n_words"] == 50_000 and r[2]["n_chars"] == 250_000
     assert quality.verdicts(quality.statistics(d.limit(0))).count() == 0
 
