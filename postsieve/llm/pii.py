@@ -40,7 +40,8 @@ from .encode import TOKENIZERS
 from .quality import COMMON_WORDS, MORE_WORDS
 
 TYPES = ("email", "phone", "id_number", "address", "name")
-TRAIN_TEXTS = 20_000
+TRAIN_TEXTS = 8000
+TRAIN_NAMES = 9000  # more texts for names, the hardest type
 VOCABULARIES = tuple(f"{TOKENIZERS}/{f}" for f in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
 MAX_DESCRIBED = 10_000  # candidates described at once, bounds the memory of a long text
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -308,11 +309,12 @@ def caps_share(text: str) -> float:
 class Model:
     """One boosted classifier and one threshold per type."""
 
-    def __init__(self, texts: int = TRAIN_TEXTS, vocabularies: tuple[str, ...] = VOCABULARIES) -> None:
+    def __init__(self, texts: int = TRAIN_TEXTS, names: int = TRAIN_NAMES, vocabularies: tuple[str, ...] = VOCABULARIES) -> None:
         self.lexicon, partial = Lexicon(vocabularies), Lexicon(vocabularies)
         partial.given = set(sorted(partial.given)[::2])  # half of the given names stay unknown in training, as most are in use
         rows: list[list[tuple[list[float], bool]]] = [[] for _ in TYPES]
-        for text, gold in pii_texts.compose(texts, common=self.lexicon.plain()):
+        plain = self.lexicon.plain()
+        for text, gold in [*pii_texts.compose(texts, common=plain), *pii_texts.compose(names, seed=6, common=plain, names_only=True)]:
             caps = caps_share(text)
             for c in propose(text):
                 rows[c[0]].append((describe(text, c, caps, partial), (TYPES[c[0]], text[c[1] : c[2]]) in gold))

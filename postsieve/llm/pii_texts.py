@@ -189,8 +189,11 @@ HEADS = "%%.%%.20%%|20%%-%%-%%|at %%:%%|in 20%%|flat %%|room %%%|% x|%%".split("
 TAILS = "%nd floor|%th floor|%pm|%am|%x a day|%%h|24h|%rd|%% times|% of us|20%%-%%-%%|20%%-%%-%% at %%:%%|%%.%%.20%%|%%/%%/20%%|%%:%%|%% w|%%% w|% w w|20%%|%%min|%kg".split("|")
 
 
-def compose(n: int, seed: int = 5, common: list[str] | None = None) -> list[tuple[str, set[tuple[str, str]]]]:
-    """(text, {(type, datum)}) of ``n`` composed texts; ``common`` are lower-case words of a vocabulary."""
+def compose(n: int, seed: int = 5, common: list[str] | None = None, names_only: bool = False) -> list[tuple[str, set[tuple[str, str]]]]:
+    """(text, {(type, datum)}) of ``n`` composed texts; ``common`` are lower-case words of a vocabulary.
+
+    With ``names_only`` names and what looks like names are all that the texts hold.
+    """
     r = random.Random(seed)
     w = Words(r, common or [])
     types, langs = list(ANNOUNCE), list(COMMON_WORDS)
@@ -204,7 +207,7 @@ def compose(n: int, seed: int = 5, common: list[str] | None = None) -> list[tupl
             if plain:
                 core = w.one(lang)
             elif k < 0.45:
-                t = r.choice([*types, "name", "name"])
+                t = "name" if names_only else r.choice([*types, "name", "name"])
                 only_announced = False
                 if t in ("email", "id_number"):
                     core, only_announced = w.email() if t == "email" else w.id_number()
@@ -227,7 +230,7 @@ def compose(n: int, seed: int = 5, common: list[str] | None = None) -> list[tupl
                     core_shown = f"<{core}>"
                     parts.append(" ".join([*left, core_shown, *right]))
                     continue
-            elif k < 0.66:
+            elif k < (0.86 if names_only else 0.66):
                 core = w.no_name(lang)
             elif k < 0.86:
                 core = w.no_number(lang)
