@@ -260,6 +260,20 @@ def test_report(spark):
     assert json.loads("\n".join(r["value"] for r in export.json_array(e.limit(0)).orderBy("row_no").collect())) == []
 
 
+def test_export_command(spark, tmp_path, capsys):
+    from postsieve import export as command
+
+    rows = [{"text": "a", "is_coded": "yes", "confidence": 0.5, "spans": ["x"]}, {"text": "b, c", "is_coded": "no"}, {"text": "d", "is_coded": "unsure", "coded_hits": [{"token": "t"}]}]
+    (tmp_path / "r.jsonl").write_text("\n".join([json.dumps(rows[0]), "", "{broken", *map(json.dumps, rows[1:])]))
+    src, out = str(tmp_path / "r.jsonl"), str(tmp_path / "out")
+    assert command.main(["posts", src, "-o", out, "-s", f"{out}-report"], spark) == 2 and "2 records" in capsys.readouterr().out
+    read = lambda p: "\n".join(x.read_text() for x in sorted((tmp_path / p).glob("part-*")))
+    assert [(x["line"], x["text"]) for x in json.loads(read("out"))] == [(1, "a"), (5, "d")]
+    assert read("out-report").startswith("Found 2 coded posts (yes/unsure):\n\n--- Post 1 ---\nText: a")
+    assert command.main(["csv", src, "-o", f"{out}-csv"], spark) == 3 and files.csv_table(spark, f"{out}-csv").count() == 3
+    assert command.main(["coded", src, "-o", f"{out}-coded"], spark) == 1
+
+
 def test_events_of_a_socket(spark, tmp_path):
     import socket
     import threading
