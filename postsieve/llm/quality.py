@@ -82,9 +82,10 @@ def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: counts and ratios (null where a ratio has no denominator)."""
     # a null text gives null lines and words; each step is a column of its own, so that it is computed once
     d = docs.select(key, F.when(F.col("text").rlike(r"(?U)\S"), F.col("text")).alias("text"))
-    d = d.withColumns({"words": F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1)), "raw": F.filter(F.split("text", LINES), lambda l: l.rlike(r"(?U)\S"))})
-    line = lambda l: F.struct(F.char_length(l).alias("size"), l.rlike(ENDED).alias("ended"), (F.regexp_count(l, F.lit(WORD)) >= SENTENCE_WORDS).alias("long"), l.rlike(BULLET).alias("bullet"))
-    d = d.withColumns({"lines": F.transform("raw", line), "trimmed": F.transform("raw", lambda l: F.trim(l))})  # trim by itself would take the index for its characters
+    d = d.withColumn("raw", F.filter(F.split("text", LINES), lambda l: l.rlike(r"(?U)\S")))
+    d = d.withColumns({"parts": F.transform("raw", lambda l: F.regexp_extract_all(F.lower(l), F.lit(f"({WORD})"), F.lit(1))), "trimmed": F.transform("raw", lambda l: F.trim(l))})  # trim by itself would take the index for its characters
+    line = lambda z: F.struct(F.char_length(z["raw"]).alias("size"), z["raw"].rlike(ENDED).alias("ended"), (F.size(z["parts"]) >= SENTENCE_WORDS).alias("long"), z["raw"].rlike(BULLET).alias("bullet"))
+    d = d.withColumns({"words": F.flatten("parts"), "lines": F.transform(F.arrays_zip("raw", "parts"), line), "apart": F.array_distinct("trimmed")})
     length, some = F.char_length("text"), lambda c: F.coalesce(c, F.lit(0))
     without = lambda pattern, to="": length - F.char_length(F.regexp_replace("text", pattern, to))
     linked = F.when(F.col("text").contains("://") | F.col("text").contains("www."), without(LINK)).otherwise(F.lit(0))
@@ -106,9 +107,9 @@ def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         _total("lines", lambda x: F.when(x["ended"] & x["long"], x["size"]).otherwise(0)).alias("sentence_chars"),
         _total("lines", lambda x: x["ended"]).alias("n_ended"),
         _total("lines", lambda x: x["bullet"]).alias("n_bullets"),
-        F.size(F.array_distinct("trimmed")).alias("n_distinct"),
+        F.size("apart").alias("n_distinct"),
         _total("trimmed", F.char_length).alias("trimmed_chars"),
-        _total(F.array_distinct("trimmed"), F.char_length).alias("distinct_chars"),
+        _total("apart", F.char_length).alias("distinct_chars"),
     )
     ratio = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 4)
     return d.select(
