@@ -266,6 +266,11 @@ def test_short_addresses_late_in_a_long_text():
     assert {text[s:e] for k, s, e in pii.propose(text) if k == 3 and s == at} == {"7 rue Valmer now here", "7 rue Valmer now", "7 rue Valmer"}
 
 
+def test_without_vocabularies():
+    m = pii.Model(texts=1500, names=500, vocabularies=())
+    assert not m.lexicon.common and {(k, t) for t in ("write to m.vand@mail.example about it", "nothing is here") for k, *_ in m.select([t])[0]} == {(0, "write to m.vand@mail.example about it")}
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 5))
