@@ -20,10 +20,10 @@ CODED = "text string, label string, confidence double, reasons array<string>, mo
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """Label records with the number of their line; lines that are no records are left out."""
+    """Label records with the number of their line and the keys they have; lines that are no records are left out."""
     lines = files.numbered_lines(spark, path).withColumn("r", F.from_json("value", files.LABEL_RECORD))
     good = F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").isNotNull()
-    return lines.where(good).select("line", "r.*")
+    return lines.where(good).select("line", F.json_object_keys("value").alias("keys"), "r.*")
 
 
 def run(spark: SparkSession, what: str, source: str, output: str | None = None, report: str | None = None) -> int:
@@ -33,11 +33,11 @@ def run(spark: SparkSession, what: str, source: str, output: str | None = None,
         if output:
             writers.json_lines(d, output)
     elif what == "csv":
-        d = _records(spark, source).drop("line")
+        d = _records(spark, source).drop("line", "keys")
         if output:
             writers.csv_records(d, output)
     else:
-        d = export.extracted_posts(_records(spark, source))
+        d = export.extracted_posts(_records(spark, source), keys="keys")
         if output:
             writers.json_array(export.json_array(d), output)
         if report:

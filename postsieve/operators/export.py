@@ -40,21 +40,31 @@ def csv_projection(records: DataFrame) -> DataFrame:
     return records.select(*[as_field(F.col(c), kinds[c]).alias(c) for c in export_columns(records.columns)])
 
 
-def extracted_posts(records: DataFrame, order: str = "line") -> DataFrame:
-    """Posts answered yes or unsure, with defaults for missing fields and their number."""
+def extracted_posts(records: DataFrame, order: str = "line", keys: str | None = None) -> DataFrame:
+    """Posts answered yes or unsure, with defaults for missing fields and their number.
+
+    ``keys`` names a column with the keys of the record as written: a field that is
+    there and null then stays null; without it a null counts as missing.
+    """
     empty = F.array().cast("array<string>")
-    defaults = {"confidence": F.lit(0.0), "domain": F.lit(""), "mechanism": F.lit(""), "reasoning": F.lit(""), "spans": empty, "decoded": empty, "needs_review": F.lit(False)}
+    defaults = {"text": F.lit(""), "confidence": F.lit(0.0), "domain": F.lit(""), "mechanism": F.lit(""), "reasoning": F.lit(""), "spans": empty, "decoded": empty, "needs_review": F.lit(False)}
+
+    def filled(c: str) -> Column:
+        whole = F.coalesce(F.col(c), defaults[c])
+        return (whole if keys is None else F.when(F.array_contains(keys, c), F.col(c)).otherwise(whole)).alias(c)
+
     d = records.where(F.col("is_coded").isin("yes", "unsure"))
-    return d.select(order, F.coalesce("text", F.lit("")).alias("text"), "is_coded", *[F.coalesce(F.col(c), v).alias(c) for c, v in defaults.items()])
+    return d.select(order, filled("text"), "is_coded", *[filled(c) for c in defaults if c != "text"])
 
 
 def report_blocks(extracted: DataFrame, order: str = "line") -> DataFrame:
     """(post_no, block): the printable block of each extracted post, numbered from one; number 0 is the head with their count."""
-    quoted = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    shown = lambda c: F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("None"))
+    quoted = lambda c: shown(F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]")))
     line = "--- Post %d ---\nText: %s\nLabel: %s (confidence: %s)\nDomain: %s\nMechanism: %s\nSpans: %s\nDecoded: %s\nNeeds Review: %s\nReasoning: %s\n"
-    yes = F.when(F.col("needs_review"), "True").otherwise("False")
+    yes = F.when(F.col("needs_review").isNull(), "None").when(F.col("needs_review"), "True").otherwise("False")
     d = numbered(extracted, order, "post_no")
-    block = F.format_string(line, "post_no", "text", "is_coded", F.col("confidence").cast("string"), "domain", "mechanism", quoted("spans"), quoted("decoded"), yes, "reasoning")
+    block = F.format_string(line, "post_no", shown("text"), "is_coded", shown(F.col("confidence").cast("string")), shown("domain"), shown("mechanism"), quoted("spans"), quoted("decoded"), yes, shown("reasoning"))
     head = extracted.agg(F.count("*").alias("n")).select(F.lit(0).cast("bigint").alias("post_no"), F.format_string("Found %d coded posts (yes/unsure):\n", "n").alias("block"))
     return head.unionByName(d.select("post_no", block.alias("block")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -51,9 +52,17 @@ def before_after(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     return reduce(DataFrame.unionByName, both).where(F.col(column).isNotNull()).groupBy("version", column).agg(F.count("*").alias("n"))
 
 
+def java_pattern(pattern: str) -> str:
+    """A pattern of Python's syntax as Java has it: named groups and their references, the end of the text. Raises re.error as Python does."""
+    re.compile(pattern)
+    p = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', 'u')}>", pattern)
+    p = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', 'u')}>", p)
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", p)
+
+
 def search(rows: DataFrame, query: str, column: str, literal: bool = False) -> DataFrame:
-    """Rows whose column holds the pattern (or the literal text), ignoring case; nulls never do."""
-    hit = F.contains(F.lower(column), F.lower(F.lit(query))) if literal else F.col(column).rlike(f"(?iU){query}")
+    """Rows whose column holds the pattern (Python's syntax) or the literal text, ignoring case; nulls never do."""
+    hit = F.contains(F.lower(column), F.lower(F.lit(query))) if literal else F.col(column).rlike(f"(?iU){java_pattern(query)}")
     return rows.where(F.coalesce(hit, F.lit(False)))
 
 

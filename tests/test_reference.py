@@ -160,6 +160,26 @@ def test_profiles_leave_out_nulls(spark):
     assert profile.sample(d, 3).count() == 3 and profile.distribution(d.limit(0), "class").count() == 0
 
 
+def test_search_takes_patterns_of_python(spark):
+    import re
+
+    d = spark.createDataFrame([("abab",), ("abba",), ("AB\n",), ("a\\Z",), (None,)], "t string")
+    for p in (r"(?P<x_1>ab)(?P=x_1)", r"ab\Z", r"a\\Z", r"\bab", r"b{2}"):
+        want = [t for t in ("abab", "abba", "AB\n", "a\\Z") if re.search(p, t, re.I)]
+        assert [r["t"] for r in profile.search(d, p, "t").collect()] == want, p
+    with pytest.raises(re.error):
+        profile.search(d, "(", "t")
+
+
+def test_explicit_nulls_stay(spark):
+    d = spark.createDataFrame([(1, "a", "yes", ["text", "is_coded", "domain"]), (2, "b", "yes", ["text", "is_coded"])], "line int, text string, is_coded string, keys array<string>")
+    for c, k in (("domain", "string"), ("mechanism", "string"), ("reasoning", "string"), ("confidence", "double"), ("spans", "array<string>"), ("decoded", "array<string>"), ("needs_review", "boolean")):
+        d = d.withColumn(c, F.lit(None).cast(k))
+    e = export.extracted_posts(d, keys="keys")
+    assert [(r["domain"], r["mechanism"]) for r in e.orderBy("line").collect()] == [(None, ""), ("", "")]
+    assert "Domain: None\n" in export.report_blocks(e).where("post_no = 1").first()["block"]
+
+
 def test_csv_fields(spark, tmp_path):
     rows = [(["a", "b"], [1, 2], True, None, 'q"x, y\nz '), ([], None, None, None, "")]
     d = spark.createDataFrame(rows, "spans array<string>, zz array<int>, needs_review boolean, reasoning string, text string")
