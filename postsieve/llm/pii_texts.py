@@ -177,7 +177,7 @@ class Words:
 
 #: Words after which, or before which, a datum of a type often stands; titles of persons.
 ANNOUNCE = {
-    "name": "name is|my name is|is called|called|named|name:|met|anyone met|ask|ask for|contact|dear|hello|signed|signed,|regards|thanks,|by|from|with|author|Mr.|Mrs.|Ms|Dr.|Prof.|Herr|Frau|Monsieur|Mme|señor|señora|Sr.|Sra.|dhr.|mevrouw|cc|an|von|mit|par|avec|de|por|com|van|door|is|am|heiße|heißt|appelle|llamo|chamo|heet|attn",
+    "name": "name is|my name is|is called|called|named|name:|met|spoke to|ask|ask for|contact|dear|hello|signed|signed,|regards|thanks,|by|from|with|author|Mr.|Mrs.|Ms|Dr.|Prof.|Herr|Frau|Monsieur|Mme|señor|señora|Sr.|Sra.|dhr.|mevrouw|cc|an|von|mit|par|avec|de|por|com|van|door|is|am|heiße|heißt|appelle|llamo|chamo|heet|attn",
     "phone": "call|tel|Tel.|tel:|phone|phone:|text|whatsapp|fax|mobile|cell|ring|Telefon|Handy|Telefonnummer|unter|Nummer|appelez|téléphone|au|numéro|llama al|teléfono|móvil|número|ligue|telefone|telemóvel|para|bel|telefoon|nummer|on|at|number|reach me at",
     "id_number": "ssn|SSN|ssn:|passport|passport no.|passport number|social security number|national insurance no|national insurance number|national id|id number|identity card|my id is|id:|tax id|license|driving licence|Reisepass|Passnummer|Personalausweis|Ausweis|Ausweisnummer|Steuernummer|Steuer-ID|Sozialversicherungsnummer|Führerschein|passeport|passeport n°|numéro de sécurité sociale|carte d'identité|numéro fiscal|permis|DNI|dni|NIE|NIF|pasaporte|número de identidad|cédula|seguridad social|cartão de cidadão|passaporte|CPF|contribuinte|número fiscal|BSN|bsn|paspoort|paspoortnummer|burgerservicenummer|rijbewijs|identiteitskaart",
     "address": "at|lives at|live at|address|address:|visit|to|off at|house at|moved to|wohnt|wohnt in der|Adresse:|in der|habite|au|adresse|adresse :|vive en|en|dirección|mora na|na|morada|woont op|aan de|adres|op|send it to|deliver to|near|von",
